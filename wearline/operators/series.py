@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from ..functions.scalar import degradation_score, label_within, machine_state, sensor_prefix
 from ..spec import RAW_SPEC, ROLLING_WINDOW, RUL_CAP_HOURS, ReadingSpec
 
@@ -70,28 +71,39 @@ def _w_summary(spec: ReadingSpec):
 # Halo for bounded row frames
 # ---------------------------------------------------------------------------
 
-def halo_rows(d: DataFrame, spec: ReadingSpec, k: int) -> DataFrame:
+def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` with ``<=>``: Spark infers no IsNotNull filter from it,
+    so the shared (machine, chunk) shuffle below both sides stays reusable."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for c in keys:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
+def halo_from_tails(tails: DataFrame, spec: ReadingSpec, k: int, cols: list[str]) -> DataFrame:
     """For every non-empty chunk, the ``k`` rows of the same machine just before it.
 
-    ``d`` carries ``CHUNK``. The result has the columns of ``d`` with ``CHUNK`` set
-    to the chunk the row is a halo for. Size <= k x chunks.
+    ``tails`` holds, per (machine, chunk), its last <= k rows with ``_rd`` = 1 for the
+    latest. Returns rows with ``cols`` and ``CHUNK`` re-keyed to the chunk they
+    precede. Size <= k x chunks; everything here is per-chunk summary data.
     """
     m = spec.machine
-    tails = d.withColumn("_rd", F.row_number().over(_w_chunk(spec, desc=True))).filter(F.col("_rd") <= k)
-    summ = tails.groupBy(m, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    summ = tails.groupBy(m, CHUNK).agg(F.count(F.lit(1)).alias("_nt"))
     ws = _w_summary(spec)
     summ = summ.select(
-        m, CHUNK, "_n",
+        m, CHUNK, "_nt",
         F.row_number().over(ws).alias("_j"),
-        F.coalesce(F.sum("_n").over(ws.rowsBetween(UNB_PRE, -1)), F.lit(0)).alias("_C"))
+        F.coalesce(F.sum("_nt").over(ws.rowsBetween(UNB_PRE, -1)), F.lit(0)).alias("_C"))
     # position of each tail row among all tail rows of its machine
-    pos = tails.join(summ, [m, CHUNK]).withColumn("_p", F.col("_C") + F.col("_n") - F.col("_rd") + 1)
+    pos = _nsjoin(tails, summ, [m, CHUNK]).withColumn("_p", F.col("_C") + F.col("_nt") - F.col("_rd") + 1)
     # a tail row can only be within k rows of the next k non-empty chunks
     cand = pos.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_dj")) \
               .withColumn("_jt", F.col("_j") + F.col("_dj"))
     target = summ.select(m, F.col("_j").alias("_jt"), F.col(CHUNK).alias("_tchunk"), F.col("_C").alias("_Ct"))
-    halo = cand.join(target, [m, "_jt"]).filter(F.col("_p") > F.col("_Ct") - k)
-    return halo.select(*[F.col("_tchunk").alias(CHUNK) if c == CHUNK else F.col(c) for c in d.columns])
+    halo = _nsjoin(cand, target, [m, "_jt"]).filter(F.col("_p") > F.col("_Ct") - k)
+    return halo.select(*[F.col("_tchunk").alias(CHUNK) if c == CHUNK else F.col(c) for c in cols])
 
 
 def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int = ROLLING_WINDOW,
@@ -100,27 +112,50 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
 
     Partial windows at the start are allowed; the std of a one-row window is 0.
     Output names: ``<prefix>_mean_<window>h`` / ``<prefix>_std_<window>h``.
+
+    Plan: one shuffle on (machine, chunk); the window runs inside each chunk;
+    rows past the first ``k = window-1`` of a chunk are final. The first k rows of
+    each chunk are recomputed from themselves plus the k rows before the chunk
+    (the halo, built from per-chunk tails), a set of <= 2k rows per chunk.
     """
     cols = list(cols or spec.sensors)
     k = window - 1
+    out_names = []
+    for c in cols:
+        p = sensor_prefix(c)
+        out_names += [f"{p}_mean_{window}h", f"{p}_std_{window}h"]
 
-    def add(frame: DataFrame, part: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(*spec.order).rowsBetween(-k, 0)
-        exprs = []
+    def exprs(w):
+        e = []
         for c in cols:
             p = sensor_prefix(c)
-            exprs.append(F.avg(c).over(w).alias(f"{p}_mean_{window}h"))
-            exprs.append(F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)).alias(f"{p}_std_{window}h"))
-        return frame.select("*", *exprs)
+            e.append(F.avg(c).over(w).alias(f"{p}_mean_{window}h"))
+            e.append(F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)).alias(f"{p}_std_{window}h"))
+        return e
 
     if not split:
-        return add(df, [spec.machine])
+        w = Window.partitionBy(spec.machine).orderBy(*spec.order).rowsBetween(-k, 0)
+        return df.select("*", *exprs(w))
+    base_cols = df.columns
     d = chunked(df, spec)
+    w = _w_chunk(spec)
+    p1 = d.select("*", F.row_number().over(w).alias("_rn"),
+                  F.count(F.lit(1)).over(Window.partitionBy(spec.machine, CHUNK)).alias("_n"),
+                  *exprs(w.rowsBetween(-k, 0)))
     if k == 0:
-        return add(d, [spec.machine, CHUNK]).drop(CHUNK)
-    halo = halo_rows(d, spec, k)
-    u = d.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
-    return add(u, [spec.machine, CHUNK]).filter(~F.col("_halo")).drop("_halo", CHUNK)
+        return p1.select(*base_cols, *out_names)
+    done = p1.filter(F.col("_rn") > k).select(*base_cols, *out_names)
+    # first and last k rows of every chunk: small (<= 2k per chunk), materialised
+    # once in the shared checkpoint folder so the halo joins do not rescan the data
+    edges = cut_lineage(p1.filter((F.col("_rn") <= k) | (F.col("_rn") > F.col("_n") - k))
+                        .select(*base_cols, CHUNK, "_rn", "_n"))
+    heads = edges.filter(F.col("_rn") <= k).select(*base_cols, CHUNK, F.lit(False).alias("_halo"))
+    tails = edges.filter(F.col("_rn") > F.col("_n") - k) \
+                 .select(*base_cols, CHUNK, (F.col("_n") - F.col("_rn") + 1).alias("_rd"))
+    halo = halo_from_tails(tails, spec, k, base_cols + [CHUNK]).withColumn("_halo", F.lit(True))
+    fixed = heads.unionByName(halo).select("*", *exprs(_w_chunk(spec).rowsBetween(-k, 0))) \
+                 .filter(~F.col("_halo")).select(*base_cols, *out_names)
+    return done.unionByName(fixed)
 
 
 # ---------------------------------------------------------------------------
@@ -135,7 +170,7 @@ def row_index(df: DataFrame, spec: ReadingSpec = RAW_SPEC, name: str = "row_idx"
     summ = d.groupBy(m, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     summ = summ.select(m, CHUNK, F.coalesce(F.sum("_n").over(_w_summary(spec).rowsBetween(UNB_PRE, -1)),
                                             F.lit(0)).alias("_before"))
-    return (d.join(summ, [m, CHUNK])
+    return (_nsjoin(d, summ, [m, CHUNK])
             .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
             .drop("_rn", "_before", CHUNK))
 
@@ -191,14 +226,14 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
             .withColumn("_en_tot", F.col("_en_n") + F.col("_en0"))
             .withColumn("_en_last_all", F.coalesce(F.col("_en_last"), F.when(F.col("_en0") == 1, F.lit(1))))
             .withColumn("_st_first", F.when(F.col("_st0") == 1, F.col("_t0")).otherwise(F.col("_st_t"))))
-    summ = summ.select(
+    summ = cut_lineage(summ.select(
         m, CHUNK, "_carry_f", "_before",
         F.coalesce(F.sum("_st_tot").over(pre), F.lit(0)).alias("_st_before"),
         F.coalesce(F.sum("_en_tot").over(pre), F.lit(0)).alias("_en_before"),
         F.max(F.col("_before") + F.col("_en_last_all") - 1).over(pre).alias("_reset_before"),
         F.min("_st_first").over(ws.rowsBetween(1, UNB_FOL)).alias("_next_st_after"),
-    )
-    d = d.join(summ, [m, CHUNK])
+    ))
+    d = _nsjoin(d, summ, [m, CHUNK])
     pf = F.coalesce(F.col("_pf"), F.col("_carry_f"))
     idx = (F.col("_before") + F.col("_rn") - 1).cast("long")
     d = (d.withColumn("row_idx", idx)

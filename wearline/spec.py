@@ -41,8 +41,9 @@ class ReadingSpec:
     state: str = "etat_machine"
     label24: str = "panne_dans_24h"
     features: tuple[str, ...] = FEATURE_COLS
-    # width of the time chunks that split one machine's history over tasks
-    chunk_seconds: int = 86_400
+    # width of the time chunks that split one machine's history over tasks;
+    # pick it so a chunk holds many more rows than the rolling window
+    chunk_seconds: int = 30 * 86_400
     extra: dict = field(default_factory=dict)
 
     @property
@@ -60,7 +61,7 @@ RAW_SPEC = ReadingSpec()
 EVENTS_SPEC = ReadingSpec(
     machine="user_id", ts="ts", tie="event_id", sensors=("value", "k"),
     failed="failed", site="site", mtype="mtype", rul="rul", state="state",
-    label24="fail_24h",
+    label24="fail_24h", chunk_seconds=7 * 86_400,
     features=("value", "k", "age_h", "since_maint_h", "mtype_code", "site_code"),
 )
 
