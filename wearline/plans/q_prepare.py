@@ -35,25 +35,25 @@ def q_rolling_features(spark, sf):
 
 
 LIFECYCLE_CTES = f"""WITH {READINGS_CTE},
-a AS (SELECT *, lag(failed) OVER w AS pf, row_number() OVER w - 1 AS idx
+la AS (SELECT *, lag(failed) OVER w AS pf, row_number() OVER w - 1 AS idx
       FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, CASE WHEN failed = 1 AND coalesce(pf, 0) = 0 THEN 1 ELSE 0 END AS fail_start,
-                CASE WHEN failed = 0 AND pf = 1 THEN 1 ELSE 0 END AS maint_edge FROM a),
-c AS (SELECT *, sum(fail_start) OVER w1 AS n_failures, sum(maint_edge) OVER w1 AS n_maint,
+lb AS (SELECT *, CASE WHEN failed = 1 AND coalesce(pf, 0) = 0 THEN 1 ELSE 0 END AS fail_start,
+                CASE WHEN failed = 0 AND pf = 1 THEN 1 ELSE 0 END AS maint_edge FROM la),
+lc AS (SELECT *, sum(fail_start) OVER w1 AS n_failures, sum(maint_edge) OVER w1 AS n_maint,
              max(CASE WHEN maint_edge = 1 THEN idx END) OVER w1 AS last_reset,
              min(CASE WHEN fail_start = 1 THEN ts END) OVER w2 AS next_fail_ts
-      FROM b WINDOW
+      FROM lb WINDOW
         w1 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         w2 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-d AS (SELECT *,
+ld AS (SELECT *,
         least(coalesce(date_diff('microsecond', ts, next_fail_ts) / CAST(3600000000 AS DOUBLE),
                        CAST(720 AS DOUBLE)), CAST(720 AS DOUBLE)) AS rul,
         CAST(CASE WHEN last_reset IS NULL THEN idx + 1 ELSE idx - last_reset + 1 END AS BIGINT) AS since_maint_h
-      FROM c),
-e AS (SELECT *,
+      FROM lc),
+le AS (SELECT *,
         least(greatest(CAST(1 AS DOUBLE) - rul / CAST(720 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS rr,
         least(greatest(since_maint_h / CAST(4000 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(0.25 AS DOUBLE)) AS mm
-      FROM d),
+      FROM ld),
 life AS (SELECT user_id, event_id, ts, event_type, value, k, failed, site, mtype, fail_start,
         CAST(n_failures AS BIGINT) AS n_failures, maint_edge, CAST(n_maint AS BIGINT) AS n_maint,
         since_maint_h, CAST(idx AS BIGINT) AS age_h, next_fail_ts, rul,
@@ -62,7 +62,7 @@ life AS (SELECT user_id, event_id, ts, event_type, value, k, failed, site, mtype
         CASE WHEN rul <= 24 THEN 1 ELSE 0 END AS fail_24h,
         round(least(greatest(rr + mm * (CAST(1 AS DOUBLE) - rr), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)), 4)
           AS degradation
-      FROM e)"""
+      FROM le)"""
 
 LIFECYCLE_COLS = ("user_id", "event_id", "ts", "failed", "fail_start", "n_failures", "maint_edge",
                   "n_maint", "since_maint_h", "age_h", "next_fail_ts", "state", "fail_24h", "degradation")
