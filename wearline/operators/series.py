@@ -285,3 +285,40 @@ def first_last(df: DataFrame, spec: ReadingSpec = RAW_SPEC, first_cols=(), last_
     aggs = [F.min_by(c, key).alias(f"first_{c}") for c in first_cols]
     aggs += [F.max_by(c, key).alias(f"last_{c}") for c in last_cols]
     return df.groupBy(spec.machine).agg(*aggs)
+
+
+# ---------------------------------------------------------------------------
+# Generic two-level scans over (machine, chunk) partitions
+# ---------------------------------------------------------------------------
+
+def scan(d: DataFrame, spec: ReadingSpec, specs, order=None) -> DataFrame:
+    """Running aggregates per machine across chunks; ``d`` must carry ``CHUNK``.
+
+    ``specs``: list of (source column, how, output name) with ``how`` in
+    ``sum`` (running sum, current row included), ``max`` (running max) or
+    ``next_min`` (min over the rows strictly after). One summary per chunk, one
+    join back.
+    """
+    m = spec.machine
+    order = order or spec.order
+    w = Window.partitionBy(m, CHUNK).orderBy(*order)
+    ws = _w_summary(spec)
+    aggs, carries, locals_ = [], [], []
+    for i, (src, how, name) in enumerate(specs):
+        if how == "sum":
+            aggs.append(F.sum(src).alias(f"_a{i}"))
+            carries.append(F.coalesce(F.sum(f"_a{i}").over(ws.rowsBetween(UNB_PRE, -1)), F.lit(0)).alias(f"_k{i}"))
+            locals_.append((F.sum(src).over(w.rowsBetween(UNB_PRE, 0)) + F.col(f"_k{i}")).alias(name))
+        elif how == "max":
+            aggs.append(F.max(src).alias(f"_a{i}"))
+            carries.append(F.max(f"_a{i}").over(ws.rowsBetween(UNB_PRE, -1)).alias(f"_k{i}"))
+            locals_.append(F.greatest(F.max(src).over(w.rowsBetween(UNB_PRE, 0)), F.col(f"_k{i}")).alias(name))
+        elif how == "next_min":
+            aggs.append(F.min(src).alias(f"_a{i}"))
+            carries.append(F.min(f"_a{i}").over(ws.rowsBetween(1, UNB_FOL)).alias(f"_k{i}"))
+            locals_.append(F.coalesce(F.min(src).over(w.rowsBetween(1, UNB_FOL)), F.col(f"_k{i}")).alias(name))
+        else:
+            raise ValueError(how)
+    summ = cut_lineage(d.groupBy(m, CHUNK).agg(*aggs).select(m, CHUNK, *carries))
+    j = _nsjoin(d, summ, [m, CHUNK])
+    return j.select(*d.columns, *locals_)
