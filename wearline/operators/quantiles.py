@@ -27,7 +27,8 @@ def kth_values(df: DataFrame, value: str, targets: DataFrame, group_cols=(), ) -
     numeric and non-null in ``df`` (filter first).
     """
     g = list(group_cols)
-    if not g:  # one constant group: an equi-join on it, never a cross join
+    added = not g
+    if added:  # one constant group: an equi-join on it, never a cross join
         df, targets, g = df.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0)), ["_all"]
     data = df.select(*g, F.col(value).cast("double").alias("_x"))
     # bracket per target: [lo, hi] with `_below` rows strictly under lo
@@ -60,7 +61,7 @@ def kth_values(df: DataFrame, value: str, targets: DataFrame, group_cols=(), ) -
     w = Window.partitionBy(*g, "_t").orderBy("_x")
     ranked = inside.withColumn("_r", F.col("_below") + F.row_number().over(w))
     out = ranked.where(F.col("_r") == F.col("_k")).select(*g, "_t", F.col("_x").alias("_v"))
-    return out.drop("_all") if g == ["_all"] else out
+    return out.drop("_all") if added else out
 
 
 def percentiles(df: DataFrame, value: str, probs, group_cols=()) -> DataFrame:

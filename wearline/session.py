@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+# Only honoured when this process starts the JVM (local runs, tests, bench);
+# on a cluster spark-submit sizes the driver.
+LOCAL_CONF = {"spark.driver.memory": "16g"}
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -31,6 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
