@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from . import q_prepare, q_reports, q_asof, q_ml, q_misc  # noqa: F401
+    from . import q_prepare, q_reports, q_asof, q_misc, q_ml, q_stream  # noqa: F401
