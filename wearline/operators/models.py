@@ -26,9 +26,9 @@ from .scaling import fit_scaler
 
 # Model parameters of the reference training job.
 REFERENCE = dict(rf_trees=200, rf_depth=15, leaf=2, gbt_iter=200, gbt_depth=5, gbt_rate=0.1, dt_depth=10,
-                 lr_iter=1000, svm_cap=10_000, cv_folds=5, seed=42)
+                 lr_iter=1000, svm_cap=10_000, svm_iter=100, cv_folds=5, seed=42)
 # Small settings for quick checks (same model families, fewer trees / rounds).
-QUICK = dict(REFERENCE, rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=4, dt_depth=8, lr_iter=100)
+QUICK = dict(REFERENCE, rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=4, dt_depth=8, lr_iter=100, svm_iter=25)
 
 
 def scaler_stage(stats: dict, suffix: str = "_s") -> SQLTransformer:
@@ -207,7 +207,7 @@ def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dic
     gamma = 1.0 / len(features)
     rff = rff_stage(features, n_comp, gamma, params["seed"])
     asm = VectorAssembler(inputCols=[f"_rff{j}" for j in range(n_comp)], outputCol="features")
-    svm = LinearSVC(labelCol=label, maxIter=100, regParam=1.0 / max(params["svm_cap"], 1))
+    svm = LinearSVC(labelCol=label, maxIter=params["svm_iter"], regParam=1.0 / max(params["svm_cap"], 1))
     svm_model = Pipeline(stages=[scaler_stage(stats), rff, asm, svm]).fit(cap)
     marg = svm_model.transform(cap).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
                     .drop("features", "rawPrediction", "prediction")
