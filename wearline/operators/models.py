@@ -200,7 +200,7 @@ class _PlattModel:
         self.platt.write().overwrite().save(os.path.join(path, "platt"))
 
 
-def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dict, key, n_comp: int = 100):
+def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dict, key, n_comp: int = 64):
     """At most ``svm_cap`` training rows (hash order), gamma = 1 / (n_features x var)
     of the scaled features (= 1 / n_features), RFF map, LinearSVC, Platt scaling."""
     cap = H.cap_rows(train, key, params["svm_cap"])
