@@ -68,3 +68,58 @@ def test_row_index_last_n_every_nth(spark):
     ln = last_n(r, spec, 3)
     assert ln.groupBy("user_id").count().where("count > 3").count() == 0
     assert every_nth(r, spec, 4).count() == idx.where(F.col("row_idx") % 4 == 0).count()
+
+
+HOT = dict(chunk_rows=10, min_chunk_seconds=600)
+
+
+def test_adaptive_chunks_equal_plain(spark):
+    """Hot machines (here: all, > 10 rows) get narrower chunks; results must not change."""
+    from wearline.operators.series import attach_chunk_widths, with_chunk
+    r = event_readings(spark, SF_SMALL)
+    spec = EVENTS_SPEC.with_(**HOT)
+    n_chunks = with_chunk(r, spec).select("user_id", "_chunk").distinct().count()
+    assert n_chunks > with_chunk(r, EVENTS_SPEC).select("user_id", "_chunk").distinct().count()
+    cols = ["event_id", "value_mean_24h", "value_std_24h", "k_mean_24h", "k_std_24h"]
+    plain = _rows(rolling_features(r, EVENTS_SPEC, split=False), cols)
+    assert _rows(rolling_features(r, spec), cols) == plain
+    lc = ["event_id", "n_failures", "n_maint", "since_maint_h", "age_h", "rul"]
+    want = _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_seconds=10 ** 9)), lc)
+    assert _rows(lifecycle(attach_chunk_widths(r, spec), spec), lc) == want
+    assert _rows(lifecycle(r, spec), lc) == want
+
+
+def test_asof_operators_chunk_invariant(spark):
+    from wearline.operators.asof import counts_in_past, failure_horizon, inside_intervals, last_event_before
+    r = event_readings(spark, SF_SMALL)
+    rd = r.select("event_id", "user_id", "ts")
+    errs = r.where("event_type = 'error'").select(
+        "user_id", "ts", F.concat(F.lit("e"), (F.col("k").cast("int") % 3).cast("string")).alias("etype"))
+    maint = r.where("event_type = 'signup'").select("user_id", "ts", "event_id", F.lit("c1").alias("comp"))
+    fl = r.where("event_type = 'purchase'").select("user_id", "ts")
+    iv = r.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("start"),
+                                                   F.expr("ts + INTERVAL 3 HOURS").alias("end"))
+    outs = []
+    for spec in (EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=10 ** 9), EVENTS_SPEC.with_(**HOT),
+                 EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=86_400)):
+        outs.append((
+            _rows(counts_in_past(rd, errs, spec, ["e0", "e1", "e2"], "etype", 24), ["event_id", "e0_24h", "e1_24h",
+                                                                                   "e2_24h"]),
+            _rows(last_event_before(rd, maint, spec, ["c1"], "comp"), ["event_id", "since_c1_h"]),
+            _rows(failure_horizon(rd, fl, spec), ["event_id", "hours_to_failure", "failure_within_24h"]),
+            _rows(inside_intervals(rd, iv, spec), ["event_id", "in_interval"]),
+        ))
+    assert outs[0] == outs[1] == outs[2]
+
+
+def test_interval_edges(spark):
+    """Start inclusive, end exclusive."""
+    from wearline.operators.asof import inside_intervals
+    t0 = dt.datetime(2024, 1, 1)
+    rd = spark.createDataFrame([(1, "M", t0), (2, "M", t0 + dt.timedelta(hours=1)),
+                                (3, "M", t0 + dt.timedelta(hours=2)), (4, "N", t0)],
+                               "id int, machine_id string, timestamp timestamp_ntz")
+    iv = spark.createDataFrame([("M", t0, t0 + dt.timedelta(hours=2))],
+                               "machine_id string, start timestamp_ntz, end timestamp_ntz")
+    got = {r.id: r.in_interval for r in inside_intervals(rd, iv, RAW_SPEC.with_(tie="id")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}

@@ -76,21 +76,22 @@ def counts_in_past(readings: DataFrame, events: DataFrame, spec: ReadingSpec, ki
         raise ValueError("chunk_seconds must cover the lookback window")
     m, ts = spec.machine, spec.ts
     cols = readings.columns
-    r = readings.withColumn("_kind", F.lit(1)).withColumn("_halo", F.lit(False))
+    r = readings.withColumn("_kind", F.lit(1))
     ev = events.select(m, ts, kind_col).withColumn("_kind", F.lit(0))
     for c in cols:
         if c not in ev.columns:
             ev = ev.withColumn(c, F.lit(None).cast(dict(readings.dtypes)[c]))
     if kind_col not in cols:
         r = r.withColumn(kind_col, F.lit(None).cast("string"))
-    ev = with_chunk(ev.select(*cols, kind_col, "_kind"), spec)
+    # both sides chunked together so they share each machine's chunk width
+    u = with_chunk(r.unionByName(ev.select(*cols, kind_col, "_kind")), spec, keep_width=True,
+                   min_seconds=hours * 3600)
     us = epoch_micros(ts, readings.schema[ts].dataType)
-    span = spec.chunk_seconds * 1_000_000
     look = hours * 3600 * 1_000_000
-    halo = ev.where(us >= (F.col(CHUNK) + 1) * F.lit(span) - F.lit(look)) \
-             .withColumn(CHUNK, F.col(CHUNK) + 1).withColumn("_halo", F.lit(True))
-    ev = ev.withColumn("_halo", F.lit(False))
-    u = with_chunk(r, spec).unionByName(ev).unionByName(halo).withColumn("_us", us)
+    u = u.withColumn("_us", us)
+    halo = u.where((F.col("_kind") == 0) & (F.col("_us") >= (F.col(CHUNK) + 1) * F.col("_cw") - F.lit(look))) \
+            .withColumn(CHUNK, F.col(CHUNK) + 1).withColumn("_halo", F.lit(True))
+    u = u.withColumn("_halo", F.lit(False)).unionByName(halo)
     w = Window.partitionBy(m, CHUNK).orderBy("_us").rangeBetween(-look, 0)
     outs = [F.count(F.when((F.col("_kind") == 0) & (F.col(kind_col) == kd), 1)).over(w).alias(f"{kd}{suffix}")
             for kd in kinds]

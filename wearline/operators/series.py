@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from ..functions.scalar import degradation_score, label_within, machine_state, sensor_prefix
 from ..spec import RAW_SPEC, ROLLING_WINDOW, RUL_CAP_HOURS, ReadingSpec
 
@@ -46,11 +46,62 @@ def hours_between(start: str, end: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_name(start)}, {_name(end)})") / F.lit(3_600_000_000.0)
 
 
-def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK) -> DataFrame:
-    """Add the time-chunk number (monotone in time) of each row."""
-    dt = df.schema[spec.ts].dataType
-    us = epoch_micros(spec.ts, dt)
-    return df.withColumn(name, F.floor(us / F.lit(spec.chunk_seconds * 1_000_000)).cast("long"))
+WIDTH_COL = "_cw_m"
+MAX_HOT_MACHINES = 2_000_000  # bound of the width table: total rows / chunk_rows
+
+
+def chunk_widths(df: DataFrame, spec: ReadingSpec, min_seconds: int | None = None) -> DataFrame | None:
+    """Per-machine chunk width (microseconds) for *hot* machines: those with more than
+    ``spec.chunk_rows`` rows get ``span x chunk_rows / rows`` (at least ``min_seconds``),
+    so each of their chunks holds about ``chunk_rows`` rows. The table has at most
+    total_rows / chunk_rows entries, which bounds its broadcast."""
+    if not spec.chunk_rows:
+        return None
+    m = spec.machine
+    us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
+    base = spec.chunk_seconds * 1_000_000
+    lo_w = max(min_seconds or 0, spec.min_chunk_seconds) * 1_000_000
+    st = df.groupBy(m).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi")) \
+           .where(F.col("_n") > spec.chunk_rows)
+    width = F.greatest(F.lit(lo_w), F.least(F.lit(base), F.floor(
+        (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(spec.chunk_rows)) / F.col("_n"))))
+    return broadcast_if_small(st.select(m, width.cast("long").alias("_cw")), MAX_HOT_MACHINES)
+
+
+def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK, keep_width: bool = False,
+               min_seconds: int | None = None) -> DataFrame:
+    """Add the time-chunk number (monotone in time within a machine) of each row.
+
+    Chunks are ``spec.chunk_seconds`` wide, narrower for hot machines (see
+    :func:`chunk_widths`). ``keep_width`` keeps the width in ``_cw`` (microseconds).
+    """
+    us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
+    base = F.lit(spec.chunk_seconds * 1_000_000)
+    floor_w = F.lit(max(min_seconds or 0, spec.min_chunk_seconds) * 1_000_000)
+    widths = None
+    if WIDTH_COL in df.columns:  # attached once upstream: no second pass over the data
+        out, width = df, F.greatest(F.coalesce(F.col(WIDTH_COL), base), floor_w)
+    else:
+        widths = chunk_widths(df, spec, min_seconds)
+        if widths is None:
+            out, width = df, base
+        else:
+            out, width = _nsjoin(df, widths, [spec.machine], "left"), F.coalesce(F.col("_cw"), base)
+    out = out.withColumn(name, F.floor(us / width).cast("long"))
+    if keep_width:
+        out = out.withColumn("_cwk", width.cast("long"))
+        out = out.drop("_cw") if widths is not None else out
+        return out.withColumnRenamed("_cwk", "_cw")
+    return out.drop("_cw") if widths is not None else out
+
+
+def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
+    """Compute the hot-machine widths once, on the source, and carry them in a column;
+    every later chunking of rows derived from it reuses them."""
+    widths = chunk_widths(df, spec)
+    if widths is None:
+        return df
+    return _nsjoin(df, widths.withColumnRenamed("_cw", WIDTH_COL), [spec.machine], "left")
 
 
 def chunked(df: DataFrame, spec: ReadingSpec) -> DataFrame:
@@ -259,7 +310,7 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
     d = (d.withColumn(spec.state, machine_state(F.col("_f"), F.col(spec.rul)))
           .withColumn(spec.label24, label_within(F.col(spec.rul)))
           .withColumn("degradation", degradation_score(spec.rul, "since_maint_h", rul_cap)))
-    drop = [c for c in d.columns if c.startswith("_")]
+    drop = [c for c in d.columns if c.startswith("_") and c != WIDTH_COL]
     return d.drop(*drop)
 
 

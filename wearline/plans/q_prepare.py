@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.series import lifecycle, rolling_features
+from ..operators.series import attach_chunk_widths, lifecycle, rolling_features
 from ..sources.events import READINGS_CTE, event_readings
 from ..spec import EVENTS_SPEC
 from .catalog import register
@@ -70,7 +70,7 @@ LIFECYCLE_COLS = ("user_id", "event_id", "ts", "failed", "fail_start", "n_failur
 
 def life(spark, sf):
     """Readings with lifecycle columns."""
-    return lifecycle(event_readings(spark, sf), S)
+    return lifecycle(attach_chunk_widths(event_readings(spark, sf), S), S)
 
 
 @register("machine_lifecycle", LIFECYCLE_CTES + "\nSELECT " + ", ".join(LIFECYCLE_COLS)

@@ -44,6 +44,9 @@ class ReadingSpec:
     # width of the time chunks that split one machine's history over tasks;
     # pick it so a chunk holds many more rows than the rolling window
     chunk_seconds: int = 30 * 86_400
+    # a machine with more rows than this gets narrower chunks of about this many rows
+    chunk_rows: int | None = 5_000_000
+    min_chunk_seconds: int = 3600
     extra: dict = field(default_factory=dict)
 
     @property
