@@ -105,7 +105,10 @@ def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
 
 
 def chunked(df: DataFrame, spec: ReadingSpec) -> DataFrame:
-    """Add the chunk and hash-partition on (machine, chunk): the one shuffle of the data."""
+    """Add the chunk and hash-partition on (machine, chunk): the one shuffle of the data.
+    A frame that already carries its chunk (``keep_chunk`` upstream) is reused as is."""
+    if CHUNK in df.columns:
+        return df
     return with_chunk(df, spec).repartition(spec.machine, CHUNK)
 
 
@@ -133,6 +136,22 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
+MAX_BROADCAST_SUMMARY = 5_000_000
+
+
+def _join_summary(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
+    """Left-join a materialised per-chunk summary back on (machine, chunk).
+
+    Plain keys keep the rows' (machine, chunk) hash partitioning: a broadcast join
+    (summary size checked, cheap since it is checkpointed) leaves partitioning and
+    order untouched; a bigger summary is shuffled to the rows, which stay put and
+    are only sorted. Rows without a machine match no summary and get no carry.
+    """
+    if summ.count() <= MAX_BROADCAST_SUMMARY:
+        summ = F.broadcast(summ)
+    return d.join(summ, keys, "left")
+
+
 def halo_from_tails(tails: DataFrame, spec: ReadingSpec, k: int, cols: list[str]) -> DataFrame:
     """For every non-empty chunk, the ``k`` rows of the same machine just before it.
 
@@ -187,7 +206,7 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
     if not split:
         w = Window.partitionBy(spec.machine).orderBy(*spec.order).rowsBetween(-k, 0)
         return df.select("*", *exprs(w))
-    base_cols = df.columns
+    base_cols = [c for c in df.columns if c != CHUNK]
     d = chunked(df, spec)
     w = _w_chunk(spec)
     p1 = d.select("*", F.row_number().over(w).alias("_rn"),
@@ -221,8 +240,9 @@ def row_index(df: DataFrame, spec: ReadingSpec = RAW_SPEC, name: str = "row_idx"
     summ = d.groupBy(m, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     summ = summ.select(m, CHUNK, F.coalesce(F.sum("_n").over(_w_summary(spec).rowsBetween(UNB_PRE, -1)),
                                             F.lit(0)).alias("_before"))
-    return (_nsjoin(d, summ, [m, CHUNK])
-            .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
+    summ = cut_lineage(summ)
+    return (_join_summary(d, summ, [m, CHUNK])
+            .withColumn(name, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rn") - 1).cast("long"))
             .drop("_rn", "_before", CHUNK))
 
 
@@ -232,7 +252,8 @@ def every_nth(df: DataFrame, spec: ReadingSpec = RAW_SPEC, n: int = 4) -> DataFr
 
 
 def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Column = 0,
-              initial_since_maint: int | Column = 0, rul_cap: float = RUL_CAP_HOURS) -> DataFrame:
+              initial_since_maint: int | Column = 0, rul_cap: float = RUL_CAP_HOURS,
+              keep_chunk: bool = False) -> DataFrame:
     """Failure episodes, maintenance counter, age and RUL from a 0/1 failure flag.
 
     Adds, per machine in time order:
@@ -284,7 +305,7 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
         F.max(F.col("_before") + F.col("_en_last_all") - 1).over(pre).alias("_reset_before"),
         F.min("_st_first").over(ws.rowsBetween(1, UNB_FOL)).alias("_next_st_after"),
     ))
-    d = _nsjoin(d, summ, [m, CHUNK])
+    d = _join_summary(d, summ, [m, CHUNK]).fillna(0, ["_before", "_st_before", "_en_before"])
     pf = F.coalesce(F.col("_pf"), F.col("_carry_f"))
     idx = (F.col("_before") + F.col("_rn") - 1).cast("long")
     d = (d.withColumn("row_idx", idx)
@@ -310,8 +331,8 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
     d = (d.withColumn(spec.state, machine_state(F.col("_f"), F.col(spec.rul)))
           .withColumn(spec.label24, label_within(F.col(spec.rul)))
           .withColumn("degradation", degradation_score(spec.rul, "since_maint_h", rul_cap)))
-    drop = [c for c in d.columns if c.startswith("_") and c != WIDTH_COL]
-    return d.drop(*drop)
+    keep = {WIDTH_COL} | ({CHUNK} if keep_chunk else set())
+    return d.drop(*[c for c in d.columns if c.startswith("_") and c not in keep])
 
 
 # ---------------------------------------------------------------------------
@@ -359,7 +380,8 @@ def scan(d: DataFrame, spec: ReadingSpec, specs, order=None) -> DataFrame:
         if how == "sum":
             aggs.append(F.sum(src).alias(f"_a{i}"))
             carries.append(F.coalesce(F.sum(f"_a{i}").over(ws.rowsBetween(UNB_PRE, -1)), F.lit(0)).alias(f"_k{i}"))
-            locals_.append((F.sum(src).over(w.rowsBetween(UNB_PRE, 0)) + F.col(f"_k{i}")).alias(name))
+            locals_.append((F.sum(src).over(w.rowsBetween(UNB_PRE, 0))
+                            + F.coalesce(F.col(f"_k{i}"), F.lit(0))).alias(name))
         elif how == "max":
             aggs.append(F.max(src).alias(f"_a{i}"))
             carries.append(F.max(f"_a{i}").over(ws.rowsBetween(UNB_PRE, -1)).alias(f"_k{i}"))
@@ -371,5 +393,5 @@ def scan(d: DataFrame, spec: ReadingSpec, specs, order=None) -> DataFrame:
         else:
             raise ValueError(how)
     summ = cut_lineage(d.groupBy(m, CHUNK).agg(*aggs).select(m, CHUNK, *carries))
-    j = _nsjoin(d, summ, [m, CHUNK])
+    j = _join_summary(d, summ, [m, CHUNK])
     return j.select(*d.columns, *locals_)

@@ -11,7 +11,7 @@ from ..functions.validation import CHOICES, INTEGER_FIELDS, REQUEST_RANGES, pars
 from ..operators import sampling as H
 from ..operators.encode import category_maps, encode
 from ..operators.scaling import apply_scaler, fit_scaler
-from ..operators.series import rolling_features
+from ..operators.series import attach_chunk_widths, lifecycle, rolling_features
 from ..sources.events import READINGS_CTE, event_readings
 from ..spec import EVENTS_SPEC, MACHINE_TYPES, SITES
 from .catalog import register
@@ -65,9 +65,11 @@ prep AS (SELECT life.*, coalesce(a.code, 0) AS site_code, coalesce(b.code, 0) AS
 
 def prepared(spark, sf):
     """The whole preparation job: lifecycle labels, rolling features, codes."""
-    lf = life(spark, sf)
+    # the lifecycle keeps its (machine, chunk) partitioning for the rolling step
+    lf = lifecycle(attach_chunk_widths(event_readings(spark, sf), S), S, keep_chunk=True)
     rolled = rolling_features(lf, S)
-    maps = category_maps(lf, list(ENCODE_MAP))
+    # classes come from the source scan (same rows), not from the derived frame
+    maps = category_maps(event_readings(spark, sf), list(ENCODE_MAP))
     return encode(rolled, maps, ENCODE_MAP)
 
 
