@@ -7,17 +7,22 @@ Metrics come from :mod:`metrics` (aggregates), splits from :mod:`sampling`.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel,
+                                       LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metrics as M
 from . import sampling as H
@@ -74,9 +79,9 @@ def importances(model, features) -> list[tuple[str, float]]:
     return sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
 
 
-def cv_f1(train: DataFrame, label: str, key, estimator_stages, folds: int) -> tuple[float, float]:
+def cv_f1(train: DataFrame, label: str, key, estimator_stages, folds: int, seed: int = 45) -> tuple[float, float]:
     """F1 over unshuffled stratified folds; mean and population std."""
-    fd = cut_lineage(H.stratified_folds(train, label, key, folds))
+    fd = cut_lineage(H.stratified_folds(train, label, key, folds, seed=seed))
     scores = []
     for f in range(folds):
         model = Pipeline(stages=estimator_stages).fit(fd.where(F.col("fold") != f))
@@ -98,8 +103,11 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     # one short lineage for the many fits that follow (shared checkpoint folder)
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features)))
     split = cut_lineage(H.stratified_split(data, label, key))
-    train = cut_lineage(H.balance(split.where(~F.col("is_test")).drop("is_test"), label, key))
-    test = cut_lineage(H.balance(split.where(F.col("is_test")).drop("is_test"), label, key))
+    # each sampling stage hashes with its own seed: re-using one hash order would make
+    # a later sample (SVM cap, folds) pick the rows an earlier one favoured
+    seed = params["seed"]
+    train = cut_lineage(H.balance(split.where(~F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
+    test = cut_lineage(H.balance(split.where(F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
     n_train = train.count()
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
@@ -113,7 +121,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
         if name in ("random_forest", "gradient_boosting"):
             imps[name] = importances(model.stages[-1], features)
         if with_cv and name in ("random_forest", "gradient_boosting", "decision_tree"):
-            mean, std = cv_f1(train, label, key, stages + [est.copy()], params["cv_folds"])
+            mean, std = cv_f1(train, label, key, stages + [est.copy()], params["cv_folds"], seed=seed + 3)
             m["cv_f1_mean"], m["cv_f1_std"] = mean, std
         rows += [(tag, name, k, float(v)) for k, v in m.items() if k in M.CLASSIFICATION_METRICS + (
             "cv_f1_mean", "cv_f1_std")]
@@ -136,7 +144,7 @@ def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dic
     spark = df.sparkSession
     cols = list(features) + [y] + ([key] if isinstance(key, str) else list(key))
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features) + [y]))
-    split = cut_lineage(H.plain_split(data, key))
+    split = cut_lineage(H.plain_split(data, key, seed=params["seed"]))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
@@ -163,31 +171,48 @@ def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dic
 # RBF-kernel SVM approximated by random Fourier features + LinearSVC
 # ---------------------------------------------------------------------------
 
-def rff_stage(features, n_comp: int, gamma: float, seed: int, in_suffix: str = "_s") -> SQLTransformer:
-    """z_j(x) = sqrt(2/D) cos(w_j . x + b_j), w ~ N(0, 2 gamma), b ~ U(0, 2 pi) (Rahimi & Recht 2007).
-    Built as SQL expressions so the map runs in the JVM."""
-    import numpy as np
+def rff_params(n_features: int, n_comp: int, gamma: float, seed: int):
+    """w ~ N(0, 2 gamma), b ~ U(0, 2 pi): z(x) = sqrt(2/D) cos(W x + b) approximates the
+    RBF kernel exp(-gamma |x - y|^2) (Rahimi & Recht 2007)."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_comp, len(features)))
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_comp, n_features))
     b = rng.uniform(0.0, 2.0 * math.pi, size=n_comp)
-    scale = math.sqrt(2.0 / n_comp)
-    exprs = []
-    for j in range(n_comp):
-        dot = " + ".join(f"{float(w[j, i])!r} * `{c}{in_suffix}`" for i, c in enumerate(features))
-        exprs.append(f"{float(scale)!r} * cos({dot} + {float(b[j])!r}) AS `_rff{j}`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
+    return w, b
+
+
+def rff_column(cols, w, b):
+    """The feature map as an Arrow-batched pandas UDF: one matrix product per batch."""
+    scale = math.sqrt(2.0 / w.shape[0])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def rff(*series: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy(dtype=np.float64) for s in series])
+        return pd.Series(list(scale * np.cos(x @ w.T + b)))
 
+    return array_to_vector(rff(*[F.col(c) for c in cols]))
 
-class _PlattModel:
-    """A fitted RFF-SVM pipeline plus a logistic fit on its margin (probability)."""
 
-    def __init__(self, svm_model: PipelineModel, platt: PipelineModel):
-        self.svm_model, self.platt = svm_model, platt
+class RffSvmModel:
+    """J8 model: scaler -> random Fourier features -> LinearSVC -> logistic fit on the
+    margin (probability). ``transform`` adds ``prediction`` and ``probability``."""
+
+    def __init__(self, features, stats, w, b, svm, platt):
+        self.features, self.stats, self.w, self.b, self.svm, self.platt = list(features), stats, w, b, svm, platt
+
+    def _margin(self, df: DataFrame) -> DataFrame:
+        sc = scaler_stage(self.stats).transform(df)
+        z = sc.withColumn("features", rff_column([f"{c}_s" for c in self.features], self.w, self.b))
+        out = self.svm.transform(z).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
+                  .withColumnRenamed("prediction", "_svm_pred")
+        return out.drop("features", "rawPrediction", *[f"{c}_s" for c in self.features])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.svm_model.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        out = out.drop("features").withColumnRenamed("prediction", "svm_prediction")
-        return self.platt.transform(out.drop("rawPrediction"))
+        """``prediction`` is the sign of the SVM decision; ``probability`` comes from the
+        logistic fit on the margin (as an SVC with probability estimates does)."""
+        m = self._margin(df)
+        m = VectorAssembler(inputCols=["_margin"], outputCol="features").transform(m)
+        out = self.platt.transform(m).drop("features", "_margin", "prediction", "rawPrediction")
+        return out.withColumnRenamed("_svm_pred", "prediction")
 
     def write(self):
         return self
@@ -195,25 +220,36 @@ class _PlattModel:
     def overwrite(self):
         return self
 
-    def save(self, path: str):
-        self.svm_model.write().overwrite().save(os.path.join(path, "svm"))
+    def save(self, path: str) -> None:
+        self.svm.write().overwrite().save(os.path.join(path, "svm"))
         self.platt.write().overwrite().save(os.path.join(path, "platt"))
-
-
-def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dict, key, n_comp: int = 64):
-    """At most ``svm_cap`` training rows (hash order), gamma = 1 / (n_features x var)
-    of the scaled features (= 1 / n_features), RFF map, LinearSVC, Platt scaling."""
-    cap = H.cap_rows(train, key, params["svm_cap"])
-    gamma = 1.0 / len(features)
-    rff = rff_stage(features, n_comp, gamma, params["seed"])
-    asm = VectorAssembler(inputCols=[f"_rff{j}" for j in range(n_comp)], outputCol="features")
-    svm = LinearSVC(labelCol=label, maxIter=params["svm_iter"], regParam=1.0 / max(params["svm_cap"], 1))
-    svm_model = Pipeline(stages=[scaler_stage(stats), rff, asm, svm]).fit(cap)
-    marg = svm_model.transform(cap).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
-                    .drop("features", "rawPrediction", "prediction")
-    platt = Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="features"),
-                             LogisticRegression(labelCol=label, maxIter=100)]).fit(marg)
-    return _PlattModel(svm_model, platt)
+        meta = {"features": self.features, "stats": self.stats, "w": self.w.tolist(), "b": self.b.tolist()}
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+             .write.mode("overwrite").text(os.path.join(path, "meta"))
+
+    @staticmethod
+    def load(path: str) -> "RffSvmModel":
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+        return RffSvmModel(meta["features"], {k: tuple(v) for k, v in meta["stats"].items()}, np.array(meta["w"]),
+                           np.array(meta["b"]), LinearSVCModel.load(os.path.join(path, "svm")),
+                           LogisticRegressionModel.load(os.path.join(path, "platt")))
+
+
+def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dict, key, n_comp: int = 100):
+    """At most ``svm_cap`` training rows (hash order); gamma = 1 / (n_features x var)
+    of the scaled features (= 1 / n_features); RFF map; LinearSVC; Platt scaling."""
+    cap = H.cap_rows(train, key, params["svm_cap"], seed=params["seed"] + 2)
+    w, b = rff_params(len(features), n_comp, 1.0 / len(features), params["seed"])
+    shell = RffSvmModel(features, stats, w, b, None, None)
+    sc = scaler_stage(stats).transform(cap)
+    z = sc.withColumn("features", rff_column([f"{c}_s" for c in features], w, b))
+    shell.svm = LinearSVC(labelCol=label, maxIter=params["svm_iter"],
+                          regParam=1.0 / max(params["svm_cap"], 1)).fit(z)
+    marg = VectorAssembler(inputCols=["_margin"], outputCol="features").transform(shell._margin(cap).drop("_svm_pred"))
+    shell.platt = LogisticRegression(labelCol=label, maxIter=100).fit(marg)
+    return shell
 
 
 # ---------------------------------------------------------------------------
