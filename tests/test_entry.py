@@ -47,3 +47,21 @@ def test_isolation_forest_rates(spark):
     rate = out.agg(F.avg("anomaly")).first()[0]
     assert 0.0 < rate < 0.15
     assert out.where((F.col("iso_score") >= 0) | (F.col("iso_score") < -1)).count() == 0
+
+
+def test_svm_save_load_and_report(spark, tmp_path):
+    from wearline.operators import sampling as H
+    from wearline.operators.metrics import class_report
+    from wearline.operators.scaling import fit_scaler
+    p = prepared(spark, SF_SMALL)
+    feats = list(EVENTS_SPEC.features)
+    train = H.balance(p.select("event_id", *feats, "failed"), "failed", "event_id")
+    svm = ML.fit_rff_svm(train, feats, "failed", fit_scaler(train, feats), ML.QUICK, "event_id")
+    path = str(tmp_path / "svm")
+    svm.save(path)
+    back = ML.RffSvmModel.load(path)
+    a = svm.transform(train).select("event_id", "prediction", ML.p1().alias("p")).orderBy("event_id").collect()
+    b = back.transform(train).select("event_id", "prediction", ML.p1().alias("p")).orderBy("event_id").collect()
+    assert a == b
+    rep = {r["class"]: r for r in class_report(svm.transform(train), "failed", "prediction").collect()}
+    assert set(rep) == {"0", "1", "accuracy", "macro avg", "weighted avg"}

@@ -54,3 +54,10 @@ def test_anomaly_levels(spark):
     n = X.anomaly_normalized("s")
     got = [(r[0], r[1]) for r in df.select(F.round(n, 4), X.anomaly_level("a", n)).collect()]
     assert got == [(1.0, "anomalie"), (0.5, "suspect"), (1.0, "normal")]
+
+
+def test_added_columns(spark):
+    from wearline.functions.validation import added_columns
+    a = spark.createDataFrame([(1, 2, 3)], "x int, y int, z int")
+    b = spark.createDataFrame([(1,)], "y int")
+    assert added_columns(a, b) == ["x", "z"]

@@ -292,3 +292,16 @@ def q_metrics_table(spark, sf):
     longs = [M.long_metrics(M.binary_metrics(s, t, "pred"), {"task": t, "model": "k_threshold"}, METRIC_NAMES)
              for t in ("failed", "fail_24h")]
     return _round(M.metrics_table(longs[0].unionByName(longs[1]), METRIC_NAMES))
+
+
+@register("probability_histogram", SCORED_CTE + """,
+b AS (SELECT min(proba) AS mn, max(proba) AS mx FROM s)
+SELECT upper(CASE WHEN proba >= 0.8 THEN 'critique' WHEN proba >= 0.5 THEN 'élevé' WHEN proba >= 0.3 THEN 'moyen'
+             ELSE 'faible' END) AS risque,
+       CAST(least(floor((proba - mn) / (mx - mn) * 20) + 1, 20) AS BIGINT) AS bin, count(*) AS n
+FROM s, b WHERE proba IS NOT NULL GROUP BY ALL""")
+def q_probability_histogram(spark, sf):
+    """D14 (batch form): 20 equal-width bins of the probability, per risk level."""
+    from ..functions.scalar import proba_risk_upper
+    s = scored(spark, sf).withColumn("risque", proba_risk_upper("proba"))
+    return R.histogram(s, "proba", 20, by="risque")
