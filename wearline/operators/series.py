@@ -18,6 +18,7 @@ plain per-machine window, which is what the tests compare against.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,7 +209,10 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
         w = Window.partitionBy(spec.machine).orderBy(*spec.order).rowsBetween(-k, 0)
         return df.select("*", *exprs(w))
     base_cols = [c for c in df.columns if c != CHUNK]
-    d = chunked(df, spec)
+    # the rows are read twice (chunk edges, then the final pass): keep the shuffled
+    # input on the executors so the upstream plan and its shuffle run once; a lost
+    # block is recomputed from lineage, and a cached relation keeps its partitioning
+    d = chunked(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
     w = _w_chunk(spec)
     p1 = d.select("*", F.row_number().over(w).alias("_rn"),
                   F.count(F.lit(1)).over(Window.partitionBy(spec.machine, CHUNK)).alias("_n"),
