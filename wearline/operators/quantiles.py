@@ -32,11 +32,15 @@ def kth_values(df: DataFrame, value: str, targets: DataFrame, group_cols=(), ) -
         df, targets, g = df.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0)), ["_all"]
     data = df.select(*g, F.col(value).cast("double").alias("_x"))
     # bracket per target: [lo, hi] with `_below` rows strictly under lo
-    bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+                                  F.count(F.lit(1)).alias("_cnt"))
     br = targets.join(bounds, g, "inner")
     br = br.withColumn("_below", F.lit(0).cast("long"))
     br = cut_lineage(br)
-    for _ in range(MAX_ROUNDS):
+    # groups that already fit the final (bounded) ranking window need no refinement
+    rounds = 0 if (br.agg(F.max("_cnt")).first()[0] or 0) <= FINISH_ROWS else MAX_ROUNDS
+    br = br.drop("_cnt")
+    for _ in range(rounds):
         b = broadcast_if_small(br)
         inside = data.join(b, g, "inner").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
