@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..functions.validation import CHOICES, INTEGER_FIELDS, REQUEST_RANGES, parse_requests, validate_requests
+from ..functions.validation import CHOICES, REQUEST_RANGES, parse_requests, validate_requests
 from ..operators import sampling as H
 from ..operators.encode import category_maps, encode
 from ..operators.scaling import apply_scaler, fit_scaler
