@@ -66,11 +66,11 @@ def p1(prob_col: str = "probability"):
     return vector_to_array(F.col(prob_col))[1]
 
 
-def evaluate_classifier(pred: DataFrame, label: str, score: str = "p1") -> DataFrame:
-    """D18 + D19 on a prediction frame: one row of metrics."""
-    m = M.binary_metrics(pred, label, "prediction")
-    auc = M.roc_auc(pred, label, score)
-    return m.join(auc)  # two one-row frames
+def evaluate_classifier(pred: DataFrame, label: str, score: str = "p1") -> dict:
+    """D18 + D19 on a prediction frame: one dict of metrics (two one-row aggregates)."""
+    m = M.binary_metrics(pred, label, "prediction").first().asDict()
+    m["auc_roc"] = M.roc_auc(pred, label, score).first()["auc_roc"]
+    return m
 
 
 def importances(model, features) -> list[tuple[str, float]]:
@@ -116,7 +116,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
         est.setLabelCol(label)
         model = Pipeline(stages=stages + [est]).fit(train)
         pred = model.transform(test).withColumn("p1", p1())
-        m = evaluate_classifier(pred, label).first().asDict()
+        m = evaluate_classifier(pred, label)
         models[name] = model
         if name in ("random_forest", "gradient_boosting"):
             imps[name] = importances(model.stages[-1], features)
@@ -128,7 +128,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     if with_svm:
         svm = fit_rff_svm(train, features, label, stats, params, key)
         pred = svm.transform(test).withColumn("p1", p1())
-        m = evaluate_classifier(pred, label).first().asDict()
+        m = evaluate_classifier(pred, label)
         models["svm"] = svm
         rows += [(tag, "svm", k, float(v)) for k, v in m.items() if k in M.CLASSIFICATION_METRICS]
     if model_dir:
