@@ -76,3 +76,13 @@ def test_knn_brute_force(spark):
             votes[trp.label[i]] = votes.get(trp.label[i], 0.0) + 1.0 / d[i]
         best = sorted(votes.items(), key=lambda t: (-t[1], t[0]))[0][0]
         assert got[q.vec_id] == best
+
+
+def test_daily_sum_fills_empty_days(spark):
+    """Days without rows appear with 0."""
+    import datetime as dt
+    from wearline.operators.reports import daily_sum
+    rows = [(dt.datetime(2024, 1, 1, 5), 1), (dt.datetime(2024, 1, 1, 9), 1), (dt.datetime(2024, 1, 4, 2), 0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, failed int")
+    got = [(r.day.day, r.n) for r in daily_sum(df, "ts", "failed", "n").orderBy("day").collect()]
+    assert got == [(1, 2), (2, 0), (3, 0), (4, 0)]
