@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wearline.llm import language, mixing, packing, quality
+from wearline.llm import language, mixing, ngram_join, packing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language_id": language.op7_language_id,
+    "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
