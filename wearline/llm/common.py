@@ -74,24 +74,23 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` of longs -> ``(node, root)``.
 
-    Every round each node joins the neighbour (or itself) with the least hash of that
-    round and the graph is contracted, so long chains shrink by a constant share and
-    nothing but node and edge tables is ever moved. Pre-aggregated minima keep a hub
-    with many edges from landing in one task. ``root`` is some node of the component.
+    Every round each node takes the least name (by that round's hash) within two steps and
+    the graph is contracted to the names taken: stars vanish at once and long chains shrink
+    by a constant share. Nothing but node and edge tables is ever moved, and minima are
+    aggregated before the shuffle, so a hub with many edges is no single task.
+    ``root`` is some node of the component.
     """
     edges = cut_lineage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
-    labels = cut_lineage(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-                         .select("node", F.col("node").alias("root")))
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root"))
     for i in range(max_rounds):
         if edges.isEmpty():
-            return labels
+            return cut_lineage(labels)
+        name = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = edges.union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("v"))
-        step = (both.groupBy("a").agg(F.min(order("b")).alias("m"))
-                .select(F.col("a").alias("v"), F.least(F.col("m"), order("a"))["v"].alias("to")))
-        step = cut_lineage(step)
-        labels = cut_lineage(labels.join(step, labels["root"] == step["v"], "left")
-                             .select("node", F.coalesce("to", "root").alias("root")))
+        near = both.groupBy("a").agg(F.min(name("b")).alias("m")).select("a", F.least("m", name("a")).alias("m"))
+        far = both.join(near.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").groupBy("a").agg(F.min("mb").alias("mb"))
+        step = cut_lineage(near.join(far, "a").select(F.col("a").alias("v"), F.least("m", "mb")["v"].alias("to")))
+        labels = labels.join(step, labels["root"] == step["v"], "left").select("node", F.coalesce("to", "root").alias("root"))
         s1, s2 = step.select(F.col("v").alias("a"), F.col("to").alias("ta")), step.select(F.col("v").alias("b"), F.col("to").alias("tb"))
         edges = cut_lineage(edges.join(s1, "a").join(s2, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
                             .where("a <> b").distinct())

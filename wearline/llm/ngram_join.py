@@ -41,27 +41,54 @@ BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
 #: Up to this many texts are looked up by a broadcast of their keys (16 bytes each).
 BROADCAST_KEYS = 2_000_000
-CACHE_WORDS = 300_000
+#: Bytes of a text that are hashed at once.
+PIECE_BYTES = 1 << 20
 
 
 # --- shingles and signatures ----------------------------------------------------------------------
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash; a full cache is emptied."""
+@lru_cache(maxsize=1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.uint64, np.uint64]:
+    """Random value of each byte, which bytes are white space, a factor and its inverse mod 2^64."""
+    rng = np.random.default_rng(5)
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    factor = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+    return rng.integers(0, 2**64, 256, dtype=np.uint64), space, np.uint64(factor), np.uint64(pow(factor, -1, 2**64))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n-1 of the factor and of its inverse."""
+    _, _, factor, inverse = _byte_tables()
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, f, np.uint64)])) for f in (factor, inverse))
 
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = h
-        return h
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words (runs of bytes that are no ASCII white space), in order.
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> WordHashes:
-    return WordHashes()
+    A word's hash is the sum of its bytes' values times powers of a factor, taken from
+    running sums over the text, which goes piece by piece, cut at white space.
+    """
+    values, space, _, _ = _byte_tables()
+    raw, found, start = np.frombuffer(data, np.uint8), [], 0
+    while start < len(raw):
+        end = start + PIECE_BYTES
+        while end < len(raw) and not space[raw[end]]:
+            end += 1
+        part = raw[start:end]
+        start = end
+        inside = ~space[part]
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        first, after = edge[::2], edge[1::2]
+        if len(first):
+            up, down = _powers(max(1 << 16, 1 << (len(part) - 1).bit_length()))
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(values[part] * up[: len(part)])])
+                found.append(_mix((sums[after] - sums[first]) * down[first] + (after - first).astype(np.uint64)))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,12 +98,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(words: list[bytes], n: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the n-word shingles, sorted; a shorter text is one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
+def shingles(h: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the n-word shingles of word hashes, sorted; a shorter text is one shingle."""
+    if not len(h):
+        return h
+    k = min(n, len(h))
     acc = np.full(len(h) - k + 1, k, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
@@ -112,9 +138,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k1, k2, n, labels, sketches = [], [], [], [], []
         for text in batch.column(batch.num_columns - 1):
-            words = (text.as_py() or "").encode().split()  # bytes split at ASCII white space only
+            words = word_hashes(text.as_buffer() if text.is_valid else b"")
             sh = shingles(words)
-            d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+            d = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
             k1.append(int.from_bytes(d[:8], "little", signed=True)), k2.append(int.from_bytes(d[8:], "little", signed=True))
             n.append(len(sh))
             if len(sh):
@@ -181,7 +207,7 @@ def in_runs(key: list[str], work: Callable, out_schema: pa.Schema):
 
 
 def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs over 0 .. n-1."""
+    """Stars with the connected sets of the pairs over 0 .. n-1: (least, member)."""
     up = list(range(n))
 
     def root(x: int) -> int:
@@ -190,13 +216,11 @@ def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    out = []
     for a, b in pairs:
         ra, rb = root(a), root(b)
         if ra != rb:
             up[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    return [(root(x), x) for x in range(n) if root(x) != x]
 
 
 def _alike(tab: pa.Table) -> list[tuple[int, int]]:
@@ -261,7 +285,7 @@ def _verify(similarity: float):
         uid = np.array(list(seen))
         texts, side = tab.column("text"), tab.column("side").to_numpy()[rows]
         copies = tab.column("copies").to_numpy()[rows]
-        sets = [shingles((texts[i].as_py() or "").encode().split()) for i in rows]
+        sets = [shingles(word_hashes(texts[i].as_buffer())) for i in rows]
         if len(rows) == 2:
             both = len(np.intersect1d(*sets, assume_unique=True))
             linked = np.zeros((2, 2), bool)
