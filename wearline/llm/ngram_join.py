@@ -20,7 +20,7 @@ along (``keep_one``). A class is named by its least doc_id, null if it has none.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.llm.common import connected_components, cut_lineage, row_keyed, table
+from wearline.llm.runs import in_runs
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -164,48 +165,6 @@ def prefix_depth(similarity: float = SIMILARITY, target: float = TARGET_RECALL)
 # --- comparing sorted runs in blocks --------------------------------------------------------------
 
 
-def in_runs(key: list[str], work: Callable, out_schema: pa.Schema):
-    """Arrow function over batches sorted by ``key``: calls ``work(rows)`` once per run of equal keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, found = [], []
-
-        def finish(tab: pa.Table) -> None:
-            found.extend(work(tab))
-
-        def emit() -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) if found else [[] for _ in out_schema]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in key]
-            change = np.zeros(batch.num_rows, bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if s == e:
-                    continue
-                here = tuple(c[s] for c in cols)
-                if waiting and waiting[0] != here:
-                    finish(pa.Table.from_batches(waiting[1]))
-                    waiting = []
-                if waiting:
-                    waiting[1].append(batch.slice(s, e - s))
-                else:
-                    waiting = [here, [batch.slice(s, e - s)]]
-            if len(found) >= 20_000:
-                yield emit()
-        if waiting:
-            finish(pa.Table.from_batches(waiting[1]))
-        yield emit()
-
-    return run
-
-
 def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Stars with the connected sets of the pairs over 0 .. n-1: (least, member)."""
     up = list(range(n))
@@ -386,7 +345,7 @@ def classes(keyed: DataFrame, key: list[str], similarity: float = SIMILARITY) ->
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, text_links`` (see ``classes``)."""
     rows = cut_lineage(classes(docs.select("doc_id", "text"), ["doc_id"], similarity))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    names = cut_lineage(rows.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     return rows.join(names, "root").select("doc_id", "class_id", "n_links", "text_links")
 
 
