@@ -55,29 +55,32 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+def template_table(spark: SparkSession, templates=TEMPLATES) -> list:
     """``(license, t, m, bands)``: the shingle set of every template of at least five words, its size, its bands."""
-    rows = spark.createDataFrame(list(templates), "license string, _t string").select("license", F.array_distinct(_shingles(_words(F.col("_t")))).alias("t"))
-    return rows.where(F.size("t") > 0).select("license", "t", F.size("t").alias("m"), _bands(F.col("t")).alias("bands"))
+    rows = spark.createDataFrame(list(templates), "license string, _t string")
+    rows = rows.select("license", _words(F.col("_t")).alias("w")).select("license", _shingles(F.col("w")).alias("t")).collect()  # the parameter's rows
+    sets = [(r["license"], sorted(set(r["t"])), len(set(r["t"]))) for r in rows if r["t"]]
+    return spark.createDataFrame(sets, "license string, t array<long>, m int").withColumn("bands", _bands(F.col("t"))).collect() if sets else []
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document and license found: ``doc_id, license, first_word, n_words, containment, n_windows``."""
     spark = docs.sparkSession
-    fixed = template_table(spark, templates).collect()  # the parameter's own rows
+    fixed = template_table(spark, templates)
     if not fixed:
         return spark.createDataFrame([], "doc_id long, license string, first_word long, n_words long, containment double, n_windows long")
     known = F.array(*[F.lit(s) for s in sorted({s for r in fixed for s in r["t"]})])
     sizes = sorted({r["m"] for r in fixed})
-    d = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", _shingles(F.col("w")).alias("s"))
-    d = d.where(F.arrays_overlap("s", known))
-    d = cut_lineage(d.withColumn("uid", F.monotonically_increasing_id()))  # texts with any template shingle only
+    # the row number also keeps the filter above this projection, so that words are split once
+    d = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), _words(F.coalesce("text", F.lit(""))).alias("w"))
+    d = cut_lineage(d.select("doc_id", "uid", _shingles(F.col("w")).alias("s")).where(F.arrays_overlap("s", known)))  # texts with any template shingle
     marked = d.select("doc_id", "uid", "s", F.transform("s", lambda x: F.array_contains(known, x)).alias("hit"))
     # windows of every template size that hold a template shingle: starts up to m - 1 before a hit
     starts = lambda m: F.array_distinct(F.flatten(F.transform(
         F.filter(F.transform("hit", lambda h, i: F.when(h, i)), lambda i: i.isNotNull()),
         lambda i: F.sequence(F.greatest(i - (m - 1), F.lit(0)), i))))
-    each = F.flatten(F.array(*[F.transform(starts(m), lambda i, m=m: F.struct(F.lit(m).alias("m"), i.alias("at"))) for m in sizes]))
+    placed = lambda m: F.transform(starts(m), lambda i: F.struct(F.lit(m).alias("m"), i.alias("at")))
+    each = F.flatten(F.array(*[placed(m) for m in sizes]))
     windows = marked.select("doc_id", "uid", "s", F.explode(each).alias("x"))
     windows = windows.select("doc_id", "uid", F.col("x.m").alias("m"), F.col("x.at").alias("at"),
                              F.array_distinct(F.slice("s", F.col("x.at") + 1, F.col("x.m"))).alias("v"))

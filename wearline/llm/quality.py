@@ -134,12 +134,19 @@ def quality(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RA
 
 
 def reject(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` without the documents that the rules or their host's verdict reject."""
+    """``docs`` without the documents that the rules or their host's verdict reject.
+
+    Rules are computed once for the hosts' rates and once more for the rows that stay, which
+    moves no text. The verdict is built as an array element: a plain filter would be pushed
+    below the word split and split the words again for every window.
+    """
     d = docs.select("*", F.col(host).alias("_host"), F.col("text").alias("_text"))
     rules = _features(d, [F.col("_host")])
     hosts = host_verdicts(rules.select("_host", _failed_any().alias("_fail")), max_rate)
     rows = _features(d, [F.col(c) for c in docs.columns] + [F.col("_host")])
-    return _with_verdicts(rows, hosts).where("_kept").select(*docs.columns)
+    kept = _with_verdicts(rows, hosts)
+    one = F.when(F.col("_kept"), F.array(F.struct(*docs.columns))).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))
+    return kept.select(F.inline(one)).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
