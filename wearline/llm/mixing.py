@@ -135,7 +135,9 @@ def slot_counts(per: DataFrame) -> DataFrame:
 
 def drawn_blocks(per: DataFrame) -> DataFrame:
     """``(_src, _block, _pass)``: a row for every slot, with the block that it maps to."""
-    slots = (slot_counts(per).select("_src", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    # few rows become many here: dealt out first, or they would stay in the few tasks that hold them
+    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = (slot_counts(per).repartition(parts, "_src", "first").select("_src", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
              .withColumn("_pass", F.floor(F.col("k") / F.col("blocks")).cast("long")))
     salt = F.xxhash64(F.col("_src"), F.col("_pass"))
     return slots.select("_src", "_pass", _place(F.col("k") % F.col("blocks"), F.col("blocks"), salt).alias("_block"))
