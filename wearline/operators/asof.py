@@ -8,11 +8,11 @@ machine is spread over its time chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import ReadingSpec
-from .series import CHUNK, chunked, epoch_micros, hours_between, scan, with_chunk
+from .series import chunked, hours_between, scan
 
 
 def inside_intervals(readings: DataFrame, intervals: DataFrame, spec: ReadingSpec,
@@ -68,35 +68,28 @@ def counts_in_past(readings: DataFrame, events: DataFrame, spec: ReadingSpec, ki
                    hours: int = 24, suffix: str = "_24h") -> DataFrame:
     """Per reading, number of events of each kind in ``[ts - hours, ts]`` (pivoted).
 
-    A time-range frame per (machine, chunk); events of the last ``hours`` of a
-    chunk are copied into the next chunk as a halo, so a chunk needs nothing
-    else. Requires chunk width >= ``hours``.
+    A sweep: every event counts +1 from its time and -1 just after ``ts + hours``
+    (readings at that very time still see it), and the running sums of each kind
+    are carried over the chunks, so the work is linear however dense the rows are.
     """
-    if spec.chunk_seconds < hours * 3600:
-        raise ValueError("chunk_seconds must cover the lookback window")
     m, ts = spec.machine, spec.ts
     cols = readings.columns
     r = readings.withColumn("_kind", F.lit(1))
-    ev = events.select(m, ts, kind_col).withColumn("_kind", F.lit(0))
+    ev = events.select(m, ts, kind_col)
+    gone = ev.withColumn(ts, (F.col(ts) + F.expr(f"INTERVAL {int(hours)} HOURS")).cast(readings.schema[ts].dataType))
+    ev = ev.withColumn("_kind", F.lit(0)).unionByName(gone.withColumn("_kind", F.lit(2)))
     for c in cols:
         if c not in ev.columns:
             ev = ev.withColumn(c, F.lit(None).cast(dict(readings.dtypes)[c]))
     if kind_col not in cols:
         r = r.withColumn(kind_col, F.lit(None).cast("string"))
-    # both sides chunked together so they share each machine's chunk width
-    u = with_chunk(r.unionByName(ev.select(*cols, kind_col, "_kind")), spec, keep_width=True,
-                   min_seconds=hours * 3600)
-    us = epoch_micros(ts, readings.schema[ts].dataType)
-    look = hours * 3600 * 1_000_000
-    u = u.withColumn("_us", us)
-    halo = u.where((F.col("_kind") == 0) & (F.col("_us") >= (F.col(CHUNK) + 1) * F.col("_cw") - F.lit(look))) \
-            .withColumn(CHUNK, F.col(CHUNK) + 1).withColumn("_halo", F.lit(True))
-    u = u.withColumn("_halo", F.lit(False)).unionByName(halo)
-    w = Window.partitionBy(m, CHUNK).orderBy("_us").rangeBetween(-look, 0)
-    outs = [F.count(F.when((F.col("_kind") == 0) & (F.col(kind_col) == kd), 1)).over(w).alias(f"{kd}{suffix}")
-            for kd in kinds]
-    s = u.select("*", *outs)
-    return s.where((F.col("_kind") == 1) & ~F.col("_halo")).select(*cols, *[f"{kd}{suffix}" for kd in kinds])
+    u = chunked(r.unionByName(ev.select(*cols, kind_col, "_kind")), spec)
+    step = F.when(F.col("_kind") == 0, F.lit(1)).when(F.col("_kind") == 2, F.lit(-1)).otherwise(F.lit(0))
+    for kd in kinds:
+        u = u.withColumn(f"_d_{kd}", F.when(F.col(kind_col) == kd, step).otherwise(F.lit(0)).cast("long"))
+    order = [ts, "_kind"] + ([spec.tie] if spec.tie else [])
+    s = scan(u, spec, [(f"_d_{kd}", "sum", f"{kd}{suffix}") for kd in kinds], order=order)
+    return s.where(F.col("_kind") == 1).select(*cols, *[F.col(f"{kd}{suffix}").cast("long").alias(f"{kd}{suffix}") for kd in kinds])
 
 
 def next_event_after(readings: DataFrame, events: DataFrame, spec: ReadingSpec,

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import metrics as M
 from . import sampling as H
-from ..session import cut_lineage
+from ..session import cut_lineage, path_exists
 from .scaling import fit_scaler
 
 # Model parameters of the reference training job.
@@ -262,7 +262,7 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     """A10: load a saved pipeline; a missing model is a clear error."""
-    if not os.path.exists(path) and "://" not in path:
+    if not path_exists(SparkSession.getActiveSession(), path):
         raise FileNotFoundError(f"model not found: {path}")
     return PipelineModel.load(path)
 

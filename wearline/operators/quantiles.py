@@ -3,8 +3,8 @@
 ``kth_values`` finds, per group, the value of rank ``k`` (1-based, ascending)
 by bracket refinement: each round counts rows per (group, target, bucket) with
 an ordinary aggregate, keeps only the bucket that holds the wanted rank, and
-repeats on the rows inside it. When a bracket holds few rows (or one distinct
-value) the answer is read with a window over those rows only. Every round is a
+repeats on the rows inside it. A bracket of one distinct value is the answer; one
+of few rows is ranked with a window over those rows only. Every round is a
 scan plus a small aggregate; memory never depends on the group size.
 """
 
@@ -17,7 +17,7 @@ from ..session import broadcast_if_small, cut_lineage
 
 BUCKETS = 4096
 FINISH_ROWS = 200_000
-MAX_ROUNDS = 12
+MAX_ROUNDS = 200  # a bracket shrinks 4096-fold a round: the whole range of doubles takes 175
 
 
 def kth_values(df: DataFrame, value: str, targets: DataFrame, group_cols=(), ) -> DataFrame:
@@ -34,37 +34,36 @@ def kth_values(df: DataFrame, value: str, targets: DataFrame, group_cols=(), ) -
     # bracket per target: [lo, hi] with `_below` rows strictly under lo
     bounds = data.groupBy(*g).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                   F.count(F.lit(1)).alias("_cnt"))
-    br = targets.join(bounds, g, "inner")
-    br = br.withColumn("_below", F.lit(0).cast("long"))
-    br = cut_lineage(br)
-    # groups that already fit the final (bounded) ranking window need no refinement
-    rounds = 0 if (br.agg(F.max("_cnt")).first()[0] or 0) <= FINISH_ROWS else MAX_ROUNDS
-    br = br.drop("_cnt")
-    for _ in range(rounds):
-        b = broadcast_if_small(br)
+    br = cut_lineage(targets.join(bounds, g, "inner").withColumn("_below", F.lit(0).cast("long")))
+    closed = None
+    for _ in range(MAX_ROUNDS):
+        # one value left: that is the answer, however many rows share it
+        done = br.where(F.col("_lo") == F.col("_hi")).select(*g, "_t", F.col("_lo").alias("_v"))
+        closed = done if closed is None else closed.unionByName(done)
+        br = br.where(F.col("_lo") < F.col("_hi"))
+        if (br.agg(F.max("_cnt")).first()[0] or 0) <= FINISH_ROWS:
+            break
+        b = broadcast_if_small(br.drop("_cnt"))
         inside = data.join(b, g, "inner").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
-        bucket = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("_x") - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
+        bucket = F.least(F.floor((F.col("_x") - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
         cnt = inside.groupBy(*g, "_t", "_k", "_below", "_lo", "_hi", bucket.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
         w = Window.partitionBy(*g, "_t").orderBy("_b")
         cnt = cnt.withColumn("_cum", F.col("_below") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         pick = cnt.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k")))
-        nxt = pick.select(*g, "_t", "_k", (F.col("_cum") - F.col("_c")).alias("_below"),
-                          F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), "_c")
-        nxt = cut_lineage(nxt)
-        stats = nxt.agg(F.max("_c").alias("mx"), F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_c"))).alias("open"))
-        row = stats.first()
-        br = nxt.drop("_c")
-        if row["open"] is None or row["mx"] <= FINISH_ROWS:
-            break
+        br = cut_lineage(pick.select(*g, "_t", "_k", (F.col("_cum") - F.col("_c")).alias("_below"),
+                                     F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), F.col("_c").alias("_cnt")))
+    else:
+        raise RuntimeError(f"kth_values: brackets still open after {MAX_ROUNDS} rounds")
+    br = br.drop("_cnt")
     # finish: rank the rows inside each (small) bracket
     b = broadcast_if_small(br)
     inside = data.join(b, g, "inner").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
     w = Window.partitionBy(*g, "_t").orderBy("_x")
     ranked = inside.withColumn("_r", F.col("_below") + F.row_number().over(w))
     out = ranked.where(F.col("_r") == F.col("_k")).select(*g, "_t", F.col("_x").alias("_v"))
+    out = out.unionByName(closed)
     return out.drop("_all") if added else out
 
 
@@ -77,6 +76,7 @@ def percentiles(df: DataFrame, value: str, probs, group_cols=()) -> DataFrame:
     data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if not g:
         data, g = data.withColumn("_all", F.lit(0)), ["_all"]
+    data = cut_lineage(data.select(*g, value))  # read once more in every round
     n = data.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     rows = []
     for i, p in enumerate(probs):

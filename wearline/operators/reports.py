@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import ReadingSpec
+from ..session import broadcast_if_small, cut_lineage
 from .quantiles import percentiles
 
 
@@ -49,11 +50,9 @@ def daily_sum(df: DataFrame, ts: str, col: str, name: str = "total") -> DataFram
 
 def means_by(df: DataFrame, group: str, cols, ascending: bool = False) -> DataFrame:
     """Mean of each column per group, long form (sensor, group, mean)."""
-    parts = [df.groupBy(group).agg(F.avg(c).alias("mean")).select(F.lit(c).alias("sensor"), group, "mean")
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    wide = df.groupBy(group).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])  # one pass
+    parts = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
+    out = wide.select(F.col(group), F.expr(f"stack({len(cols)}, {parts}) AS (sensor, mean)")).select("sensor", group, "mean")
     return out.orderBy("sensor", F.asc("mean") if ascending else F.desc("mean"))
 
 
@@ -96,7 +95,7 @@ def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
     data = df.select(group, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     q = percentiles(data, "x", (0.25, 0.5, 0.75), [group]).select(
         group, F.col("p25").alias("q1"), F.col("p50").alias("median"), F.col("p75").alias("q3"))
-    j = data.join(q, group)  # q: one row per group
+    j = data.join(broadcast_if_small(cut_lineage(q)), group)  # q: one row per group
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
     return j.groupBy(group, "q1", "median", "q3").agg(

@@ -119,8 +119,12 @@ def _w_chunk(spec: ReadingSpec, desc: bool = False):
     return Window.partitionBy(spec.machine, CHUNK).orderBy(*order)
 
 
-def _w_summary(spec: ReadingSpec):
-    return Window.partitionBy(spec.machine).orderBy(CHUNK)
+def _w_summary(spec: ReadingSpec, desc: bool = False):
+    return Window.partitionBy(spec.machine).orderBy(F.col(CHUNK).desc() if desc else F.col(CHUNK))
+
+
+# "The next value" is read as a preceding frame over the reversed order: Spark updates such a
+# frame row by row, whereas a frame up to the last row is computed anew for every row.
 
 
 # ---------------------------------------------------------------------------
@@ -308,7 +312,7 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
         F.coalesce(F.sum("_st_tot").over(pre), F.lit(0)).alias("_st_before"),
         F.coalesce(F.sum("_en_tot").over(pre), F.lit(0)).alias("_en_before"),
         F.max(F.col("_before") + F.col("_en_last_all") - 1).over(pre).alias("_reset_before"),
-        F.min("_st_first").over(ws.rowsBetween(1, UNB_FOL)).alias("_next_st_after"),
+        F.min("_st_first").over(_w_summary(spec, desc=True).rowsBetween(UNB_PRE, -1)).alias("_next_st_after"),
     ))
     d = _join_summary(d, summ, [m, CHUNK]).fillna(0, ["_before", "_st_before", "_en_before"])
     pf = F.coalesce(F.col("_pf"), F.col("_carry_f"))
@@ -323,7 +327,7 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
           .withColumn("_reset", F.greatest(F.col("_reset_before"),
                                            F.max(F.when(F.col("maint_edge") == 1, F.col("row_idx"))).over(run)))
           .withColumn("_next_local", F.min(F.when(F.col("fail_start") == 1, F.col(spec.ts)))
-                      .over(w.rowsBetween(1, UNB_FOL))))
+                      .over(_w_chunk(spec, desc=True).rowsBetween(UNB_PRE, -1))))
     init_age = initial_age if isinstance(initial_age, Column) else F.lit(initial_age)
     init_sm = initial_since_maint if isinstance(initial_since_maint, Column) else F.lit(initial_since_maint)
     next_ts = F.coalesce(F.col("_next_local"), F.col("_next_st_after"))
@@ -379,6 +383,7 @@ def scan(d: DataFrame, spec: ReadingSpec, specs, order=None) -> DataFrame:
     m = spec.machine
     order = order or spec.order
     w = Window.partitionBy(m, CHUNK).orderBy(*order)
+    w_back = Window.partitionBy(m, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     ws = _w_summary(spec)
     aggs, carries, locals_ = [], [], []
     for i, (src, how, name) in enumerate(specs):
@@ -393,8 +398,8 @@ def scan(d: DataFrame, spec: ReadingSpec, specs, order=None) -> DataFrame:
             locals_.append(F.greatest(F.max(src).over(w.rowsBetween(UNB_PRE, 0)), F.col(f"_k{i}")).alias(name))
         elif how == "next_min":
             aggs.append(F.min(src).alias(f"_a{i}"))
-            carries.append(F.min(f"_a{i}").over(ws.rowsBetween(1, UNB_FOL)).alias(f"_k{i}"))
-            locals_.append(F.coalesce(F.min(src).over(w.rowsBetween(1, UNB_FOL)), F.col(f"_k{i}")).alias(name))
+            carries.append(F.min(f"_a{i}").over(_w_summary(spec, desc=True).rowsBetween(UNB_PRE, -1)).alias(f"_k{i}"))
+            locals_.append(F.coalesce(F.min(src).over(w_back.rowsBetween(UNB_PRE, -1)), F.col(f"_k{i}")).alias(name))
         else:
             raise ValueError(how)
     summ = cut_lineage(d.groupBy(m, CHUNK).agg(*aggs).select(m, CHUNK, *carries))

@@ -105,11 +105,12 @@ def q_preview(spark, sf):
 
 
 @register("machine_codes", f"""WITH {READINGS_CTE}
-SELECT DISTINCT user_id, site, site || '-M' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') AS machine_code FROM r""")
+SELECT DISTINCT user_id, site, site || '-M' ||
+  CASE WHEN user_id < 10 THEN '0' ELSE '' END || CAST(user_id AS VARCHAR) AS machine_code FROM r""")
 def q_machine_codes(spark, sf):
     """Zero-padded machine code ``<site>-Mnn``."""
     r = event_readings(spark, sf)
-    return r.select("user_id", "site", X.machine_code("site", F.col("user_id") % 100).alias("machine_code")).distinct()
+    return r.select("user_id", "site", X.machine_code("site", F.col("user_id")).alias("machine_code")).distinct()
 
 
 # --- B7 / I12: request validation ---------------------------------------------
