@@ -32,7 +32,7 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_keyed(df: DataFrame, file_col: str = "_kf", row_col: str = "_kr") -> DataFrame:
+def row_keyed(df: DataFrame, file_col: str = "__file", row_col: str = "__place") -> DataFrame:
     """``df`` with a key of two longs that names each row, whatever its columns hold.
 
     The key is the Parquet file (hashed path) and the row's place in it, so the same

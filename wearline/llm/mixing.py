@@ -198,21 +198,24 @@ def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     """
     columns = docs.columns
     keyed = row_keyed(docs)
-    key = ["_kf", "_kr"]
+    key = ["__file", "__place"]
     sizes = cut_lineage(keyed.select(*key, F.col(source).cast("string").alias("_src"), word_count(F.col("text")).alias("_size")))
     per = targets(sizes)
     laid = cut_lineage(laid_out(sizes, key))
     spans = (_drawn_overlaps(laid, per, key, True).groupBy(*key, "_pass")
              .agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_spans")))  # a document's own blocks
-    got = spans.select(F.col("_kf").alias("_gf"), F.col("_kr").alias("_gr"), "_spans")
-    rows = keyed.join(got, (keyed["_kf"] == got["_gf"]) & (keyed["_kr"] == got["_gr"]))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["_hi"] - s["_lo"]) == word_count(F.col("text"))
+    got = spans.select(F.col("__file").alias("_gf"), F.col("__place").alias("_gr"), "_spans").hint("merge")  # grows with the corpus: no broadcast
+    rows = keyed.select(*key, F.col("text").alias("_t"), F.struct(*[F.col(c) for c in columns]).alias("_all"))
+    rows = rows.join(got, (rows["__file"] == got["_gf"]) & (rows["__place"] == got["_gr"]))
+    words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["_hi"] - s["_lo"]) == word_count(F.col("_t"))
     cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
         "_spans", lambda s: F.slice(w, (s["_lo"] + 1).cast("int"), (s["_hi"] - s["_lo"]).cast("int")))), " ")), F.lit(0))
-    rows = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
-    return rows.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in columns])
+    rows = rows.withColumn("_text", F.when(whole, F.col("_t")).otherwise(cut))
+    new = {"text": F.col("_text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[(new[c] if c in new else F.col("_all")[c]).alias(c) for c in columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

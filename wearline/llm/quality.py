@@ -140,13 +140,12 @@ def reject(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RAT
     moves no text. The verdict is built as an array element: a plain filter would be pushed
     below the word split and split the words again for every window.
     """
-    d = docs.select("*", F.col(host).alias("_host"), F.col("text").alias("_text"))
+    d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_all"), F.col(host).alias("_host"), F.col("text").alias("_text"))
     rules = _features(d, [F.col("_host")])
     hosts = host_verdicts(rules.select("_host", _failed_any().alias("_fail")), max_rate)
-    rows = _features(d, [F.col(c) for c in docs.columns] + [F.col("_host")])
-    kept = _with_verdicts(rows, hosts)
-    one = F.when(F.col("_kept"), F.array(F.struct(*docs.columns))).otherwise(F.array().cast(f"array<{docs.schema.simpleString()}>"))
-    return kept.select(F.inline(one)).select(*docs.columns)
+    kept = _with_verdicts(_features(d, [F.col("_all"), F.col("_host")]), hosts)
+    none = F.array().cast(f"array<{d.schema['_all'].dataType.simpleString()}>")
+    return kept.select(F.inline(F.when(F.col("_kept"), F.array("_all")).otherwise(none)))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
