@@ -32,8 +32,8 @@ from wearline.llm.common import table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes of a worker's trie, about 300 bytes each.
-MAX_NODES = 400_000
+#: Nodes of a worker's trie, about 200 bytes each.
+MAX_NODES = 1_000_000
 #: Counts of whole pre-tokens that a worker keeps beside it, about 100 bytes each.
 MAX_WORDS = 800_000
 COUNTS = "doc_id long, n_pretokens long, n_tokens long"
@@ -62,7 +62,7 @@ class Node:
     __slots__ = ("children", "score", "tokens", "terminal")
 
     def __init__(self, score: float, tokens: int):
-        self.children: dict[str, Node] = {}
+        self.children: dict[str, Node] | None = None
         self.score, self.tokens = score, tokens
         self.terminal: int | None = None
 
@@ -81,12 +81,13 @@ class UnigramTrie:
 
     def _extended(self, path: list[Node], text: str, end: int) -> Node:
         """The node of text[:end], scored from the nodes of its shorter prefixes."""
-        n_bytes = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        best, tokens = path[end - 1].score + n_bytes * self.byte_score, path[end - 1].tokens + n_bytes
-        get = self.scores.get
+        last, get, endings = text[end - 1], self.scores.get, self.endings
+        n_bytes = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
+        before = path[end - 1]
+        best, tokens = before.score + n_bytes * self.byte_score, before.tokens + n_bytes
         for start in range(end - 1, max(-1, end - self.longest - 1), -1):
             piece = text[start:end]
-            if piece not in self.endings:  # no piece ends like this, so no longer one does
+            if piece not in endings:  # no piece ends like this, so no longer one does
                 break
             s = get(piece)
             if s is not None:
@@ -103,9 +104,12 @@ class UnigramTrie:
             return self._long(pretoken)
         node, path = self.root, [self.root]
         for end, c in enumerate(pretoken, 1):
-            child = node.children.get(c)
+            child = node.children.get(c) if node.children else None
             if child is None:
-                child = node.children[c] = self._extended(path, pretoken, end)
+                child = self._extended(path, pretoken, end)
+                if node.children is None:
+                    node.children = {}
+                node.children[c] = child
                 self.nodes += 1
             path.append(child)
             node = child
