@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wearline.operators.asof import counts_in_past
 from wearline.operators.quantiles import percentiles
-from wearline.operators.series import lifecycle, rolling_features
+from wearline.operators.series import lifecycle, rolling_features, with_chunk
 from wearline.sources import io
 from wearline.functions.validation import parse_requests, split_valid
 from wearline.spec import EVENTS_SPEC, RAW_SCHEMA
@@ -84,3 +84,17 @@ def test_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
         q = start_scoring(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / f"ckpt{k}"), lambda d: d)
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_rolling_cuts_hot_machines_only(spark):
+    """Machine 1 has 400 rows (hot), the others 20: only machine 1 is cut, all equal the plain window."""
+    spec = EVENTS_SPEC.with_(chunk_rows=100, min_chunk_seconds=1)
+    d = (spark.range(500).select(F.when(F.col("id") < 400, F.lit(1)).otherwise(2 + F.floor((F.col("id") - 400) / 20)).cast("long").alias("user_id"),
+                                 F.col("id").alias("event_id"), F.expr("timestampadd(SECOND, id % 400 * 600, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("ts"),
+                                 (F.col("id") * 7919 % 101).cast("double").alias("value"), (F.col("id") % 13).cast("int").alias("k"),
+                                 F.lit(0).alias("failed")))
+    chunks = {r["user_id"]: r["n"] for r in with_chunk(d, spec).groupBy("user_id").agg(F.countDistinct("_chunk").alias("n")).collect()}
+    assert chunks[1] >= 3 and {n for m, n in chunks.items() if m != 1} == {1}
+    cols = ["event_id"] + [F.round(c, 9) for c in ("value_mean_24h", "value_std_24h", "k_mean_24h", "k_std_24h")]
+    got = rolling_features(d, spec, 24).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rolling_features(d, spec, 24, split=False).select(*cols).collect()))

@@ -20,7 +20,7 @@ def test_rolling_chunked_equals_plain(spark):
     cols = ["event_id", "value_mean_24h", "value_std_24h", "k_mean_24h", "k_std_24h"]
     plain = _rows(rolling_features(r, EVENTS_SPEC, split=False), cols)
     for secs in (3600, 86_400, 7 * 86_400):
-        got = _rows(rolling_features(r, EVENTS_SPEC.with_(chunk_seconds=secs)), cols)
+        got = _rows(rolling_features(r, EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=secs)), cols)
         assert got == plain, secs
 
 
@@ -28,7 +28,7 @@ def test_rolling_hand_computed(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [("M1", base + dt.timedelta(hours=i), float(v)) for i, v in enumerate([1, 3, 5, 7])]
     df = spark.createDataFrame(rows, "machine_id string, timestamp timestamp_ntz, temperature_C double")
-    out = rolling_features(df, RAW_SPEC.with_(chunk_seconds=7200), window=3, cols=["temperature_C"])
+    out = rolling_features(df, RAW_SPEC.with_(chunk_rows=None, chunk_seconds=7200), window=3, cols=["temperature_C"])
     got = sorted((r[0], r[1], r[2]) for r in out.select("timestamp", "temperature_mean_3h", "temperature_std_3h")
                  .collect())
     assert [g[1] for g in got] == [1.0, 2.0, 3.0, 5.0]
@@ -40,9 +40,9 @@ def test_lifecycle_chunked_equals_unchunked(spark):
     r = event_readings(spark, SF_SMALL)
     cols = ["event_id", "fail_start", "n_failures", "maint_edge", "n_maint", "since_maint_h", "age_h", "rul",
             "state", "fail_24h"]
-    big = _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_seconds=10 ** 9)), cols)
+    big = _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=10 ** 9)), cols)
     for secs in (3600, 86_400):
-        assert _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_seconds=secs)), cols) == big
+        assert _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=secs)), cols) == big
 
 
 def test_maintenance_counter_hand_computed(spark):
@@ -50,7 +50,7 @@ def test_maintenance_counter_hand_computed(spark):
     flags = [0, 0, 1, 1, 0, 0, 1, 0]
     rows = [("M1", base + dt.timedelta(hours=i), f) for i, f in enumerate(flags)]
     df = spark.createDataFrame(rows, "machine_id string, timestamp timestamp_ntz, en_panne int")
-    out = lifecycle(df, RAW_SPEC.with_(chunk_seconds=3 * 3600), initial_since_maint=10).orderBy("timestamp")
+    out = lifecycle(df, RAW_SPEC.with_(chunk_rows=None, chunk_seconds=3 * 3600), initial_since_maint=10).orderBy("timestamp")
     got = out.select("fail_start", "n_failures", "maint_edge", "n_maint", "since_maint_h", "rul_heures").collect()
     assert [g[0] for g in got] == [0, 0, 1, 0, 0, 0, 1, 0]
     assert [g[1] for g in got] == [0, 0, 1, 1, 1, 1, 2, 2]
@@ -61,7 +61,7 @@ def test_maintenance_counter_hand_computed(spark):
 
 def test_row_index_last_n_every_nth(spark):
     r = event_readings(spark, SF_SMALL).select("event_id", "user_id", "ts")
-    spec = EVENTS_SPEC.with_(chunk_seconds=3600)
+    spec = EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=3600)
     idx = row_index(r, spec)
     per = idx.groupBy("user_id").agg(F.count("*").alias("n"), F.max("row_idx").alias("mx"), F.min("row_idx").alias("mn"))
     assert per.where((F.col("mx") != F.col("n") - 1) | (F.col("mn") != 0)).count() == 0
@@ -84,7 +84,7 @@ def test_adaptive_chunks_equal_plain(spark):
     plain = _rows(rolling_features(r, EVENTS_SPEC, split=False), cols)
     assert _rows(rolling_features(r, spec), cols) == plain
     lc = ["event_id", "n_failures", "n_maint", "since_maint_h", "age_h", "rul"]
-    want = _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_seconds=10 ** 9)), lc)
+    want = _rows(lifecycle(r, EVENTS_SPEC.with_(chunk_rows=None, chunk_seconds=10 ** 9)), lc)
     assert _rows(lifecycle(attach_chunk_widths(r, spec), spec), lc) == want
     assert _rows(lifecycle(r, spec), lc) == want
 
@@ -138,7 +138,7 @@ def test_rolling_matches_pandas_definition(spark):
             v = None if rng.random() < 0.1 else float(rng.normal(80, 10))
             rows.append((m, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), v))
     df = spark.createDataFrame(rows, "machine_id string, timestamp timestamp_ntz, temperature_C double")
-    spec = RAW_SPEC.with_(chunk_seconds=6 * 3600, sensors=("temperature_C",))
+    spec = RAW_SPEC.with_(chunk_rows=None, chunk_seconds=6 * 3600, sensors=("temperature_C",))
     got = rolling_features(df, spec).toPandas().sort_values(["machine_id", "timestamp"]).reset_index(drop=True)
     pdf = pd.DataFrame(rows, columns=["machine_id", "timestamp", "temperature_C"]).sort_values(
         ["machine_id", "timestamp"]).reset_index(drop=True)

@@ -50,51 +50,39 @@ def hours_between(start: str, end: str) -> Column:
 WIDTH_COL = "_cw_m"
 
 
-def chunk_widths(df: DataFrame, spec: ReadingSpec, min_seconds: int | None = None) -> DataFrame | None:
+def chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame | None:
     """Per-machine chunk width (microseconds) for *hot* machines: those with more than
-    ``spec.chunk_rows`` rows get ``span x chunk_rows / rows`` (at least ``min_seconds``),
+    ``spec.chunk_rows`` rows get ``span x chunk_rows / rows`` (at least ``min_chunk_seconds``),
     so each of their chunks holds about ``chunk_rows`` rows. The table has at most
     total_rows / chunk_rows entries, which bounds its broadcast."""
     if not spec.chunk_rows:
         return None
     m = spec.machine
     us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
-    base = spec.chunk_seconds * 1_000_000
-    lo_w = max(min_seconds or 0, spec.min_chunk_seconds) * 1_000_000
     st = df.groupBy(m).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi")) \
            .where(F.col("_n") > spec.chunk_rows)
-    width = F.greatest(F.lit(lo_w), F.least(F.lit(base), F.floor(
+    width = F.greatest(F.lit(spec.min_chunk_seconds * 1_000_000), F.least(F.lit(spec.chunk_seconds * 1_000_000), F.floor(
         (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(spec.chunk_rows)) / F.col("_n"))))
     # proven bound: at most total_rows / chunk_rows machines exceed chunk_rows rows
     # (1e12 rows / 5e6 = 200,000 entries of 16 bytes), so no count is needed
-    return F.broadcast(st.select(m, width.cast("long").alias("_cw")))
+    return F.broadcast(st.select(m, width.cast("long").alias(WIDTH_COL)))
 
 
-def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK, keep_width: bool = False,
-               min_seconds: int | None = None) -> DataFrame:
+def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK) -> DataFrame:
     """Add the time-chunk number (monotone in time within a machine) of each row.
 
-    Chunks are ``spec.chunk_seconds`` wide, narrower for hot machines (see
-    :func:`chunk_widths`). ``keep_width`` keeps the width in ``_cw`` (microseconds).
+    A hot machine's chunks are as wide as :func:`chunk_widths` says; any other machine
+    is one chunk. With ``spec.chunk_rows`` unset every machine is cut into chunks of
+    ``spec.chunk_seconds``.
     """
     us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
-    base = F.lit(spec.chunk_seconds * 1_000_000)
-    floor_w = F.lit(max(min_seconds or 0, spec.min_chunk_seconds) * 1_000_000)
-    widths = None
-    if WIDTH_COL in df.columns:  # attached once upstream: no second pass over the data
-        out, width = df, F.greatest(F.coalesce(F.col(WIDTH_COL), base), floor_w)
-    else:
-        widths = chunk_widths(df, spec, min_seconds)
-        if widths is None:
-            out, width = df, base
-        else:
-            out, width = _nsjoin(df, widths, [spec.machine], "left"), F.coalesce(F.col("_cw"), base)
-    out = out.withColumn(name, F.floor(us / width).cast("long"))
-    if keep_width:
-        out = out.withColumn("_cwk", width.cast("long"))
-        out = out.drop("_cw") if widths is not None else out
-        return out.withColumnRenamed("_cwk", "_cw")
-    return out.drop("_cw") if widths is not None else out
+    attached = WIDTH_COL in df.columns  # once upstream: no second pass over the data
+    if not attached and not spec.chunk_rows:
+        return df.withColumn(name, F.floor(us / F.lit(spec.chunk_seconds * 1_000_000)).cast("long"))
+    out = df if attached else attach_chunk_widths(df, spec)
+    chunk = F.when(F.col(WIDTH_COL).isNotNull(), F.floor(us / F.col(WIDTH_COL))).otherwise(F.lit(0)).cast("long")
+    out = out.withColumn(name, chunk)
+    return out if attached else out.drop(WIDTH_COL)
 
 
 def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
@@ -103,7 +91,7 @@ def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
     widths = chunk_widths(df, spec)
     if widths is None:
         return df
-    return _nsjoin(df, widths.withColumnRenamed("_cw", WIDTH_COL), [spec.machine], "left")
+    return _nsjoin(df, widths, [spec.machine], "left")
 
 
 def chunked(df: DataFrame, spec: ReadingSpec) -> DataFrame:
@@ -192,7 +180,8 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
     Plan: one shuffle on (machine, chunk); the window runs inside each chunk;
     rows past the first ``k = window-1`` of a chunk are final. The first k rows of
     each chunk are recomputed from themselves plus the k rows before the chunk
-    (the halo, built from per-chunk tails), a set of <= 2k rows per chunk.
+    (the halo, built from per-chunk tails), a set of <= 2k rows per chunk. Machines
+    that are not hot are one chunk, all of whose rows are final.
     """
     cols = list(cols or spec.sensors)
     k = window - 1
@@ -213,21 +202,23 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
         w = Window.partitionBy(spec.machine).orderBy(*spec.order).rowsBetween(-k, 0)
         return df.select("*", *exprs(w))
     base_cols = [c for c in df.columns if c != CHUNK]
+    if spec.chunk_rows and not {CHUNK, WIDTH_COL} & set(df.columns):
+        df = attach_chunk_widths(df, spec)
     # the rows are read twice (chunk edges, then the final pass): keep the shuffled
     # input on the executors so the upstream plan and its shuffle run once; a lost
     # block is recomputed from lineage, and a cached relation keeps its partitioning
     d = chunked(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    cut = F.col(WIDTH_COL).isNotNull() if WIDTH_COL in d.columns else F.lit(True)  # machines of several chunks
     w = _w_chunk(spec)
-    p1 = d.select("*", F.row_number().over(w).alias("_rn"),
-                  F.count(F.lit(1)).over(Window.partitionBy(spec.machine, CHUNK)).alias("_n"),
-                  *exprs(w.rowsBetween(-k, 0)))
+    p1 = d.select("*", F.row_number().over(w).alias("_rn"), *exprs(w.rowsBetween(-k, 0)))
     if k == 0:
         return p1.select(*base_cols, *out_names)
-    done = p1.filter(F.col("_rn") > k).select(*base_cols, *out_names)
-    # first and last k rows of every chunk: small (<= 2k per chunk), materialised
+    done = p1.filter(~cut | (F.col("_rn") > k)).select(*base_cols, *out_names)
+    # first and last k rows of every chunk of a hot machine: small (<= 2k per chunk), materialised
     # once in the shared checkpoint folder so the halo joins do not rescan the data
-    edges = cut_lineage(p1.filter((F.col("_rn") <= k) | (F.col("_rn") > F.col("_n") - k))
-                        .select(*base_cols, CHUNK, "_rn", "_n"))
+    edges = cut_lineage(d.filter(cut).select(*base_cols, CHUNK, F.row_number().over(w).alias("_rn"),
+                                             F.count(F.lit(1)).over(Window.partitionBy(spec.machine, CHUNK)).alias("_n"))
+                        .filter((F.col("_rn") <= k) | (F.col("_rn") > F.col("_n") - k)))
     heads = edges.filter(F.col("_rn") <= k).select(*base_cols, CHUNK, F.lit(False).alias("_halo"))
     tails = edges.filter(F.col("_rn") > F.col("_n") - k) \
                  .select(*base_cols, CHUNK, (F.col("_n") - F.col("_rn") + 1).alias("_rd"))
