@@ -92,9 +92,10 @@ def cv_f1(train: DataFrame, label: str, key, estimator_stages, folds: int, seed:
 
 
 def train_classification(df: DataFrame, features, label: str, key, tag: str, params: dict = REFERENCE,
-                         model_dir: str | None = None, with_cv: bool = True, with_svm: bool = True):
+                         model_dir: str | None = None, with_cv: bool = True, with_svm: bool = True, only=None):
     """Stratified split, 50/50 balance of train and test, scaler on train,
     fit and evaluate every classifier, CV for the tree models, importances.
+    ``only`` names the classifiers wanted (default: all).
 
     Returns (long metrics DataFrame, {name: PipelineModel}, {name: importances}).
     """
@@ -113,6 +114,8 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     stages = feature_stages(features, stats)
     rows, models, imps = [], {}, {}
     for name, est in classifiers(params, n_train).items():
+        if only is not None and name not in only:
+            continue
         est.setLabelCol(label)
         model = Pipeline(stages=stages + [est]).fit(train)
         pred = model.transform(test).withColumn("p1", p1())
@@ -139,8 +142,8 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
 
 
 def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dict = REFERENCE,
-                     model_dir: str | None = None):
-    """Plain 80/20 split, scaler on train, RF and GBT regressors, D22 metrics."""
+                     model_dir: str | None = None, only=None):
+    """Plain 80/20 split, scaler on train, RF and GBT regressors (or ``only`` those named), D22 metrics."""
     spark = df.sparkSession
     cols = list(features) + [y] + ([key] if isinstance(key, str) else list(key))
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features) + [y]))
@@ -157,6 +160,8 @@ def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dic
     }
     rows, models = [], {}
     for name, est in regs.items():
+        if only is not None and name not in only:
+            continue
         est.setLabelCol(y)
         model = Pipeline(stages=stages + [est]).fit(train)
         m = M.regression_metrics(model.transform(test), y, "prediction").first().asDict()
@@ -286,8 +291,9 @@ def score_rul(model, df: DataFrame, digits: int = 2) -> DataFrame:
 
 def explain(model, df: DataFrame, features, top: int = 3) -> DataFrame:
     """Global importances signed by the prediction, top 3 by |contribution| (F4),
-    with raw values (rounded 3), contributions (rounded 4) and direction (I7)."""
-    from ..functions.scalar import direction
+    with raw values (rounded 3), contributions (rounded 4) and direction (I7); risk level
+    and advice from the probability itself (I1)."""
+    from ..functions.scalar import direction, proba_advice, proba_risk
     imp = model.stages[-1].featureImportances.toArray().tolist()
     scored = model.transform(df).withColumn("p1", p1())
     sign = F.when(F.col("prediction") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -299,4 +305,5 @@ def explain(model, df: DataFrame, features, top: int = 3) -> DataFrame:
                                                    F.round(x["c"], 4).alias("contribution"),
                                                    direction(x["c"]).alias("direction")))
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"),
-                         F.round("p1", 4).alias("probability"), top_f.alias("top_features"))
+                         F.round("p1", 4).alias("probability"), proba_risk("p1").alias("risk_level"),
+                         proba_advice("p1").alias("recommendation"), top_f.alias("top_features"))
