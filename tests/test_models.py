@@ -39,3 +39,34 @@ def test_regressors_learn_a_linear_target(spark):
     m = {r.metric.lower(): r.value for r in long.collect()}
     assert next(v for k, v in m.items() if k.startswith("r2")) > 0.9 and all(math.isfinite(v) for v in m.values())
     assert set(models) == {"random_forest"}
+
+
+def test_registered_queries_fit_the_full_settings(spark, monkeypatch):
+    """Every model a query fits has the reference's settings, and no query fits models it does not return."""
+    from wearline.plans import q_ml as Q
+
+    asked = []
+
+    class Enough(Exception):
+        pass
+
+    def fit(df, features, label, key, tag, params=ML.REFERENCE, *args, only=None, **kwargs):
+        asked.append((params, only))
+        raise Enough
+
+    monkeypatch.setattr(Q, "prepared", lambda spark, sf: spark.range(1).selectExpr("id", "0 AS failed"))
+    monkeypatch.setattr(ML, "train_classification", fit)
+    monkeypatch.setattr(ML, "train_regression", fit)
+    for query in (Q.q_classifier_metrics, Q.q_cv_f1_scores, Q.q_feature_importance, Q.q_rul_model_metrics, Q.q_batch_scoring):
+        try:
+            query(spark, "")
+        except Enough:
+            pass
+    trees = ("random_forest", "gradient_boosting")
+    assert [o for _, o in asked] == [None, (*trees, "decision_tree"), trees, None, ("random_forest",)]
+    assert all(p == ML.REFERENCE for p, _ in asked)
+
+
+def test_few_rows_are_fitted_in_few_tasks(spark):
+    d = spark.range(0, 1000, 1, 16)
+    assert ML.fit_parts(d, 1000).rdd.getNumPartitions() == 1 and ML.fit_parts(d, 10**9).rdd.getNumPartitions() == 16

@@ -34,6 +34,13 @@ REFERENCE = dict(rf_trees=200, rf_depth=15, leaf=2, gbt_iter=200, gbt_depth=5, g
                  lr_iter=1000, svm_cap=10_000, svm_iter=100, cv_folds=5, seed=42)
 # Small settings for quick checks (same model families, fewer trees / rounds).
 QUICK = dict(REFERENCE, rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=4, dt_depth=8, lr_iter=100, svm_iter=25)
+#: Rows of a fitting task: a boosted model of 200 rounds is over 1,000 small jobs, so few rows go to few tasks.
+FIT_ROWS = 2_500
+
+
+def fit_parts(train: DataFrame, n_train: int) -> DataFrame:
+    """``train`` in at most one partition per ``FIT_ROWS`` rows; larger tables keep their partitions."""
+    return train.coalesce(max(1, -(-n_train // FIT_ROWS)))
 
 
 def scaler_stage(stats: dict, suffix: str = "_s") -> SQLTransformer:
@@ -84,7 +91,8 @@ def cv_f1(train: DataFrame, label: str, key, estimator_stages, folds: int, seed:
     fd = cut_lineage(H.stratified_folds(train, label, key, folds, seed=seed))
     scores = []
     for f in range(folds):
-        model = Pipeline(stages=estimator_stages).fit(fd.where(F.col("fold") != f))
+        part = fd.where(F.col("fold") != f)
+        model = Pipeline(stages=estimator_stages).fit(fit_parts(part, part.count()))
         pred = model.transform(fd.where(F.col("fold") == f))
         scores.append(M.binary_metrics(pred, label, "prediction").first()["f1_score"])
     mean = sum(scores) / len(scores)
@@ -110,6 +118,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     train = cut_lineage(H.balance(split.where(~F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
     test = cut_lineage(H.balance(split.where(F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
     n_train = train.count()
+    train = fit_parts(train, n_train)
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
     rows, models, imps = [], {}, {}
@@ -149,6 +158,7 @@ def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dic
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features) + [y]))
     split = cut_lineage(H.plain_split(data, key, seed=params["seed"]))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    train = fit_parts(train, train.count())
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
     regs = {
