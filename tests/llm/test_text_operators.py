@@ -223,6 +223,19 @@ def test_ngram_join_of_a_crowded_group(spark, monkeypatch):
     assert out == dict(enumerate(brute_links([(i, t) for i, t, _, _ in rows])))
 
 
+def test_ngram_join_of_long_texts_with_an_empty_block(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for k in range(8):  # pairs of near copies; about half of them lie in one block of two
+        base = [f"p{k}w{i}" for i in range(300)]
+        near = list(base)
+        near[rng.randrange(300)] = "other"
+        rows += [(2 * k, " ".join(base), "en", "a"), (2 * k + 1, " ".join(near), "en", "a")]
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+    out = ngram_join.join(make(spark, rows)).collect()
+    assert {(r["doc_id"], r["n_links"], r["text_links"], r["class_id"]) for r in out} == {(i, 1, 1, i - i % 2) for i in range(16)}
+
+
 def test_word_hashes_follow_the_words(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("ab \n\té") for _ in range(5000)).encode()

@@ -182,6 +182,11 @@ def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(root(x), x) for x in range(n) if root(x) != x]
 
 
+def _across(tab: pa.Table) -> bool:
+    """Whether a run is a pair of two blocks, of which only pairs across count. The key tells: one of the blocks may be empty."""
+    return tab.column("b1")[0].as_py() != tab.column("b2")[0].as_py()
+
+
 def _alike(tab: pa.Table) -> list[tuple[int, int]]:
     """Candidate edges of one pair of blocks: rows whose signatures agree enough."""
     uid = tab.column("uid").to_numpy()
@@ -190,7 +195,7 @@ def _alike(tab: pa.Table) -> list[tuple[int, int]]:
     if len(uid) == 2:
         return [(int(uid[0]), int(uid[1]))] if (sketch[0] == sketch[1]).sum() >= least else []
     side = tab.column("side").to_numpy()
-    cross = len(np.unique(side)) > 1  # two blocks: only pairs across; else all pairs of the block
+    cross = _across(tab)
 
     def pairs() -> Iterator[tuple[int, int]]:
         for i in range(len(uid) - 1):
@@ -239,10 +244,10 @@ def _verify(similarity: float):
         for i, u in enumerate(tab.column("uid").to_pylist()):
             seen.setdefault(u, i)  # repeated rows of the first copy come more than once
         rows = list(seen.values())
-        if len(rows) < 2:
-            return []
         uid = np.array(list(seen))
         texts, side = tab.column("text"), tab.column("side").to_numpy()[rows]
+        if len(rows) < 2 or (_across(tab) and len(np.unique(side)) < 2):
+            return []
         copies = tab.column("copies").to_numpy()[rows]
         sets = [shingles(word_hashes(texts[i].as_buffer())) for i in rows]
         if len(rows) == 2:
@@ -252,7 +257,7 @@ def _verify(similarity: float):
         else:
             linked = _similar(sets) >= similarity - 1e-12
             np.fill_diagonal(linked, False)
-        if len(np.unique(side)) > 1:
+        if _across(tab):
             linked &= side[:, None] != side[None, :]
         out = [(int(uid[i]), None, int(linked[i].sum()), int(copies[linked[i]].sum())) for i in np.flatnonzero(linked.any(1))]
         a, b = np.nonzero(np.triu(linked))
