@@ -236,6 +236,19 @@ def test_ngram_join_of_long_texts_with_an_empty_block(spark, monkeypatch):
     assert {(r["doc_id"], r["n_links"], r["text_links"], r["class_id"]) for r in out} == {(i, 1, 1, i - i % 2) for i in range(16)}
 
 
+def test_ngram_join_finds_lone_pairs_at_the_threshold_asked_for(spark):
+    for s in (0.4, 0.6, 0.8, 0.95):
+        assert (1 - s ** ngram_join.prefix_depth(s)) ** ngram_join.TREES <= 1e-4 and ngram_join.candidate_cut(s) < s
+    with pytest.raises(ValueError):
+        ngram_join.prefix_depth(0.05)
+    rows = []
+    for k in range(60):  # lone pairs of a Jaccard similarity of 100 / 196
+        same = " ".join(f"p{k}s{i}" for i in range(104))
+        rows += [(2 * k + c, same + " " + " ".join(f"p{k}c{c}w{i}" for i in range(48)), "en", "a") for c in range(2)]
+    out = ngram_join.join(make(spark, rows), 0.5).collect()
+    assert {r["n_links"] for r in out} == {1} and len({r["class_id"] for r in out}) == 60
+
+
 def test_word_hashes_follow_the_words(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("ab \n\té") for _ in range(5000)).encode()

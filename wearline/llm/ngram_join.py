@@ -3,10 +3,12 @@
 1. Each document gets a MinHash signature of its 5-word shingles (one of its whole word
    sequence if shorter), cut into ``TREES`` labels of ``DEPTH`` values.
    Documents of the same word sequence are one class; only its first row goes on.
-2. A tree is the sorted prefix trie of its labels. Prefixes are shortened from the full depth
-   on until ``1 - (1 - s^d)^TREES`` reaches the target recall at similarity s; rows that share
-   such a prefix in some tree are compared by signature. Crowded nodes are cut into blocks
-   and every pair of blocks is a piece of work of bounded size.
+2. A tree is the prefix trie of its labels. Rows that share a prefix of depth d in some tree
+   are compared by signature; d is the greatest depth at which a pair of similarity s is missed
+   with a probability ``(1 - s^d)^TREES`` of at most ``MISSED`` (at 0.8 the whole label, 5e-8).
+   Rows that meet deeper meet at d as well, so d is looked up at once; a row that stopped deeper
+   because of other matches would lose the links to its remaining neighbours. Crowded nodes are
+   cut into blocks and every pair of blocks is a piece of work of bounded size.
 3. Signature matches connect the candidates; each connected set is compared exactly,
    all members with all, on their shingle sets, again in pairs of blocks of bounded size.
    Pairs are counted where they are compared; only counts and a spanning forest leave a task.
@@ -33,10 +35,11 @@ from wearline.llm.runs import in_runs
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES, DEPTH = 16, 8
-TARGET_RECALL = 0.99
-#: Signature agreement from which a pair is a candidate: 4 standard errors below ``SIMILARITY``.
-CANDIDATE = 0.65
+TREES, DEPTH = 32, 4
+#: Greatest probability with which the trees may miss a pair at the similarity asked for.
+MISSED = 1e-4
+#: A pair is a candidate if its signatures agree up to this many standard errors below the similarity (0.65 at 0.8).
+ERRORS = 4.25
 #: Rows of a block when signatures, and when shingle sets are compared; shingles of a block.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
@@ -154,12 +157,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(kept + cols, [*batch.schema.names[:-1], "k1", "k2", "n_sh", "labels", "sketch"])
 
 
-def prefix_depth(similarity: float = SIMILARITY, target: float = TARGET_RECALL) -> int:
-    """Shorten the matched prefix from the full depth on until the target recall is met."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < target:
-        depth -= 1
-    return depth
+def prefix_depth(similarity: float = SIMILARITY, missed: float = MISSED) -> int:
+    """Shorten the matched prefix from the full depth on until pairs of this similarity are hardly missed."""
+    for depth in range(DEPTH, 0, -1):
+        if (1 - similarity**depth) ** TREES <= missed:
+            return depth
+    raise ValueError(f"similarity {similarity} is too low: {TREES} trees would lose links even at depth 1")
+
+
+def candidate_cut(similarity: float = SIMILARITY) -> float:
+    """Signature agreement from which a pair is compared exactly."""
+    return similarity - ERRORS * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5
 
 
 # --- comparing sorted runs in blocks --------------------------------------------------------------
@@ -187,25 +195,30 @@ def _across(tab: pa.Table) -> bool:
     return tab.column("b1")[0].as_py() != tab.column("b2")[0].as_py()
 
 
-def _alike(tab: pa.Table) -> list[tuple[int, int]]:
+def _alike(similarity: float):
     """Candidate edges of one pair of blocks: rows whose signatures agree enough."""
-    uid = tab.column("uid").to_numpy()
-    sketch = np.frombuffer(b"".join(tab.column("sketch").to_pylist()), np.uint8).reshape(len(uid), -1)
-    least = (CANDIDATE * (1 - 1 / 256) + 1 / 256) * sketch.shape[1]  # agreement by chance taken in
-    if len(uid) == 2:
-        return [(int(uid[0]), int(uid[1]))] if (sketch[0] == sketch[1]).sum() >= least else []
-    side = tab.column("side").to_numpy()
-    cross = _across(tab)
+    cut = candidate_cut(similarity)
+
+    def work(tab: pa.Table) -> list[tuple[int, int]]:
+        uid = tab.column("uid").to_numpy()
+        sketch = np.frombuffer(b"".join(tab.column("sketch").to_pylist()), np.uint8).reshape(len(uid), -1)
+        least = (cut * (1 - 1 / 256) + 1 / 256) * sketch.shape[1]  # agreement by chance taken in
+        if len(uid) == 2:
+            return [(int(uid[0]), int(uid[1]))] if (sketch[0] == sketch[1]).sum() >= least else []
+        side = tab.column("side").to_numpy()
+        cross = _across(tab)
+
+        def pairs() -> Iterator[tuple[int, int]]:
+            for i in range(len(uid) - 1):
+                ok = (sketch[i + 1 :] == sketch[i]).sum(1) >= least
+                if cross:
+                    ok &= side[i + 1 :] != side[i]
+                for j in np.flatnonzero(ok):
+                    yield i, i + 1 + int(j)
+
+        return [(int(uid[a]), int(uid[b])) for a, b in forest(pairs(), len(uid))]
 
-    def pairs() -> Iterator[tuple[int, int]]:
-        for i in range(len(uid) - 1):
-            ok = (sketch[i + 1 :] == sketch[i]).sum(1) >= least
-            if cross:
-                ok &= side[i + 1 :] != side[i]
-            for j in np.flatnonzero(ok):
-                yield i, i + 1 + int(j)
-
-    return [(int(uid[a]), int(uid[b])) for a, b in forest(pairs(), len(uid))]
+    return work
 
 
 LINKS = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("texts", pa.int64()), ("docs", pa.int64())])
@@ -295,9 +308,9 @@ def signatures(keyed: DataFrame, key: list[str]) -> DataFrame:
     return cut_lineage(d.mapInArrow(_sign, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges between rows whose signatures agree, found through the trees' shared prefixes."""
-    depth = prefix_depth()
+    depth = prefix_depth(similarity)
     prefix = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
                          lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * DEPTH * 4 + 1, F.lit(depth * 4))))
     nodes = reps.select("uid", F.explode(prefix).alias("node"))
@@ -306,12 +319,12 @@ def candidates(reps: DataFrame) -> DataFrame:
     rows = met.join(reps.select("uid", "sketch"), "uid")
     dealt = _dealt(_in_blocks(rows, "node", F.ceil(F.col("n") / BLOCK_ROWS)), "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return dealt.select("node", "b1", "b2", "side", "uid", "sketch").mapInArrow(in_runs(["node", "b1", "b2"], _alike, schema), "a long, b long")
+    return dealt.select("node", "b1", "b2", "side", "uid", "sketch").mapInArrow(in_runs(["node", "b1", "b2"], _alike(similarity), schema), "a long, b long")
 
 
 def links(keyed: DataFrame, key: list[str], reps: DataFrame, similarity: float) -> DataFrame:
     """Exact links between different word sequences: ``(uid, other, texts, docs)`` rows, see ``_verify``."""
-    sets = connected_components(candidates(reps))  # node, root
+    sets = connected_components(candidates(reps, similarity))  # node, root
     members = cut_lineage(reps.join(sets, reps["uid"] == sets["node"]).select(*key, "th", "uid", "n_sh", "copies", F.col("root").alias("comp")))
     size = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).alias("nb"))
     work = members.join(size, "comp")
