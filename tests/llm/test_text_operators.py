@@ -101,6 +101,24 @@ def test_mix_targets(spark):
     assert all(abs(got[s] - want[s]) < 1e-6 * want[s] for s in order)
 
 
+def test_mix_comes_to_the_target_of_small_sources_too(spark):
+    words = {"big": 30_000, "s20": 20, "s40": 40, "s130": 130, "one": 1, "s700": 700, None: 9001}
+    rows = [(k * 1000 + j, " ".join(f"w{i}" for i in range(min(97, n - 97 * j))), "en", s)
+            for k, (s, n) in enumerate(words.items()) for j in range(-(-n // 97))]
+    docs = make(spark, rows)
+    total, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        source = list(words)[r["doc_id"] // 1000]
+        total[source] += r["taken"]
+        target[source] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(total[s] - target[s]) <= 0.5 for s in words) and min(total.values()) >= 1
+    kept = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        kept[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(kept[s] - target[s]) <= 0.5 for s in words)
+
+
 def test_permutation_reaches_every_block(spark):
     for n in (1, 2, 3, 5, 17, 100, 1000):
         d = spark.range(n).select(mixing._place(F.col("id"), F.lit(n).cast("long"), F.lit(7).cast("long")).alias("p"))

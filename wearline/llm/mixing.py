@@ -1,15 +1,17 @@
 """Operator 2, mixing sources to target weights.
 
 Main path: DataFrame functions only. Each source's documents are laid end to end in words and
-cut into blocks of ``BLOCK`` words. Output shards of ``SHARD`` slots draw multinomial source
+cut into blocks of ``BLOCK`` words, of a source below ``BLOCK * FINE`` words of 1 / ``FINE`` of its words. Output shards of ``SHARD`` slots draw multinomial source
 counts; a source's slots are numbered over the shards and every pass over the source maps
 its slots through a pseudorandom permutation of the block numbers (a Feistel network that is
 walked until it lands inside). Blocks are joined by number, and a document gets what its
 blocks were drawn.
 
 The draws alone would leave each total with binomial noise. So a source's slots are counted
-only up to its quota (target / block), and what the draws left open is handed out by the
-settlement shards at the end: totals come within a block of the target.
+only up to its quota, the slots whose blocks hold the target's words (the partial last block of a
+source counts at its real length), and what the draws left open is handed out by the
+settlement shards at the end. Of the last slot's block only the words that remain of the target are
+taken: every total is its target, rounded to a word.
 
 Defined results: a null or empty text has size 0 and nothing is taken of it; a null source is
 the last source; repeated rows are documents of their own; without any word all targets are
@@ -29,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN = 3, 2
 MAX_REPEATS = 2
 BLOCK = 128
+#: A source has at least this many blocks, or blocks of one word.
+FINE = 64
 SHARD = 4096
 #: Documents of a source that one task lays end to end (about).
 CHUNK_DOCS = 20_000
@@ -58,9 +62,27 @@ def targets(sizes: DataFrame) -> DataFrame:
             break
         rate = new
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(rate)))
-    blocks = F.ceil(F.col("words") / BLOCK).cast("long")
-    quota = F.least(F.round(target / BLOCK).cast("long"), blocks * MAX_REPEATS)
-    return cut_lineage(per.select("_src", "words", target.alias("target"), blocks.alias("blocks"), quota.alias("quota")))
+    size = F.greatest(F.least(F.ceil(F.col("words") / FINE), F.lit(BLOCK)), F.lit(1)).cast("long")
+    per = per.select("_src", "words", target.alias("target"), size.alias("_bs"))
+    per = per.withColumn("blocks", F.ceil(F.col("words") / F.col("_bs")).cast("long"))
+    some = F.greatest("words", F.lit(1))
+    want = F.round("target").cast("long")
+    # whole passes take all words; of the last pass as many slots as hold the rest of the target
+    per = per.withColumn("_full", F.floor(want / some).cast("long")).withColumn("_rest", want - F.col("_full") * F.col("words"))
+    short = F.col("blocks") * F.col("_bs") - F.col("words")  # words that the last block lacks
+    tail = _tail_at(F.col("_src"), F.col("_full"), F.col("blocks"))
+    n = F.ceil(F.col("_rest") / F.col("_bs")).cast("long")
+    n = F.when(n <= tail, n).otherwise(F.ceil((F.col("_rest") + short) / F.col("_bs")).cast("long"))
+    n = F.when(F.col("_rest") > 0, n).otherwise(F.lit(0).cast("long"))
+    over = n * F.col("_bs") - F.when(n > tail, short).otherwise(F.lit(0)) - F.col("_rest")  # words of the last slot beyond the target
+    quota = F.col("_full") * F.col("blocks") + n
+    return cut_lineage(per.select("_src", "words", "target", "blocks", quota.alias("quota"),
+                                  F.struct(F.col("_bs").alias("size"), short.alias("short"), over.alias("over"), quota.alias("quota")).alias("cut")))
+
+
+def _tail_at(src: Column, pass_: Column, blocks: Column) -> Column:
+    """Slot of a pass that holds the source's last block, which may be a partial one."""
+    return F.pmod(F.xxhash64(F.lit(SEED), F.lit("tail"), src, pass_), F.greatest(blocks, F.lit(1).cast("long")))
 
 
 def _place(k: Column, n: Column, salt: Column) -> Column:
@@ -85,7 +107,7 @@ def quota_ranges(per: DataFrame) -> tuple[DataFrame, int]:
     """Each source's range ``_from .. _from + quota - 1`` of 0 .. n-1, and n, the sum of all quotas."""
     quotas = per.where("quota > 0")
     n_slots = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n")).first()["n"]
-    edges = cut_lineage(ranked(quotas.select("_src", "quota", "blocks"), [F.col("_src").asc_nulls_last()], "_rank"))
+    edges = cut_lineage(ranked(quotas.select("_src", "quota", "blocks", "cut"), [F.col("_src").asc_nulls_last()], "_rank"))
     # cumulated quotas; sources are few against slots, chunks of the ranks keep the window local
     chunk = F.floor(F.col("_rank") / CHUNK_DOCS)
     own = F.sum("quota").over(Window.partitionBy(chunk).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
@@ -97,7 +119,7 @@ def quota_ranges(per: DataFrame) -> tuple[DataFrame, int]:
 
 
 def slot_counts(per: DataFrame) -> DataFrame:
-    """Per shard and source: the first of its slot numbers and how many, ``(_src, blocks, first, n)``.
+    """Per shard and source: the first of its slot numbers and how many, ``(_src, blocks, cut, first, n)``.
 
     Every slot of a shard draws its source (inverse distribution function at a hash of the
     slot), which makes the shard's source counts multinomial. The counts are summed over
@@ -110,11 +132,11 @@ def slot_counts(per: DataFrame) -> DataFrame:
                                          F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(n_slots, 1))).alias("u")))
     # a slot's value falls into the range of exactly one source; ranges are found by equal cells of values
     width = max(1, n_slots // 65_536)
-    near = edges.select("_src", "blocks", "quota", "_from", F.explode(F.sequence(
+    near = edges.select("_src", "blocks", "cut", "quota", "_from", F.explode(F.sequence(
         F.floor(F.col("_from") / width), F.floor((F.col("_from") + F.col("quota") - 1) / width))).alias("_cell"))
     hit = (slots.withColumn("_cell", F.floor(F.col("u") / width)).join(near, "_cell")
            .where((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_from") + F.col("quota"))))
-    drawn = cut_lineage(hit.groupBy("shard", "_src", "blocks", "quota").agg(F.count(F.lit(1)).alias("n")))
+    drawn = cut_lineage(hit.groupBy("shard", "_src", "blocks", "cut", "quota").agg(F.count(F.lit(1)).alias("n")))
     group = F.floor(F.col("shard") / CHUNK_DOCS)
     w = Window.partitionBy("_src", group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = drawn.groupBy("_src", group.alias("_g")).agg(F.sum("n").alias("gn"))
@@ -123,24 +145,30 @@ def slot_counts(per: DataFrame) -> DataFrame:
     numbered = drawn.withColumn("_own", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("_g", group)
     numbered = numbered.join(sums, numbered["_src"].eqNullSafe(sums["_s"]) & (numbered["_g"] == sums["_gg"]))
     first = F.col("_own") + F.col("_gb")
-    taken = numbered.select("_src", "blocks", first.alias("first"), F.least(F.col("n"), F.col("quota") - first).alias("n")).where("n > 0")
+    taken = numbered.select("_src", "blocks", "cut", first.alias("first"), F.least(F.col("n"), F.col("quota") - first).alias("n")).where("n > 0")
     # settlement shards: what the draws left of each quota, in shards of SHARD slots
     got = taken.groupBy("_src").agg(F.sum("n").alias("got")).withColumnRenamed("_src", "_s")
     q = per.where("quota > 0").join(got, F.col("_src").eqNullSafe(F.col("_s")), "left").withColumn("got", F.coalesce("got", F.lit(0)))
     rest = (q.where("got < quota")
-            .select("_src", "blocks", "quota", F.explode(F.sequence(F.col("got"), F.col("quota") - 1, F.lit(SHARD).cast("long"))).alias("first"))
-            .select("_src", "blocks", "first", F.least(F.lit(SHARD).cast("long"), F.col("quota") - F.col("first")).alias("n")))
+            .select("_src", "blocks", "cut", "quota", F.explode(F.sequence(F.col("got"), F.col("quota") - 1, F.lit(SHARD).cast("long"))).alias("first"))
+            .select("_src", "blocks", "cut", "first", F.least(F.lit(SHARD).cast("long"), F.col("quota") - F.col("first")).alias("n")))
     return taken.unionByName(rest)
 
 
 def drawn_blocks(per: DataFrame) -> DataFrame:
-    """``(_src, _block, _pass)``: a row for every slot, with the block that it maps to."""
+    """``(_src, _block, _pass, _words)``: a row for every slot, with the block that it maps to and how many words of it are taken."""
     # few rows become many here: dealt out first, or they would stay in the few tasks that hold them
     parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = (slot_counts(per).repartition(parts, "_src", "first").select("_src", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
-             .withColumn("_pass", F.floor(F.col("k") / F.col("blocks")).cast("long")))
-    salt = F.xxhash64(F.col("_src"), F.col("_pass"))
-    return slots.select("_src", "_pass", _place(F.col("k") % F.col("blocks"), F.col("blocks"), salt).alias("_block"))
+    slots = (slot_counts(per).repartition(parts, "_src", "first").select("_src", "blocks", "cut", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+             .withColumn("_pass", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn("_j", F.col("k") % F.col("blocks")))
+    slots = slots.withColumn("_tail", _tail_at(F.col("_src"), F.col("_pass"), F.col("blocks")))
+    # the last block has a slot of its own; the others are permuted over the slots around it
+    salt, others = F.xxhash64(F.col("_src"), F.col("_pass")), F.col("blocks") - 1
+    place = _place(F.col("_j") - (F.col("_j") > F.col("_tail")).cast("long"), F.greatest(others, F.lit(1).cast("long")), salt)
+    is_tail = F.col("_j") == F.col("_tail")
+    words = F.col("cut.size") - F.when(is_tail, F.col("cut.short")).otherwise(F.lit(0))
+    words = words - F.when(F.col("k") == F.col("cut.quota") - 1, F.col("cut.over")).otherwise(F.lit(0))
+    return slots.select("_src", "_pass", F.when(is_tail, others).otherwise(place).alias("_block"), words.alias("_words"))
 
 
 def laid_out(sizes: DataFrame, order: list[str]) -> DataFrame:
@@ -162,18 +190,22 @@ def laid_out(sizes: DataFrame, order: list[str]) -> DataFrame:
 
 
 def overlaps(laid: DataFrame, key: list[str]) -> DataFrame:
-    """A row per document and block that it reaches into: ``_lo`` and ``_hi`` are the document's words there."""
-    first, last = F.floor(F.col("_start") / BLOCK), F.floor((F.col("_start") + F.col("_size") - 1) / BLOCK)
-    return (laid.where("_size > 0").select(*key, "_src", "_start", "_size", F.explode(F.sequence(first, last)).alias("_block"))
-            .select(*key, "_src", "_block", F.greatest(F.col("_block") * BLOCK - F.col("_start"), F.lit(0)).alias("_lo"),
-                    F.least((F.col("_block") + 1) * BLOCK - F.col("_start"), F.col("_size")).alias("_hi")))
+    """A row per document and block (of ``_bs`` words) that it reaches into: ``_lo`` and ``_hi`` are the
+    document's words there, ``_at`` is where the block starts, counted from the document's start."""
+    first, last = F.floor(F.col("_start") / F.col("_bs")), F.floor((F.col("_start") + F.col("_size") - 1) / F.col("_bs"))
+    at = F.col("_block") * F.col("_bs") - F.col("_start")
+    return (laid.where("_size > 0").select(*key, "_src", "_start", "_size", "_bs", F.explode(F.sequence(first, last)).alias("_block"))
+            .select(*key, "_src", "_block", at.alias("_at"), F.greatest(at, F.lit(0)).alias("_lo"), F.least(at + F.col("_bs"), F.col("_size")).alias("_hi")))
 
 
 def _drawn_overlaps(laid: DataFrame, per: DataFrame, key: list[str], by_pass: bool) -> DataFrame:
-    cells = drawn_blocks(per).select(F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()).alias("_sh"), "_block", "_pass")
-    cells = cells if by_pass else cells.groupBy("_sh", "_block").agg(F.count(F.lit(1)).alias("_times"))
+    cells = drawn_blocks(per).select(F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()).alias("_sh"), "_block", "_pass", "_words")
+    cells = cells if by_pass else cells.groupBy("_sh", "_block", "_words").agg(F.count(F.lit(1)).alias("_times"))
+    sized = per.select(F.col("_src").alias("_s"), F.col("cut.size").alias("_bs"))
+    laid = laid.join(sized, laid["_src"].eqNullSafe(sized["_s"])).drop("_s")
     parts = overlaps(laid, key).withColumn("_sh", F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull())).drop("_src")
-    return parts.join(cells, ["_sh", "_block"])
+    # of a block that is taken in part, only its first words
+    return (parts.join(cells, ["_sh", "_block"]).withColumn("_hi", F.least("_hi", F.col("_at") + F.col("_words"))).where("_hi > _lo"))
 
 
 def mix(docs: DataFrame, source: str = "source") -> DataFrame:
