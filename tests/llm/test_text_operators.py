@@ -326,3 +326,18 @@ def test_license_scan(spark, edge):
     assert {(r["doc_id"], r["first_word"]) for r in out if r["doc_id"] == 200} == {(200, 9)}  # windows at 9 and 10 hold 16 of 17: the first
     assert {(r["doc_id"], r["license"]) for r in licenses.scan(edge).collect()} == {(11, "MIT")}
     assert licenses.scan(edge.limit(0)).count() == 0
+
+
+def test_license_scan_finds_short_notices_and_whole_texts(spark):
+    text = dict(licenses.TEMPLATES)
+    rng = random.Random(9)
+    filler = " ".join(f"f{rng.randrange(999)}" for _ in range(50))
+    part = " ".join(text["MPL-2.0-text"].split()[:1500])  # well under the share that counts
+    gone = " ".join(w for i, w in enumerate(text["GPL-2.0-text"].split()) if i % 50)  # about a tenth of the shingles goes
+    rows = [(0, filler + "\nAll rights reserved.\n" + filler, "en", "a"), (1, filler + " " + text["ISC-text"], "en", "a"),
+            (2, part, "en", "a"), (3, filler + " " + gone, "en", "a"), (4, "all rights", "en", "a")]
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(make(spark, rows)).collect()}
+    assert {(0, "All-rights-reserved"), (1, "ISC-text"), (3, "GPL-2.0-text")} <= found
+    assert (2, "MPL-2.0-text") not in found and not any(i == 4 for i, _ in found)
+    with pytest.raises(ValueError):
+        licenses.scan(make(spark, rows), (("none", " "),))

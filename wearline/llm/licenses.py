@@ -1,40 +1,63 @@
 """Operator 10, license scan: MinHash bands over text windows, exact containment afterwards.
 
 Main path: DataFrame functions only. Words are compared lower-cased and without punctuation at
-their ends. A template's text is a set of 5-word shingles (m of them). Texts are cut into windows of m
-shingles per template size, one shingle apart, so an exact copy falls into a window with the
-template's own shingle set and a copy with altered words into one of high similarity. A window and a template
-meet when one of ``BANDS`` single-row MinHash bands agrees: at a Jaccard similarity of 2/3, which a
-containment of 0.8 means for equal sizes, that is missed with probability (1/3) ** BANDS < 1e-7.
+their ends. A template's text is a set of shingles (m of them) of 5 words, or of its own words if it has fewer.
+A text that holds less than ``CONTAINMENT`` of a template's size in shingles of templates of that size
+cannot match and goes no further. The others are cut into windows, ``max(1, m // STEPS)`` shingles
+apart and longer than m by that less one, so that any run of m shingles lies in a window, and an exact copy in one that
+holds the template's whole shingle set. A window and a template meet when one of ``BANDS`` single-row
+MinHash bands agrees: at a Jaccard similarity of 0.65, which a containment of 0.8 means in a
+window longer by 1 / ``STEPS``, that is missed with probability 0.35 ** BANDS < 1e-7.
 What meets is verified: the share of the template's shingles in the window must be at
 least ``CONTAINMENT``. A window without any template shingle can agree in no band, so such windows
 make no signature; that loses nothing.
 
-Defined results: null or empty texts, and texts of fewer than five words, match nothing; overlapping
+Defined results: null or empty texts match nothing; a template without words is an error; overlapping
 windows of one match count once (the best, then the first window is reported); repeated rows are
 reported each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm.common import WORD, cut_lineage, table
+from wearline.llm.common import WORD, cut_lineage, row_keyed, table
 
 SHINGLE = 5
 BANDS = 16
 CONTAINMENT = 0.8
-#: License notices that are looked for (name, text); a parameter of ``scan``.
+#: Windows of a long template start this share of its size apart.
+STEPS = 64
+#: Up to this many hits, texts are looked up by a broadcast of the hits (under 100 bytes each).
+BROADCAST_HITS = 1_000_000
+#: Complete license texts, in ``license_texts/``.
+TEXTS = ("Apache-2.0", "Artistic", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT",
+         "MPL-1.1", "MPL-2.0")
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by "
+        "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+#: License notices and texts that are looked for (name, text); a parameter of ``scan``.
 TEMPLATES = (
+    ("AGPL-3.0-header", _GNU.format("Affero", "3")),
+    ("All-rights-reserved", "All rights reserved."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("GPL-2.0-header", _GNU.format("", "2").replace("software:", "software;")),
+    ("GPL-3.0-header", _GNU.format("", "3")),
+    ("LGPL-2.1-header", _GNU.format("Lesser", "2.1").replace("program", "library").replace("software:", "software;")),
+    ("LGPL-3.0-header", _GNU.format("Lesser", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *((f"{name}-text", pkgutil.get_data(__package__, f"license_texts/{name}-text.txt").decode()) for name in TEXTS),
 )
 
 
@@ -44,10 +67,10 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(spaced, F.lit(WORD), F.lit(0))
 
 
-def _shingles(words: Column) -> Column:
-    """64-bit hashes of all 5-word shingles, in order."""
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0))),
-                       lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
+def _shingles(words: Column, n: int = SHINGLE) -> Column:
+    """64-bit hashes of all n-word shingles, in order."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))),
+                       lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]))
 
 
 def _bands(shingles: Column) -> Column:
@@ -56,11 +79,18 @@ def _bands(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> list:
-    """``(license, t, m, bands)``: the shingle set of every template of at least five words, its size, its bands."""
-    rows = spark.createDataFrame(list(templates), "license string, _t string")
-    rows = rows.select("license", _words(F.col("_t")).alias("w")).select("license", _shingles(F.col("w")).alias("t")).collect()  # the parameter's rows
-    sets = [(r["license"], sorted(set(r["t"])), len(set(r["t"]))) for r in rows if r["t"]]
-    return spark.createDataFrame(sets, "license string, t array<long>, m int").withColumn("bands", _bands(F.col("t"))).collect() if sets else []
+    """``(license, n, w, t, m, bands)``: the words of a shingle, the words of a template of one shingle, the
+    shingle set of every template, its size, its bands."""
+    if not templates:
+        return []
+    rows = spark.createDataFrame(list(templates), "license string, _t string").select("license", _words(F.col("_t")).alias("w"))
+    every = F.array(*[_shingles(F.col("w"), n) for n in range(1, SHINGLE + 1)])
+    rows = rows.select("license", F.least(F.size("w"), F.lit(SHINGLE)).alias("n"), "w", every.alias("every")).collect()  # the parameter's rows
+    if any(r["n"] < 1 for r in rows):
+        raise ValueError("a license template without words")
+    sets = [(r["license"], r["n"], r["w"][:SHINGLE], sorted(set(r["every"][r["n"] - 1]))) for r in rows]
+    sets = [(name, n, w, t, len(t)) for name, n, w, t in sets]
+    return spark.createDataFrame(sets, "license string, n int, w array<string>, t array<long>, m int").withColumn("bands", _bands(F.col("t"))).collect()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -69,30 +99,54 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     fixed = template_table(spark, templates)
     if not fixed:
         return spark.createDataFrame([], "doc_id long, license string, first_word long, n_words long, containment double, n_windows long")
-    known = F.array(*[F.lit(s) for s in sorted({s for r in fixed for s in r["t"]})])
-    sizes = sorted({r["m"] for r in fixed})
-    # the row number also keeps the filter above this projection, so that words are split once
-    d = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), _words(F.coalesce("text", F.lit(""))).alias("w"))
-    d = cut_lineage(d.select("doc_id", "uid", _shingles(F.col("w")).alias("s")).where(F.arrays_overlap("s", known)))  # texts with any template shingle
-    marked = d.select("doc_id", "uid", "s", F.transform("s", lambda x: F.array_contains(known, x)).alias("hit"))
-    # windows of every template size that hold a template shingle: starts up to m - 1 before a hit
-    starts = lambda m: F.array_distinct(F.flatten(F.transform(
-        F.filter(F.transform("hit", lambda h, i: F.when(h, i)), lambda i: i.isNotNull()),
-        lambda i: F.sequence(F.greatest(i - (m - 1), F.lit(0)), i))))
-    placed = lambda m: F.transform(starts(m), lambda i: F.struct(F.lit(m).alias("m"), i.alias("at")))
-    each = F.flatten(F.array(*[placed(m) for m in sizes]))
-    windows = marked.select("doc_id", "uid", "s", F.explode(each).alias("x"))
-    windows = windows.select("doc_id", "uid", F.col("x.m").alias("m"), F.col("x.at").alias("at"),
-                             F.array_distinct(F.slice("s", F.col("x.at") + 1, F.col("x.m"))).alias("v"))
+    known = spark.createDataFrame(sorted({(x, r["n"], r["m"]) for r in fixed for x in r["t"]}), "x long, n int, m int")
+    lengths = sorted({r["n"] for r in fixed}, reverse=True)
+    keyed = row_keyed(docs.select("doc_id", "text"))
+    key = ["__file", "__place"]
+    # shingles of all lengths, one after the other; a hit's template tells its length
+    d = keyed.select(*key, _words(F.coalesce("text", F.lit(""))).alias("w"))
+    # short shingles only of texts that hold all words of a short template
+    short = F.lit(False)
+    for r in fixed:
+        if r["n"] < SHINGLE:
+            every = F.lit(True)
+            for word in set(r["w"]):
+                every &= F.array_contains("w", word)
+            short |= every
+    made = [_shingles(F.col("w"), n) if n == SHINGLE else F.when(short, _shingles(F.col("w"), n)).otherwise(F.array().cast("array<long>")) for n in lengths]
+    d = d.select(*key, F.size("w").alias("n_w"), F.posexplode(F.concat(*made)).alias("pos", "x"))
+    before = F.lit(0)
+    at = F.lit(None).cast("int")
+    for n in lengths:
+        at = F.when(F.col("n") == n, F.col("pos") - before).otherwise(at)
+        before = before + F.greatest(F.col("n_w") - (n - 1), F.lit(0))
+    hits = d.join(F.broadcast(known), "x").select(*key, "n", "m", "x", at.alias("at"))
+    hits = hits.groupBy(*key, "n", "m").agg(F.sort_array(F.collect_set("at")).alias("hits"), F.size(F.collect_set("x")).alias("held"))
+    hits = cut_lineage(hits.where(F.col("held") >= F.col("m") * containment - 1e-9).drop("held"))
+    few = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_HITS
+    hits = hits.select(F.col("__file").alias("_f"), F.col("__place").alias("_p"), "n", "m", "hits")
+    step = F.greatest(F.floor(F.col("m") / STEPS), F.lit(1)).cast("int")
+    met = keyed.join(F.broadcast(hits) if few else hits, (F.col("__file") == F.col("_f")) & (F.col("__place") == F.col("_p"))).drop("_f", "_p")
+    met = met.withColumn("step", step).withColumn("w", _words(F.coalesce("text", F.lit("")))).drop("text")
+    of_length = F.lit(None).cast("array<long>")
+    for n in lengths:
+        of_length = F.when(F.col("n") == n, _shingles(F.col("w"), n)).otherwise(of_length)
+    marked = met.select("doc_id", *key, "n", "m", "step", "hits", of_length.alias("s"))
+    # windows that hold a hit: starts up to m - 1 before it
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(
+        F.floor(F.greatest(i - (F.col("m") - 1), F.lit(0)) / F.col("step")).cast("int"), F.floor(i / F.col("step")).cast("int")))))
+    windows = marked.select("*", F.explode(starts).alias("_start")).withColumn("at", (F.col("_start") * F.col("step")).cast("int"))
+    windows = windows.select("doc_id", *key, "n", "m", "at", F.array_distinct(F.slice("s", F.col("at") + 1, F.col("m") + F.col("step") - 1)).alias("v"))
     signed = windows.withColumn("bands", _bands(F.col("v"))).select("*", F.posexplode("bands").alias("band", "value")).drop("bands")
-    bands = spark.createDataFrame([(r["license"], r["t"], r["m"], b, v) for r in fixed for b, v in enumerate(r["bands"])],
-                                  "license string, t array<long>, m int, band int, value long")
-    met = signed.join(F.broadcast(bands), ["m", "band", "value"]).dropDuplicates(["uid", "license", "at"])  # as many rows as the parameter has templates x BANDS
+    bands = spark.createDataFrame([(r["license"], r["n"], r["m"], b, v) for r in fixed for b, v in enumerate(r["bands"])],
+                                  "license string, n int, m int, band int, value long")
+    sets = spark.createDataFrame([(r["license"], r["n"], r["m"], r["t"]) for r in fixed], "license string, n int, m int, t array<long>")
+    met = signed.join(F.broadcast(bands), ["n", "m", "band", "value"]).dropDuplicates([*key, "license", "n", "m", "at"])  # as many rows as the parameter has templates x BANDS
     share = F.size(F.array_intersect("t", "v")) / F.size("t")
-    good = met.withColumn("share", share).where(F.col("share") >= containment)
-    best = F.max(F.struct("share", (-F.col("at")).alias("neg"), "m")).alias("b")
-    return (good.groupBy("uid", "license").agg(F.first("doc_id").alias("doc_id"), best, F.count(F.lit(1)).alias("n_windows"))
-            .select("doc_id", "license", (-F.col("b.neg")).cast("long").alias("first_word"), (F.col("b.m") + SHINGLE - 1).cast("long").alias("n_words"),
+    good = met.join(F.broadcast(sets), ["license", "n", "m"]).withColumn("share", share).where(F.col("share") >= containment)
+    best = F.max(F.struct("share", (-F.col("at")).alias("neg"), "m", "n")).alias("b")
+    return (good.groupBy(*key, "license").agg(F.first("doc_id").alias("doc_id"), best, F.count(F.lit(1)).alias("n_windows"))
+            .select("doc_id", "license", (-F.col("b.neg")).cast("long").alias("first_word"), (F.col("b.m") + F.col("b.n") - 1).cast("long").alias("n_words"),
                     F.col("b.share").alias("containment"), "n_windows"))
 
 
