@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.llm.common import table
+from wearline.llm.runs import release_memory
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -222,6 +223,8 @@ def _predict(model: ByteNetwork | None):
             kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_text"]
             names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred), pa.array(score)], [*names, "lang_pred", "score"])
+        tables.clear()
+        release_memory()
 
     return run
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.llm.common import cut_lineage, table
+from wearline.llm.runs import release_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -55,8 +56,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with any other character go to the tokenizer whole. These characters are composed already,
 #: are lower-cased one by one, and are white space or not for every engine.
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u0131\u0134-\u024f]")
-#: Words that a Python worker keeps, about 200 bytes each; a full cache is emptied.
-CACHE_WORDS = 800_000
+#: Bytes of known words that a Python worker keeps while it works on a partition; a full cache is emptied.
+CACHE_BYTES = 64 << 20
+#: Bytes of a known word beside its characters and ids: two objects and a place in the table.
+WORD_BYTES = 150
 
 
 def _byte_characters() -> dict[int, int]:
@@ -79,7 +82,11 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.find = regex.compile(SPLIT).findall
         self.bytes = _byte_characters()
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
@@ -92,8 +99,10 @@ class TokenIds:
         else:
             ids = b"".join([known.get(p) or self._part(p) for p in self.find(word)])
         if len(word) <= 64:
-            if len(known) >= CACHE_WORDS:
+            self.room -= WORD_BYTES + len(word) + len(ids)
+            if self.room < 0:
                 known.clear()
+                self.room = CACHE_BYTES
             known[word] = ids
         return ids
 
@@ -111,7 +120,7 @@ class TokenIds:
 
 @lru_cache(maxsize=1)
 def token_ids(vocabulary: str) -> TokenIds:
-    """One per Python worker: the cache outlives a task."""
+    """One per Python worker; its known words go when a partition ends."""
     return TokenIds(vocabulary)
 
 
@@ -139,6 +148,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_of.forget()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
 

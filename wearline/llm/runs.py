@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-__all__ = ["in_runs"]
+__all__ = ["in_runs", "release_memory"]
+
+
+def release_memory() -> None:
+    """Give what a finished partition used back to the system: Spark keeps its Python workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def in_runs(key: list[str], work: Callable, out_schema: pa.Schema):
@@ -48,5 +59,7 @@ def in_runs(key: list[str], work: Callable, out_schema: pa.Schema):
         if waiting:
             finish(pa.Table.from_batches(waiting[1]))
         yield emit()
+        waiting = []
+        release_memory()
 
     return run
