@@ -32,21 +32,28 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_keyed(df: DataFrame, file_col: str = "__file", row_col: str = "__place") -> DataFrame:
-    """``df`` with a key of two longs that names each row, whatever its columns hold.
+def row_keyed(df: DataFrame) -> DataFrame:
+    """``__file, __place, _row``: each row of ``df`` as a struct, whatever its columns are called, with a key of two longs.
 
     The key is the Parquet file (hashed path) and the row's place in it, so the same
     row gets the same key in every pass and repeated rows stay apart. A frame that does
-    not come straight from Parquet files is written to the shared folder first.
+    not come straight from Parquet files, or has a column ``_metadata`` of its own, is written to the shared folder first.
     """
     def keyed(d: DataFrame) -> DataFrame:
-        return d.select("*", F.xxhash64("_metadata.file_path").alias(file_col), F.col("_metadata.row_index").alias(row_col))
-    try:
-        out = keyed(df)
-        out.schema
-    except AnalysisException:
-        out = keyed(scratch_table(df))
-    return out
+        row = F.struct(*[F.col(_quoted(a)).alias(b) for a, b in zip(d.columns, df.columns, strict=True)])
+        return d.select(F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"), row.alias("_row"))
+    if "_metadata" not in (c.lower() for c in df.columns):
+        try:
+            out = keyed(df)
+            out.schema
+            return out
+        except AnalysisException:
+            pass
+    return keyed(scratch_table(df.toDF(*[f"c{i}" for i in range(len(df.columns))])))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -101,7 +101,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         return spark.createDataFrame([], "doc_id long, license string, first_word long, n_words long, containment double, n_windows long")
     known = spark.createDataFrame(sorted({(x, r["n"], r["m"]) for r in fixed for x in r["t"]}), "x long, n int, m int")
     lengths = sorted({r["n"] for r in fixed}, reverse=True)
-    keyed = row_keyed(docs.select("doc_id", "text"))
+    keyed = row_keyed(docs.select("doc_id", "text")).select("__file", "__place", "_row.*")
     key = ["__file", "__place"]
     # shingles of all lengths, one after the other; a hit's template tells its length
     d = keyed.select(*key, _words(F.coalesce("text", F.lit(""))).alias("w"))

@@ -369,17 +369,18 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class: its least doc_id (nulls last), then its first row."""
-    columns, key = docs.columns, ["__file", "__place"]
+    key = ["__file", "__place"]
     keyed = row_keyed(docs)
-    rows = cut_lineage(classes(keyed.select(*key, "text"), key, similarity).select(*key, "root"))
-    ids = keyed.select(F.col("__file").alias("__f"), F.col("__place").alias("__r"), "doc_id")
-    rows = rows.join(ids, (F.col("__file") == F.col("__f")) & (F.col("__place") == F.col("__r")))
+    rows = cut_lineage(classes(keyed.select(*key, F.col("_row.text").alias("text")), key, similarity).select(*key, "root"))
+    here = (F.col("__file") == F.col("__f")) & (F.col("__place") == F.col("__r"))
+    ids = keyed.select(F.col("__file").alias("__f"), F.col("__place").alias("__r"), F.col("_row.doc_id").alias("doc_id"))
+    rows = rows.join(ids, here)
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "__file", "__place")
     best = rows.groupBy("root").agg(F.min(first).alias("m")).select(F.col("m.__file").alias("__f"), F.col("m.__place").alias("__r"))
-    gone = rows.select("__file", "__place").join(best, (F.col("__file") == F.col("__f")) & (F.col("__place") == F.col("__r")), "left_anti")
+    gone = rows.select("__file", "__place").join(best, here, "left_anti")
     gone = cut_lineage(gone.select(F.col("__file").alias("__f"), F.col("__place").alias("__r")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return keyed.join(gone, (F.col("__file") == F.col("__f")) & (F.col("__place") == F.col("__r")), "left_anti").select(*columns)
+    return keyed.join(gone, here, "left_anti").select("_row.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

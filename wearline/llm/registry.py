@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wearline.llm import chat, fixity, language, licenses, mixing, neighbours, ngram_join, packing, quality, token_counts
+from wearline.llm import (chat, decontaminate, fixity, language, licenses, manifest, mixing, negatives, neighbours, ngram_join, packing,
+                          quality, token_counts)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +16,15 @@ QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op4_fixity_audit": fixity.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op11_decontamination": decontaminate.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }
