@@ -125,6 +125,68 @@ def test_permutation_reaches_every_block(spark):
         assert sorted(r["p"] for r in d.collect()) == list(range(n))
 
 
+def test_shards_hold_what_they_drew(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    docs = make(spark, [(k, " ".join(f"w{i}" for i in range(40 + k % 90)), "en", "abc"[k % 3]) for k in range(400)])
+
+    def drawn():
+        sizes = mixing._sized(docs, "source")
+        per = mixing.targets(sizes)
+        counts = [r for r in mixing.slot_counts(per).collect()]
+        found = {}
+        for r in mixing.shards(docs).collect():
+            found.setdefault(r["shard"], {}).setdefault(r["place"], []).append((r["source"], r["doc_id"], r["first_word"], r["n_words"]))
+        return counts, found
+
+    counts, found = drawn()
+    slots = Counter()
+    for r in counts:
+        slots[r["shard"], r["_src"]] += r["n"]
+    got = Counter()
+    for shard, places in found.items():
+        assert sorted(places) == list(range(len(places))) and len(places) <= 64  # gapless, one source a slot
+        for parts in places.values():
+            assert len({p[0] for p in parts}) == 1
+            got[shard, parts[0][0]] += 1
+    assert got == slots  # a shard holds as many slots of a source as it drew
+    taken = Counter()
+    for places in found.values():
+        for parts in places.values():
+            for _, doc, _, n in parts:
+                taken[doc] += n
+    mixed = mixing.mix(docs).collect()
+    assert all(taken[r["doc_id"]] == r["taken"] for r in mixed)
+    first = {}
+    for shard, places in found.items():
+        for parts in places.values():
+            for _, doc, _, _ in parts:
+                first[doc] = min(first.get(doc, shard), shard)
+    assert {r["doc_id"]: r["first_shard"] for r in mixed if r["taken"]} == first
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs).coalesce(1).collect()]
+    monkeypatch.setattr(mixing, "SEED", 99)
+    other_counts, other = drawn()
+    other_slots = Counter()
+    for r in other_counts:
+        other_slots[r["shard"], r["_src"]] += r["n"]
+    assert other_slots != slots and other != found  # another seed deals other sources to a shard ...
+    words = lambda f: Counter(p[0] for places in f.values() for parts in places.values() for p in parts for _ in range(p[3]))
+    assert words(other) == words(found)  # ... and every source's total stays
+    assert order != [r["doc_id"] for r in mixing.mixed_documents(docs).coalesce(1).collect()]
+
+
+@pytest.mark.parametrize("names", [("__file", "__place"), ("_metadata", "_row"), ("_ROW", "_Metadata")])
+def test_stages_carry_columns_of_any_name(spark, names, tmp_path):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text if k < 3 else f"{text} x{k} " * 2, "en", "a", len(text), f"f{k}", k) for k in range(8)]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, `{names[0]}` string, `{names[1]}` long")
+    d.write.parquet(str(tmp_path / "d"))
+    for docs in (d, spark.read.parquet(str(tmp_path / "d"))):
+        kept = ngram_join.keep_one(docs)
+        assert kept.columns == docs.columns and {r["doc_id"]: r[names[0]] for r in kept.collect()}[0] == "f0"
+        mixed = mixing.mixed_documents(docs)
+        assert mixed.columns == docs.columns and all(r[names[0]] == f"f{r['doc_id']}" for r in mixed.collect())
+
+
 def test_mixed_documents(spark, edge):
     out = mixing.mixed_documents(edge)
     assert out.columns == edge.columns

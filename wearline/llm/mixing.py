@@ -7,6 +7,10 @@ its slots through a pseudorandom permutation of the block numbers (a Feistel net
 walked until it lands inside). Blocks are joined by number, and a document gets what its
 blocks were drawn.
 
+A shard holds what it has drawn: its slots, at places that a hash of the slot gives, are the order of the mix
+(``shards``). A document stands where its first slot of a pass does (``mixed_documents``), and the
+digest names the first shard that takes words of it (``first_shard``).
+
 The draws alone would leave each total with binomial noise. So a source's slots are counted
 only up to its quota, the slots whose blocks hold the target's words (the partial last block of a
 source counts at its real length), and what the draws left open is handed out by the
@@ -35,7 +39,9 @@ BLOCK = 128
 FINE = 64
 SHARD = 4096
 #: Documents of a source that one task lays end to end (about).
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 2_000
+#: Shards whose counts one task sums.
+SHARD_GROUP = 20_000
 SEED = 20240607
 #: Draws of the multinomial shards, as a share of all slots; the rest settles.
 DRAWN = 0.97
@@ -109,7 +115,7 @@ def quota_ranges(per: DataFrame) -> tuple[DataFrame, int]:
     n_slots = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n")).first()["n"]
     edges = cut_lineage(ranked(quotas.select("_src", "quota", "blocks", "cut"), [F.col("_src").asc_nulls_last()], "_rank"))
     # cumulated quotas; sources are few against slots, chunks of the ranks keep the window local
-    chunk = F.floor(F.col("_rank") / CHUNK_DOCS)
+    chunk = F.floor(F.col("_rank") / SHARD_GROUP)
     own = F.sum("quota").over(Window.partitionBy(chunk).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
     sums = edges.groupBy(chunk.alias("_c")).agg(F.sum("quota").alias("q"))
     before = F.coalesce(F.sum("q").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -119,7 +125,7 @@ def quota_ranges(per: DataFrame) -> tuple[DataFrame, int]:
 
 
 def slot_counts(per: DataFrame) -> DataFrame:
-    """Per shard and source: the first of its slot numbers and how many, ``(_src, blocks, cut, first, n)``.
+    """Per shard and source: the first of its slot numbers and how many, ``(shard, _src, blocks, cut, first, n)``.
 
     Every slot of a shard draws its source (inverse distribution function at a hash of the
     slot), which makes the shard's source counts multinomial. The counts are summed over
@@ -137,7 +143,7 @@ def slot_counts(per: DataFrame) -> DataFrame:
     hit = (slots.withColumn("_cell", F.floor(F.col("u") / width)).join(near, "_cell")
            .where((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_from") + F.col("quota"))))
     drawn = cut_lineage(hit.groupBy("shard", "_src", "blocks", "cut", "quota").agg(F.count(F.lit(1)).alias("n")))
-    group = F.floor(F.col("shard") / CHUNK_DOCS)
+    group = F.floor(F.col("shard") / SHARD_GROUP)
     w = Window.partitionBy("_src", group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = drawn.groupBy("_src", group.alias("_g")).agg(F.sum("n").alias("gn"))
     gw = Window.partitionBy("_src").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,21 +151,24 @@ def slot_counts(per: DataFrame) -> DataFrame:
     numbered = drawn.withColumn("_own", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("_g", group)
     numbered = numbered.join(sums, numbered["_src"].eqNullSafe(sums["_s"]) & (numbered["_g"] == sums["_gg"]))
     first = F.col("_own") + F.col("_gb")
-    taken = numbered.select("_src", "blocks", "cut", first.alias("first"), F.least(F.col("n"), F.col("quota") - first).alias("n")).where("n > 0")
-    # settlement shards: what the draws left of each quota, in shards of SHARD slots
+    taken = numbered.select("shard", "_src", "blocks", "cut", first.alias("first"), F.least(F.col("n"), F.col("quota") - first).alias("n")).where("n > 0")
+    # settlement shards: what the draws left of each quota, in shards of SHARD slots, after the drawn ones
     got = taken.groupBy("_src").agg(F.sum("n").alias("got")).withColumnRenamed("_src", "_s")
     q = per.where("quota > 0").join(got, F.col("_src").eqNullSafe(F.col("_s")), "left").withColumn("got", F.coalesce("got", F.lit(0)))
     rest = (q.where("got < quota")
             .select("_src", "blocks", "cut", "quota", F.explode(F.sequence(F.col("got"), F.col("quota") - 1, F.lit(SHARD).cast("long"))).alias("first"))
             .select("_src", "blocks", "cut", "first", F.least(F.lit(SHARD).cast("long"), F.col("quota") - F.col("first")).alias("n")))
+    rest = ranked(rest, [F.col("_src").asc_nulls_last(), F.col("first")], "shard").withColumn("shard", F.col("shard") + F.lit(-(-n_drawn // SHARD)))
     return taken.unionByName(rest)
 
 
-def drawn_blocks(per: DataFrame) -> DataFrame:
-    """``(_src, _block, _pass, _words)``: a row for every slot, with the block that it maps to and how many words of it are taken."""
+def drawn_blocks(counts: DataFrame) -> DataFrame:
+    """``(shard, _at_shard, _src, _block, _pass, _words)``: a row for every slot, with its shard, a hash that is its
+    place there, the block that it maps to and how many words of it are taken."""
     # few rows become many here: dealt out first, or they would stay in the few tasks that hold them
-    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = (slot_counts(per).repartition(parts, "_src", "first").select("_src", "blocks", "cut", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = (counts.repartition(parts, "_src", "first")
+             .select("shard", "_src", "blocks", "cut", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
              .withColumn("_pass", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn("_j", F.col("k") % F.col("blocks")))
     slots = slots.withColumn("_tail", _tail_at(F.col("_src"), F.col("_pass"), F.col("blocks")))
     # the last block has a slot of its own; the others are permuted over the slots around it
@@ -168,7 +177,8 @@ def drawn_blocks(per: DataFrame) -> DataFrame:
     is_tail = F.col("_j") == F.col("_tail")
     words = F.col("cut.size") - F.when(is_tail, F.col("cut.short")).otherwise(F.lit(0))
     words = words - F.when(F.col("k") == F.col("cut.quota") - 1, F.col("cut.over")).otherwise(F.lit(0))
-    return slots.select("_src", "_pass", F.when(is_tail, others).otherwise(place).alias("_block"), words.alias("_words"))
+    at = F.xxhash64(F.lit(SEED), F.lit("at"), "shard", "_src", "k")
+    return slots.select("shard", at.alias("_at_shard"), "_src", "_pass", F.when(is_tail, others).otherwise(place).alias("_block"), words.alias("_words"))
 
 
 def laid_out(sizes: DataFrame, order: list[str]) -> DataFrame:
@@ -198,32 +208,52 @@ def overlaps(laid: DataFrame, key: list[str]) -> DataFrame:
             .select(*key, "_src", "_block", at.alias("_at"), F.greatest(at, F.lit(0)).alias("_lo"), F.least(at + F.col("_bs"), F.col("_size")).alias("_hi")))
 
 
-def _drawn_overlaps(laid: DataFrame, per: DataFrame, key: list[str], by_pass: bool) -> DataFrame:
-    cells = drawn_blocks(per).select(F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()).alias("_sh"), "_block", "_pass", "_words")
-    cells = cells if by_pass else cells.groupBy("_sh", "_block", "_words").agg(F.count(F.lit(1)).alias("_times"))
+def _drawn_overlaps(laid: DataFrame, per: DataFrame, counts: DataFrame, key: list[str], by_pass: bool) -> DataFrame:
+    """Words of documents that the mix takes: per slot, or (not ``by_pass``) per block with the number of its slots."""
+    cells = drawn_blocks(counts).select(F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()).alias("_sh"), "_block", "_pass", "_words", "shard", "_at_shard")
+    cells = cells if by_pass else cells.groupBy("_sh", "_block", "_words").agg(F.count(F.lit(1)).alias("_times"), F.min("shard").alias("shard"))
     sized = per.select(F.col("_src").alias("_s"), F.col("cut.size").alias("_bs"))
     laid = laid.join(sized, laid["_src"].eqNullSafe(sized["_s"])).drop("_s")
-    parts = overlaps(laid, key).withColumn("_sh", F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull())).drop("_src")
+    parts = overlaps(laid, key).withColumn("_sh", F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()))
     # of a block that is taken in part, only its first words
     return (parts.join(cells, ["_sh", "_block"]).withColumn("_hi", F.least("_hi", F.col("_at") + F.col("_words"))).where("_hi > _lo"))
 
 
+def _sized(docs: DataFrame, source: str) -> DataFrame:
+    return cut_lineage(docs.select("doc_id", F.col(source).cast("string").alias("_src"), word_count(F.col("text")).alias("_size"))
+                       .withColumn("_uid", F.monotonically_increasing_id()))
+
+
 def mix(docs: DataFrame, source: str = "source") -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
-    sizes = cut_lineage(docs.select("doc_id", F.col(source).cast("string").alias("_src"), word_count(F.col("text")).alias("_size"))
-                        .withColumn("_uid", F.monotonically_increasing_id()))
+    """One row per document: ``doc_id, size, source_size, target, taken`` and ``first_shard`` (null: nothing is taken)."""
+    sizes = _sized(docs, source)
     per = targets(sizes)
     laid = cut_lineage(laid_out(sizes, ["doc_id", "_uid"]))
-    took = (_drawn_overlaps(laid, per, ["_uid"], False).groupBy("_uid")
-            .agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_times")).cast("long").alias("_taken")))
+    took = (_drawn_overlaps(laid, per, slot_counts(per), ["_uid"], False).groupBy("_uid")
+            .agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_times")).cast("long").alias("_taken"), F.min("shard").alias("first_shard")))
     p = per.select(F.col("_src").alias("_s"), "words", "target")
     out = laid.join(took, "_uid", "left").join(p, laid["_src"].eqNullSafe(p["_s"]))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("words").alias("source_size"), "target",
-                      F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+                      F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+
+
+def shards(docs: DataFrame, source: str = "source") -> DataFrame:
+    """The mix in its order: a row per slot and document in it, ``shard, place, source, doc_id, first_word, n_words``.
+
+    ``place`` numbers a shard's slots, which its sources share as drawn.
+    """
+    sizes = _sized(docs, source)
+    per = targets(sizes)
+    laid = cut_lineage(laid_out(sizes, ["doc_id", "_uid"]))
+    taken = _drawn_overlaps(laid, per, slot_counts(per), ["_uid", "doc_id"], True)
+    slot = Window.partitionBy("shard").orderBy("_at_shard", "_src", "_pass", "_block")  # at most SHARD slots and their documents
+    return taken.select("shard", (F.dense_rank().over(slot) - 1).alias("place"), F.col("_src").alias("source"), "doc_id",
+                        F.col("_lo").alias("first_word"), (F.col("_hi") - F.col("_lo")).alias("n_words"))
 
 
 def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a row per document and pass that took of it.
+    """The mix as documents with the columns of ``docs``, in its order: a row per document and pass that took
+    of it, where the first of its slots stands.
 
     A document that a pass took whole keeps its text; of others the row holds the words of
     the drawn blocks, in order and one blank apart. ``n_chars``, if there, follows the text.
@@ -231,19 +261,26 @@ def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     columns = docs.columns
     keyed = row_keyed(docs)
     key = ["__file", "__place"]
-    sizes = cut_lineage(keyed.select(*key, F.col(source).cast("string").alias("_src"), word_count(F.col("text")).alias("_size")))
+    sizes = cut_lineage(keyed.select(*key, F.col("_row")[source].cast("string").alias("_src"), word_count(F.col("_row")["text"]).alias("_size")))
     per = targets(sizes)
     laid = cut_lineage(laid_out(sizes, key))
-    spans = (_drawn_overlaps(laid, per, key, True).groupBy(*key, "_pass")
-             .agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_spans")))  # a document's own blocks
-    got = spans.select(F.col("__file").alias("_gf"), F.col("__place").alias("_gr"), "_spans").hint("merge")  # grows with the corpus: no broadcast
-    rows = keyed.select(*key, F.col("text").alias("_t"), F.struct(*[F.col(c) for c in columns]).alias("_all"))
+    counts = cut_lineage(slot_counts(per))
+    n_shards = (counts.agg(F.max("shard").alias("n")).first()["n"] or 0) + 1  # one row
+    spans = (_drawn_overlaps(laid, per, counts, key, True).groupBy(*key, "_pass")
+             .agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_spans"),  # a document's own blocks
+                  F.min(F.struct("shard", "_at_shard")).alias("_stands")))
+    got = spans.select(F.col("__file").alias("_gf"), F.col("__place").alias("_gr"), "_pass", "_spans", "_stands").hint("merge")  # grows with the corpus: no broadcast
+    rows = keyed.select(*key, F.col("_row")["text"].alias("_t"), F.col("_row").alias("_all"))
     rows = rows.join(got, (rows["__file"] == got["_gf"]) & (rows["__place"] == got["_gr"]))
     words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["_hi"] - s["_lo"]) == word_count(F.col("_t"))
     cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
         "_spans", lambda s: F.slice(w, (s["_lo"] + 1).cast("int"), (s["_hi"] - s["_lo"]).cast("int")))), " ")), F.lit(0))
     rows = rows.withColumn("_text", F.when(whole, F.col("_t")).otherwise(cut))
+    # consecutive shards to each partition; shards are equally large, so nothing has to be sampled
+    parts = min(n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartitionById(parts, (F.col("_stands.shard") * parts / n_shards).cast("int"))
+    rows = rows.sortWithinPartitions("_stands", "__file", "__place", "_pass")
     new = {"text": F.col("_text")}
     if "n_chars" in columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
