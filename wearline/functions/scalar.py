@@ -151,11 +151,6 @@ def sensor_prefix(name: str) -> str:
     return name.split("_")[0]
 
 
-def sensor_prefix_col(c) -> Column:
-    """I8 as an expression."""
-    return F.substring_index(_c(c), "_", 1)
-
-
 def title_label(c) -> Column:
     """``_`` -> space, title case."""
     return F.initcap(F.regexp_replace(_c(c), "_", " "))

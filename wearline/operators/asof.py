@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import ReadingSpec
-from .series import chunked, hours_between, scan
+from .series import START_COL, chunked, hours_between, scan
 
 
 def inside_intervals(readings: DataFrame, intervals: DataFrame, spec: ReadingSpec,
@@ -23,6 +23,7 @@ def inside_intervals(readings: DataFrame, intervals: DataFrame, spec: ReadingSpe
     interval edges go first (start inclusive, end exclusive); inside = running sum > 0.
     """
     m, ts = spec.machine, spec.ts
+    readings = readings.drop(START_COL)  # the union of both sides is chunked anew
     tie = spec.tie or ts
     cols = readings.columns
     r = readings.select(*cols, F.lit(1).alias("_kind"), F.lit(0).alias("_delta"))
@@ -47,6 +48,7 @@ def last_event_before(readings: DataFrame, events: DataFrame, spec: ReadingSpec,
     unioned; the latest time per kind is a running max.
     """
     m, ts = spec.machine, spec.ts
+    readings = readings.drop(START_COL)  # the union of both sides is chunked anew
     cols = readings.columns
     r = readings.withColumn("_kind", F.lit(1))
     ev = events.select(m, ts, *( [spec.tie] if spec.tie else []), kind_col).withColumn("_kind", F.lit(0))
@@ -73,6 +75,7 @@ def counts_in_past(readings: DataFrame, events: DataFrame, spec: ReadingSpec, ki
     are carried over the chunks, so the work is linear however dense the rows are.
     """
     m, ts = spec.machine, spec.ts
+    readings = readings.drop(START_COL)  # the union of both sides is chunked anew
     cols = readings.columns
     r = readings.withColumn("_kind", F.lit(1))
     ev = events.select(m, ts, kind_col)
@@ -100,6 +103,7 @@ def next_event_after(readings: DataFrame, events: DataFrame, spec: ReadingSpec,
     ordered before the reading so it does not count as "after".
     """
     m, ts = spec.machine, spec.ts
+    readings = readings.drop(START_COL)  # the union of both sides is chunked anew
     cols = readings.columns
     r = readings.withColumn("_kind", F.lit(1))
     ev = events.select(m, ts).withColumn("_kind", F.lit(0))

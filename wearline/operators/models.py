@@ -1,4 +1,4 @@
-"""Supervised models (J3-J6, J8-J10) and the training / scoring jobs.
+"""Supervised models (J3-J10) and the training / scoring jobs.
 
 Every fit is Spark ML on the cluster; the standard scaler (J2, population std)
 is a ``SQLTransformer`` stage so a saved ``PipelineModel`` carries it (A9/A10).
@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 import math
 import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel,
                                        LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -23,19 +25,28 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from . import metrics as M
 from . import sampling as H
-from ..session import cut_lineage, path_exists
+from ..session import current_session, cut_lineage
+from .knn import KnnModel
 from .scaling import fit_scaler
 
 # Model parameters of the reference training job.
 REFERENCE = dict(rf_trees=200, rf_depth=15, leaf=2, gbt_iter=200, gbt_depth=5, gbt_rate=0.1, dt_depth=10,
-                 lr_iter=1000, svm_cap=10_000, svm_iter=100, cv_folds=5, seed=42)
+                 lr_iter=1000, svm_cap=10_000, svm_iter=100, knn_k=5, cv_folds=5, seed=42)
 # Small settings for quick checks (same model families, fewer trees / rounds).
 QUICK = dict(REFERENCE, rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=4, dt_depth=8, lr_iter=100, svm_iter=25)
-#: Rows of a fitting task: a boosted model of 200 rounds is over 1,000 small jobs, so few rows go to few tasks.
-FIT_ROWS = 2_500
+#: Rows of a fitting task. Every task sends the histograms of all open nodes, whatever its rows, so few tasks suffice.
+FIT_ROWS = 25_000
+#: Fits that run at the same time; each one alone leaves most of a cluster idle between its many small jobs.
+FITS_AT_ONCE = 8
+#: Histograms of one pass of a forest in MB: deep levels of many trees need fewer passes than with Spark's 256.
+FOREST_MEMORY_MB = 1024
+#: A forest keeps each row's node instead of walking its trees anew in every pass; cut off after so many passes.
+NODE_IDS = dict(cacheNodeIds=True, checkpointInterval=10)
+CV_MODELS = ("random_forest", "gradient_boosting", "decision_tree")
 
 
 def fit_parts(train: DataFrame, n_train: int) -> DataFrame:
@@ -43,6 +54,14 @@ def fit_parts(train: DataFrame, n_train: int) -> DataFrame:
     return train.coalesce(max(1, -(-n_train // FIT_ROWS)))
 
 
+def side_by_side(spark: SparkSession, work: dict[str, Callable]) -> dict:
+    """Results of independent pieces of driver work (fits, evaluations), at most ``FITS_AT_ONCE`` at a time."""
+    with ThreadPoolExecutor(max_workers=max(1, min(FITS_AT_ONCE, len(work)))) as pool:
+        carry = inheritable_thread_target(spark)  # job tags and properties go along
+        running = {k: pool.submit(carry(f)) for k, f in work.items()}
+        return {k: r.result() for k, r in running.items()}
+
+
 def scaler_stage(stats: dict, suffix: str = "_s") -> SQLTransformer:
     """J2 as a pipeline stage: (x - mean) / std with the train statistics as literals."""
     exprs = ", ".join(f"(CAST(`{c}` AS DOUBLE) - {m!r}) / {s!r} AS `{c}{suffix}`" for c, (m, s) in stats.items())
@@ -57,8 +76,8 @@ def feature_stages(features, stats: dict):
 def classifiers(p: dict, n_train: int) -> dict:
     """J3-J6 estimators (J7 KNN and J8 SVM are separate: no native Spark model)."""
     return {
-        "random_forest": RandomForestClassifier(numTrees=p["rf_trees"], maxDepth=p["rf_depth"],
-                                                minInstancesPerNode=p["leaf"], seed=p["seed"]),
+        "random_forest": RandomForestClassifier(numTrees=p["rf_trees"], maxDepth=p["rf_depth"], minInstancesPerNode=p["leaf"],
+                                                maxMemoryInMB=FOREST_MEMORY_MB, seed=p["seed"], **NODE_IDS),
         "gradient_boosting": GBTClassifier(maxIter=p["gbt_iter"], maxDepth=p["gbt_depth"], stepSize=p["gbt_rate"],
                                            seed=p["seed"]),
         "decision_tree": DecisionTreeClassifier(maxDepth=p["dt_depth"], minInstancesPerNode=p["leaf"],
@@ -86,26 +105,21 @@ def importances(model, features) -> list[tuple[str, float]]:
     return sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
 
 
-def cv_f1(train: DataFrame, label: str, key, estimator_stages, folds: int, seed: int = 45) -> tuple[float, float]:
-    """F1 over unshuffled stratified folds; mean and population std."""
-    fd = cut_lineage(H.stratified_folds(train, label, key, folds, seed=seed))
-    scores = []
-    for f in range(folds):
-        part = fd.where(F.col("fold") != f)
-        model = Pipeline(stages=estimator_stages).fit(fit_parts(part, part.count()))
-        pred = model.transform(fd.where(F.col("fold") == f))
-        scores.append(M.binary_metrics(pred, label, "prediction").first()["f1_score"])
-    mean = sum(scores) / len(scores)
-    return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+def cv_f1(folds: DataFrame, label: str, stages, fold: int) -> float:
+    """F1 of one fold of ``folds`` (column ``fold``) by a model fitted on the others."""
+    part = folds.where(F.col("fold") != fold)
+    model = Pipeline(stages=stages).fit(fit_parts(part, part.count()))
+    pred = model.transform(folds.where(F.col("fold") == fold))
+    return M.binary_metrics(pred, label, "prediction").first()["f1_score"]
 
 
 def train_classification(df: DataFrame, features, label: str, key, tag: str, params: dict = REFERENCE,
-                         model_dir: str | None = None, with_cv: bool = True, with_svm: bool = True, only=None):
-    """Stratified split, 50/50 balance of train and test, scaler on train,
-    fit and evaluate every classifier, CV for the tree models, importances.
-    ``only`` names the classifiers wanted (default: all).
+                         store=None, with_cv: bool = True, with_svm: bool = True, only=None, cv_only: bool = False):
+    """Stratified split, 50/50 balance of train and test, scaler on train, then every classifier's
+    fit with its metrics, and for the tree models one fit per fold (D23), side by side.
+    ``only`` names the classifiers wanted (default: all six; ``with_svm`` rules the SVM); ``cv_only`` leaves out the fits on all rows.
 
-    Returns (long metrics DataFrame, {name: PipelineModel}, {name: importances}).
+    Returns (long metrics DataFrame, {name: model}, {name: importances}); models go to ``store`` as new versions.
     """
     spark = df.sparkSession
     cols = list(features) + [label] + ([key] if isinstance(key, str) else list(key))
@@ -118,67 +132,74 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     train = cut_lineage(H.balance(split.where(~F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
     test = cut_lineage(H.balance(split.where(F.col("is_test")).drop("is_test"), label, key, seed=seed + 1))
     n_train = train.count()
-    train = fit_parts(train, n_train)
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
-    rows, models, imps = [], {}, {}
-    for name, est in classifiers(params, n_train).items():
-        if only is not None and name not in only:
-            continue
-        est.setLabelCol(label)
-        model = Pipeline(stages=stages + [est]).fit(train)
-        pred = model.transform(test).withColumn("p1", p1())
-        m = evaluate_classifier(pred, label)
-        models[name] = model
-        if name in ("random_forest", "gradient_boosting"):
-            imps[name] = importances(model.stages[-1], features)
-        if with_cv and name in ("random_forest", "gradient_boosting", "decision_tree"):
-            mean, std = cv_f1(train, label, key, stages + [est.copy()], params["cv_folds"], seed=seed + 3)
-            m["cv_f1_mean"], m["cv_f1_std"] = mean, std
-        rows += [(tag, name, k, float(v)) for k, v in m.items() if k in M.CLASSIFICATION_METRICS + (
-            "cv_f1_mean", "cv_f1_std")]
+    few = fit_parts(train, n_train)
+    estimators = {name: est.setLabelCol(label) for name, est in classifiers(params, n_train).items() if only is None or name in only}
+    fits: dict[str, Callable] = {name: lambda est=est: Pipeline(stages=[*stages, est]).fit(few) for name, est in estimators.items()}
+    if only is None or "knn" in only:
+        fits["knn"] = lambda: KnnModel.fit(train, features, label, stats, params["knn_k"])
     if with_svm:
-        svm = fit_rff_svm(train, features, label, stats, params, key)
-        pred = svm.transform(test).withColumn("p1", p1())
-        m = evaluate_classifier(pred, label)
-        models["svm"] = svm
-        rows += [(tag, "svm", k, float(v)) for k, v in m.items() if k in M.CLASSIFICATION_METRICS]
-    if model_dir:
+        fits["svm"] = lambda: fit_rff_svm(few, features, label, stats, params, key)
+
+    def fitted(fit: Callable):
+        model = fit()
+        return model, evaluate_classifier(model.transform(test).withColumn("p1", p1()), label)
+
+    work: dict = {} if cv_only else {name: lambda fit=fit: fitted(fit) for name, fit in fits.items()}
+    cv = [name for name in CV_MODELS if name in estimators] if with_cv else []
+    if cv:
+        folds = cut_lineage(H.stratified_folds(train, label, key, params["cv_folds"], seed=seed + 3))
+        for name in cv:
+            for fold in range(params["cv_folds"]):
+                work[name, fold] = lambda est=estimators[name], fold=fold: cv_f1(folds, label, [*stages, est.copy()], fold)
+    done = side_by_side(spark, work)
+    rows, models, imps = [], {}, {}
+    for name in {**estimators, **fits}:
+        if name in done:
+            models[name], m = done[name]
+            rows += [(tag, name, k, float(v)) for k, v in m.items() if k in M.CLASSIFICATION_METRICS]
+            if name in ("random_forest", "gradient_boosting"):
+                imps[name] = importances(models[name].stages[-1], features)
+        if name in cv:
+            scores = [done[name, fold] for fold in range(params["cv_folds"])]
+            mean = sum(scores) / len(scores)
+            rows += [(tag, name, "cv_f1_mean", mean), (tag, name, "cv_f1_std", math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)))]
+    if store is not None:
         for name, model in models.items():
-            model.write().overwrite().save(os.path.join(model_dir, f"{name}_classifier_{tag}"))
+            store.publish(f"{name}_classifier_{tag}", model)
     long = spark.createDataFrame(rows, "task string, model string, metric string, value double")
     return long, models, imps
 
 
-def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dict = REFERENCE,
-                     model_dir: str | None = None, only=None):
-    """Plain 80/20 split, scaler on train, RF and GBT regressors (or ``only`` those named), D22 metrics."""
+def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dict = REFERENCE, store=None, only=None):
+    """Plain 80/20 split, scaler on train, RF and GBT regressors (or ``only`` those named) side by side,
+    D22 metrics; models go to ``store`` as new versions."""
     spark = df.sparkSession
     cols = list(features) + [y] + ([key] if isinstance(key, str) else list(key))
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features) + [y]))
     split = cut_lineage(H.plain_split(data, key, seed=params["seed"]))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     train = fit_parts(train, train.count())
-    stats = fit_scaler(train, list(features))
-    stages = feature_stages(features, stats)
+    stages = feature_stages(features, fit_scaler(train, list(features)))
     regs = {
         # the reference's forest regressor considers every feature at each split
-        "random_forest": RandomForestRegressor(numTrees=params["rf_trees"], maxDepth=params["rf_depth"],
-                                               featureSubsetStrategy="all", seed=params["seed"]),
+        "random_forest": RandomForestRegressor(numTrees=params["rf_trees"], maxDepth=params["rf_depth"], featureSubsetStrategy="all",
+                                               maxMemoryInMB=FOREST_MEMORY_MB, seed=params["seed"], **NODE_IDS),
         "gradient_boosting": GBTRegressor(maxIter=params["gbt_iter"], maxDepth=params["gbt_depth"],
                                           stepSize=params["gbt_rate"], seed=params["seed"]),
     }
-    rows, models = [], {}
-    for name, est in regs.items():
-        if only is not None and name not in only:
-            continue
-        est.setLabelCol(y)
-        model = Pipeline(stages=stages + [est]).fit(train)
-        m = M.regression_metrics(model.transform(test), y, "prediction").first().asDict()
-        rows += [(tag, name, k, float(v)) for k, v in m.items()]
-        models[name] = model
-        if model_dir:
-            model.write().overwrite().save(os.path.join(model_dir, f"{name}_regressor_{tag}"))
+
+    def fitted(est):
+        model = Pipeline(stages=[*stages, est.setLabelCol(y)]).fit(train)
+        return model, M.regression_metrics(model.transform(test), y, "prediction").first().asDict()
+
+    done = side_by_side(spark, {name: lambda est=est: fitted(est) for name, est in regs.items() if only is None or name in only})
+    rows = [(tag, name, k, float(v)) for name, (_, m) in done.items() for k, v in m.items()]
+    models = {name: model for name, (model, _) in done.items()}
+    if store is not None:
+        for name, model in models.items():
+            store.publish(f"{name}_regressor_{tag}", model)
     return spark.createDataFrame(rows, "task string, model string, metric string, value double"), models
 
 
@@ -229,23 +250,17 @@ class RffSvmModel:
         out = self.platt.transform(m).drop("features", "_margin", "prediction", "rawPrediction")
         return out.withColumnRenamed("_svm_pred", "prediction")
 
-    def write(self):
-        return self
-
-    def overwrite(self):
-        return self
-
     def save(self, path: str) -> None:
         self.svm.write().overwrite().save(os.path.join(path, "svm"))
         self.platt.write().overwrite().save(os.path.join(path, "platt"))
         meta = {"features": self.features, "stats": self.stats, "w": self.w.tolist(), "b": self.b.tolist()}
-        spark = SparkSession.getActiveSession()
+        spark = current_session()
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
              .write.mode("overwrite").text(os.path.join(path, "meta"))
 
     @staticmethod
     def load(path: str) -> "RffSvmModel":
-        spark = SparkSession.getActiveSession()
+        spark = current_session()
         meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
         return RffSvmModel(meta["features"], {k: tuple(v) for k, v in meta["stats"].items()}, np.array(meta["w"]),
                            np.array(meta["b"]), LinearSVCModel.load(os.path.join(path, "svm")),
@@ -255,13 +270,13 @@ class RffSvmModel:
 def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dict, key, n_comp: int = 100):
     """At most ``svm_cap`` training rows (hash order); gamma = 1 / (n_features x var)
     of the scaled features (= 1 / n_features); RFF map; LinearSVC; Platt scaling."""
-    cap = H.cap_rows(train, key, params["svm_cap"], seed=params["seed"] + 2)
+    cap = cut_lineage(H.cap_rows(train, key, params["svm_cap"], seed=params["seed"] + 2))
     w, b = rff_params(len(features), n_comp, 1.0 / len(features), params["seed"])
     shell = RffSvmModel(features, stats, w, b, None, None)
     sc = scaler_stage(stats).transform(cap)
     z = sc.withColumn("features", rff_column([f"{c}_s" for c in features], w, b))
-    shell.svm = LinearSVC(labelCol=label, maxIter=params["svm_iter"],
-                          regParam=1.0 / max(params["svm_cap"], 1)).fit(z)
+    # C = 1 on the summed loss of the rows fitted; the mapped features are not scaled again
+    shell.svm = LinearSVC(labelCol=label, maxIter=params["svm_iter"], regParam=1.0 / max(cap.count(), 1), standardization=False).fit(z)
     marg = VectorAssembler(inputCols=["_margin"], outputCol="features").transform(shell._margin(cap).drop("_svm_pred"))
     shell.platt = LogisticRegression(labelCol=label, maxIter=100).fit(marg)
     return shell
@@ -271,17 +286,6 @@ def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dic
 # Scoring (J16-J18, J20, J21)
 # ---------------------------------------------------------------------------
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    """A10: load a saved pipeline; a missing model is a clear error."""
-    if not path_exists(SparkSession.getActiveSession(), path):
-        raise FileNotFoundError(f"model not found: {path}")
-    return PipelineModel.load(path)
-
-
 def score_classifier(model, df: DataFrame, proba_digits: int = 4) -> DataFrame:
     """Prediction, probability of class 1 (rounded), risk level and advice."""
     from ..functions.scalar import proba_advice, proba_risk

@@ -56,17 +56,40 @@ def means_by(df: DataFrame, group: str, cols, ascending: bool = False) -> DataFr
     return out.orderBy("sensor", F.asc("mean") if ascending else F.desc("mean"))
 
 
+def _pearson(a: str, b: str, name: str) -> list:
+    """Aggregates of Pearson's r over the rows where both values are present."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    return [F.covar_pop(a, b).alias(f"{name}_c"), F.stddev_pop(x).alias(f"{name}_x"), F.stddev_pop(y).alias(f"{name}_y"), F.count(x).alias(f"{name}_n")]
+
+
+def _r(name: str):
+    """Null below two rows, NaN without spread (F.corr raises an error there)."""
+    spread = F.col(f"{name}_x") * F.col(f"{name}_y")
+    r = F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col(f"{name}_c"), spread))
+    return F.when(F.col(f"{name}_n") < 2, F.lit(None).cast("double")).otherwise(r).alias(name)
+
+
 def correlations(df: DataFrame, pairs) -> DataFrame:
     """Pearson r for each (a, b) pair in one aggregate, long output.
     Each r uses the rows where both values are non-null."""
-    aggs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
+    wide = df.agg(*[e for i, (a, b) in enumerate(pairs) for e in _pearson(a, b, f"c{i}")]).select(*[_r(f"c{i}") for i in range(len(pairs))])
     parts = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
     return wide.select(F.expr(f"stack({len(pairs)}, {parts}) AS (a, b, r)"))
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
-    return correlations(df, [(a, b) for a in cols for b in cols])
+    """Pearson r of all ordered pairs. Only distinct pairs are aggregated; a column with
+    itself gives 1 (null below two values, NaN without spread), a turned pair the same r."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    at = {p: i for i, p in enumerate(pairs)}
+    wide = df.agg(*[e for i, (a, b) in enumerate(pairs) for e in _pearson(a, b, f"c{i}")],
+                  *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    own = [F.when(F.col(f"n{i}") < 2, F.lit(None).cast("double")).when(F.col(f"s{i}") == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)).alias(f"d{i}")
+           for i in range(len(cols))]
+    wide = wide.select(*[_r(f"c{i}") for i in range(len(pairs))], *own)
+    name = lambda i, j: f"d{i}" if i == j else f"c{at[(cols[min(i, j)], cols[max(i, j)])]}"
+    parts = ", ".join(f"'{a}', '{b}', {name(i, j)}" for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return wide.select(F.expr(f"stack({len(cols) ** 2}, {parts}) AS (a, b, r)"))
 
 
 def _long(df: DataFrame, cols, group=()) -> DataFrame:

@@ -18,7 +18,6 @@ plain per-machine window, which is what the tests compare against.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,51 +46,92 @@ def hours_between(start: str, end: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_name(start)}, {_name(end)})") / F.lit(3_600_000_000.0)
 
 
-WIDTH_COL = "_cw_m"
+#: Start (microseconds) of the chunk of a *hot* machine's row; null for the rows of any other machine.
+START_COL = "_cw_m"
+#: Start of the rows of a hot machine that have no time: before all others.
+NO_TIME = -(1 << 62)
+MAX_LEVELS = 64
 
 
-def chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame | None:
-    """Per-machine chunk width (microseconds) for *hot* machines: those with more than
-    ``spec.chunk_rows`` rows get ``span x chunk_rows / rows`` (at least ``min_chunk_seconds``),
-    so each of their chunks holds about ``chunk_rows`` rows. The table has at most
-    total_rows / chunk_rows entries, which bounds its broadcast."""
+def _bins(level: DataFrame, lo: str, hi: str, n: str, spec: ReadingSpec, least: int) -> DataFrame:
+    """Parent brackets with the bin width that gives ``chunk_rows`` rows a bin if they lay evenly."""
+    even = F.floor((F.col(hi) - F.col(lo) + 1) * F.lit(float(spec.chunk_rows)) / F.col(n)).cast("long")
+    return level.withColumn("_w", F.greatest(F.lit(max(least, 1)), F.least(F.lit(spec.chunk_seconds * 1_000_000), even)))
+
+
+def chunk_levels(df: DataFrame, spec: ReadingSpec) -> list[DataFrame]:
+    """Time histograms of the hot machines (more than ``spec.chunk_rows`` rows), coarse to fine.
+
+    Level 0 divides a hot machine's span into equal bins and counts their rows; a bin that still holds
+    too many is divided anew between its own first and last time, and so on, so a burst is cut as finely
+    as it needs and quiet times stay whole. Rows of one and the same time are not divided. Every level has at most
+    total_rows / chunk_rows rows, which bounds its broadcast. Empty without hot machines.
+    """
     if not spec.chunk_rows:
-        return None
+        return []
+    m, us = spec.machine, epoch_micros(spec.ts, df.schema[spec.ts].dataType)
+    rows = df.select(m, us.alias("_us"))
+    span = rows.groupBy(m).agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    span = _bins(span.where((F.col("_n") > spec.chunk_rows) & F.col("_lo").isNotNull()), "_lo", "_hi", "_n", spec, spec.min_chunk_seconds * 1_000_000)
+    level = cut_lineage(span.select(m, F.lit(None).cast("long").alias("_of"), "_lo", "_w"))
+    levels: list[DataFrame] = []
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) == MAX_LEVELS:
+            break
+        rows = _in_level(rows, level, spec, len(levels) == 1).where(F.col(START_COL).isNotNull())  # only what was divided last
+        full = rows.groupBy(m, START_COL).agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+        full = _bins(full.where((F.col("_n") > spec.chunk_rows) & (F.col("_lo") < F.col("_hi"))), "_lo", "_hi", "_n", spec, 1)
+        level = cut_lineage(full.select(m, F.col(START_COL).alias("_of"), "_lo", "_w"))
+        if not level.isEmpty():  # the next round counts inside these bins alone
+            rows = _nsjoin(rows, F.broadcast(level.select(m, F.col("_of").alias(START_COL))), [m, START_COL])
+    return levels
+
+
+def _in_level(rows: DataFrame, level: DataFrame, spec: ReadingSpec, first: bool) -> DataFrame:
+    """``rows(..., _us)`` with the start of their bin in this level; rows of undivided bins keep theirs."""
     m = spec.machine
-    us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
-    st = df.groupBy(m).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi")) \
-           .where(F.col("_n") > spec.chunk_rows)
-    width = F.greatest(F.lit(spec.min_chunk_seconds * 1_000_000), F.least(F.lit(spec.chunk_seconds * 1_000_000), F.floor(
-        (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(spec.chunk_rows)) / F.col("_n"))))
-    # proven bound: at most total_rows / chunk_rows machines exceed chunk_rows rows
-    # (1e12 rows / 5e6 = 200,000 entries of 16 bytes), so no count is needed
-    return F.broadcast(st.select(m, width.cast("long").alias(WIDTH_COL)))
+    if first:
+        joined = _nsjoin(rows, F.broadcast(level.drop("_of")), [m], "left")
+        old = F.lit(None).cast("long")
+    else:
+        joined = _nsjoin(rows, F.broadcast(level.withColumnRenamed("_of", START_COL)), [m, START_COL], "left")
+        old = F.col(START_COL)
+    start = F.col("_lo") + F.floor((F.col("_us") - F.col("_lo")) / F.col("_w")).cast("long") * F.col("_w")
+    start = F.when(F.col("_us").isNull(), F.lit(NO_TIME)).otherwise(start)
+    return joined.withColumn(START_COL, F.when(F.col("_w").isNull(), old).otherwise(start)).drop("_lo", "_w")
+
+
+def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
+    """Find the hot machines' chunks once, on the source, and carry each row's chunk start in a
+    column; every later chunking of rows derived from it reuses them. The column's metadata
+    tells whether there is a hot machine at all."""
+    if not spec.chunk_rows:
+        return df
+    levels = chunk_levels(df, spec)
+    out = df.withColumn(START_COL, F.lit(None).cast("long"))
+    if levels:
+        out = df.withColumn("_us", epoch_micros(spec.ts, df.schema[spec.ts].dataType))
+        for i, level in enumerate(levels):
+            out = _in_level(out, level, spec, i == 0)
+        out = out.drop("_us")
+    return out.withColumn(START_COL, F.col(START_COL).alias(START_COL, metadata={"hot": bool(levels)}))
 
 
 def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK) -> DataFrame:
     """Add the time-chunk number (monotone in time within a machine) of each row.
 
-    A hot machine's chunks are as wide as :func:`chunk_widths` says; any other machine
-    is one chunk. With ``spec.chunk_rows`` unset every machine is cut into chunks of
+    A hot machine's chunks are those of :func:`chunk_levels`, numbered by their start; any other
+    machine is one chunk. With ``spec.chunk_rows`` unset every machine is cut into chunks of
     ``spec.chunk_seconds``.
     """
-    us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
-    attached = WIDTH_COL in df.columns  # once upstream: no second pass over the data
+    attached = START_COL in df.columns  # once upstream: no second pass over the data
     if not attached and not spec.chunk_rows:
+        us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
         return df.withColumn(name, F.floor(us / F.lit(spec.chunk_seconds * 1_000_000)).cast("long"))
     out = df if attached else attach_chunk_widths(df, spec)
-    chunk = F.when(F.col(WIDTH_COL).isNotNull(), F.floor(us / F.col(WIDTH_COL))).otherwise(F.lit(0)).cast("long")
-    out = out.withColumn(name, chunk)
-    return out if attached else out.drop(WIDTH_COL)
-
-
-def attach_chunk_widths(df: DataFrame, spec: ReadingSpec) -> DataFrame:
-    """Compute the hot-machine widths once, on the source, and carry them in a column;
-    every later chunking of rows derived from it reuses them."""
-    widths = chunk_widths(df, spec)
-    if widths is None:
-        return df
-    return _nsjoin(df, widths, [spec.machine], "left")
+    out = out.withColumn(name, F.coalesce(F.col(START_COL), F.lit(0)))
+    return out if attached else out.drop(START_COL)
 
 
 def chunked(df: DataFrame, spec: ReadingSpec) -> DataFrame:
@@ -130,7 +170,8 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
-MAX_BROADCAST_SUMMARY = 5_000_000
+#: Summaries up to this size (rows x the width of a row) are broadcast; beyond, the join shuffles them to the rows.
+BROADCAST_SUMMARY_BYTES = 64 << 20
 
 
 def _join_summary(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,7 +182,8 @@ def _join_summary(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
     order untouched; a bigger summary is shuffled to the rows, which stay put and
     are only sorted. Rows without a machine match no summary and get no carry.
     """
-    if summ.count() <= MAX_BROADCAST_SUMMARY:
+    width = 16 * (len(summ.columns) + 1)
+    if summ.count() * width <= BROADCAST_SUMMARY_BYTES:
         summ = F.broadcast(summ)
     return d.join(summ, keys, "left")
 
@@ -202,20 +244,19 @@ def rolling_features(df: DataFrame, spec: ReadingSpec = RAW_SPEC, window: int =
         w = Window.partitionBy(spec.machine).orderBy(*spec.order).rowsBetween(-k, 0)
         return df.select("*", *exprs(w))
     base_cols = [c for c in df.columns if c != CHUNK]
-    if spec.chunk_rows and not {CHUNK, WIDTH_COL} & set(df.columns):
+    if spec.chunk_rows and not {CHUNK, START_COL} & set(df.columns):
         df = attach_chunk_widths(df, spec)
-    # the rows are read twice (chunk edges, then the final pass): keep the shuffled
-    # input on the executors so the upstream plan and its shuffle run once; a lost
-    # block is recomputed from lineage, and a cached relation keeps its partitioning
-    d = chunked(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = F.col(WIDTH_COL).isNotNull() if WIDTH_COL in d.columns else F.lit(True)  # machines of several chunks
+    d = chunked(df, spec)
+    cut = F.col(START_COL).isNotNull() if START_COL in d.columns else F.lit(True)  # machines of several chunks
     w = _w_chunk(spec)
     p1 = d.select("*", F.row_number().over(w).alias("_rn"), *exprs(w.rowsBetween(-k, 0)))
-    if k == 0:
+    none_hot = START_COL in d.columns and not d.schema[START_COL].metadata.get("hot", True)
+    if k == 0 or none_hot:  # every machine is one chunk: all rows are final
         return p1.select(*base_cols, *out_names)
     done = p1.filter(~cut | (F.col("_rn") > k)).select(*base_cols, *out_names)
     # first and last k rows of every chunk of a hot machine: small (<= 2k per chunk), materialised
-    # once in the shared checkpoint folder so the halo joins do not rescan the data
+    # once in the shared checkpoint folder so the halo joins do not rescan the data; only the
+    # hot machines' rows are read for it
     edges = cut_lineage(d.filter(cut).select(*base_cols, CHUNK, F.row_number().over(w).alias("_rn"),
                                              F.count(F.lit(1)).over(Window.partitionBy(spec.machine, CHUNK)).alias("_n"))
                         .filter((F.col("_rn") <= k) | (F.col("_rn") > F.col("_n") - k)))
@@ -331,7 +372,7 @@ def lifecycle(df: DataFrame, spec: ReadingSpec = RAW_SPEC, initial_age: int | Co
     d = (d.withColumn(spec.state, machine_state(F.col("_f"), F.col(spec.rul)))
           .withColumn(spec.label24, label_within(F.col(spec.rul)))
           .withColumn("degradation", degradation_score(spec.rul, "since_maint_h", rul_cap)))
-    keep = {WIDTH_COL} | ({CHUNK} if keep_chunk else set())
+    keep = {START_COL} | ({CHUNK} if keep_chunk else set())
     return d.drop(*[c for c in d.columns if c.startswith("_") and c not in keep])
 
 

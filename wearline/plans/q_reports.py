@@ -195,10 +195,11 @@ def q_anomaly_rates(spark, sf):
     f"FROM life" for c in ("failed", "fail_24h")]))
 def q_class_balance(spark, sf):
     """N, positives and share for both classification targets."""
-    lf = life(spark, sf)
-    parts = [lf.agg(F.lit(c).alias("target"), F.count(F.lit(1)).alias("n"),
-                    F.sum(c).cast("long").alias("positives"), F.avg(c).alias("share")) for c in ("failed", "fail_24h")]
-    return _round(parts[0].unionByName(parts[1]))
+    targets = ("failed", "fail_24h")
+    wide = life(spark, sf).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(f"s_{c}") for c in targets],
+                               *[F.avg(c).alias(f"a_{c}") for c in targets])  # one pass for both
+    parts = ", ".join(f"'{c}', n, s_{c}, a_{c}" for c in targets)
+    return _round(wide.select(F.expr(f"stack({len(targets)}, {parts}) AS (target, n, positives, share)")))
 
 
 BINARY_SQL = SCORED_CTE + """,
@@ -288,10 +289,9 @@ SELECT task, 'k_threshold' AS model,
 FROM c""")
 def q_metrics_table(spark, sf):
     """Long metrics of two tasks pivoted to one row per (task, model)."""
-    s = scored(spark, sf)
-    longs = [M.long_metrics(M.binary_metrics(s, t, "pred"), {"task": t, "model": "k_threshold"}, METRIC_NAMES)
-             for t in ("failed", "fail_24h")]
-    return _round(M.metrics_table(longs[0].unionByName(longs[1]), METRIC_NAMES))
+    counts = M.binary_counts_of(scored(spark, sf), ("failed", "fail_24h"), "pred")
+    long = M.long_metrics(M.with_rates(counts).withColumn("model", F.lit("k_threshold")), {"task": F.col("task"), "model": F.col("model")}, METRIC_NAMES)
+    return _round(M.metrics_table(long, METRIC_NAMES))
 
 
 @register("probability_histogram", SCORED_CTE + """,

@@ -47,6 +47,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def current_session() -> SparkSession:
+    """The thread's session, or the process's one in a thread that has none of its own."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder from ``spark.checkpoint.dir``.
 

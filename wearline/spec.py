@@ -24,6 +24,8 @@ SITES = ("USN-FR-01", "USN-FR-02", "USN-FR-03", "USN-ES-01", "USN-ES-02")
 DEFAULT_TYPE = "CNC-Fraisage"
 DEFAULT_SITE = "USN-FR-01"
 STATES = ("normal", "a_risque", "critique", "en_panne")
+# category column -> column of its code
+ENCODED = {"type_machine": "type_machine_encoded", "usine_id": "usine_encoded"}
 ROLLING_WINDOW = 24
 RUL_CAP_HOURS = 720.0
 
@@ -44,8 +46,9 @@ class ReadingSpec:
     # width of the time chunks that split one machine's history over tasks;
     # pick it so a chunk holds many more rows than the rolling window
     chunk_seconds: int = 30 * 86_400
-    # a machine with more rows than this gets narrower chunks of about this many rows
+    # a machine with more rows than this is cut into chunks of about this many rows
     chunk_rows: int | None = 5_000_000
+    # least width of the bins in which its rows are counted first; crowded bins are divided further
     min_chunk_seconds: int = 3600
     extra: dict = field(default_factory=dict)
 
@@ -130,7 +133,21 @@ MAINT_SCHEMA = T.StructType([
     T.StructField("machineID", T.IntegerType()),
     T.StructField("comp", T.StringType()),
 ])
+# one row per observation, with the failure flag and one flag per kind of failure
+FAILURE_KINDS = ("TWF", "HDF", "PWF", "OSF", "RNF")
+SINGLE_TABLE_SCHEMA = T.StructType([
+    T.StructField("UDI", T.IntegerType()),
+    T.StructField("Product ID", T.StringType()),
+    T.StructField("Type", T.StringType()),
+    T.StructField("Air temperature [K]", T.DoubleType()),
+    T.StructField("Process temperature [K]", T.DoubleType()),
+    T.StructField("Rotational speed [rpm]", T.IntegerType()),
+    T.StructField("Torque [Nm]", T.DoubleType()),
+    T.StructField("Tool wear [min]", T.IntegerType()),
+    T.StructField("Machine failure", T.IntegerType()),
+    *[T.StructField(k, T.IntegerType()) for k in FAILURE_KINDS],
+])
 EVENT_TABLE_SCHEMAS = {
     "telemetry": TELEMETRY_SCHEMA, "errors": ERRORS_SCHEMA, "failures": FAILURES_SCHEMA,
-    "machines": MACHINES_SCHEMA, "maint": MAINT_SCHEMA,
+    "machines": MACHINES_SCHEMA, "maint": MAINT_SCHEMA, "single": SINGLE_TABLE_SCHEMA,
 }
