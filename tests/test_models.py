@@ -70,3 +70,21 @@ def test_registered_queries_fit_the_full_settings(spark, monkeypatch):
 def test_few_rows_are_fitted_in_few_tasks(spark):
     d = spark.range(0, 1000, 1, 16)
     assert ML.fit_parts(d, 1000).rdd.getNumPartitions() == 1 and ML.fit_parts(d, 10**9).rdd.getNumPartitions() == 16
+
+
+def test_forest_of_parts_is_one_forest(spark, tmp_path):
+    """Every tree counts once, saved and loaded as well; parts have trees of their own."""
+    from pyspark.ml import PipelineModel
+
+    d = _rows(spark)
+    p = dict(ML.QUICK, rf_trees=11, rf_depth=4)
+    _, models = ML.train_regression(d, FEATS, "t", "id", "t", p, only=("random_forest",))
+    forest = models["random_forest"].stages[-1]
+    assert forest.getNumTrees == 11 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 11
+    ready = PipelineModel(models["random_forest"].stages[:-1]).transform(d).select("id", "features").limit(20).collect()
+    models["random_forest"].write().overwrite().save(str(tmp_path / "m"))
+    for model in (models["random_forest"], PipelineModel.load(str(tmp_path / "m"))):
+        got = {r["id"]: r["prediction"] for r in model.transform(d).collect()}
+        for r in ready:
+            assert math.isclose(got[r["id"]], sum(t.predict(r["features"]) for t in forest.trees) / 11, rel_tol=1e-9)
+    assert math.isclose(sum(forest.featureImportances), 1.0, rel_tol=1e-9)

@@ -16,12 +16,12 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel,
-                                       LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,16 +42,20 @@ QUICK = dict(REFERENCE, rf_trees=20, rf_depth=8, gbt_iter=15, gbt_depth=4, dt_de
 FIT_ROWS = 25_000
 #: Fits that run at the same time; each one alone leaves most of a cluster idle between its many small jobs.
 FITS_AT_ONCE = 8
-#: Histograms of one pass of a forest in MB: deep levels of many trees need fewer passes than with Spark's 256.
-FOREST_MEMORY_MB = 1024
+#: A forest is grown in so many parts at a time, each in few tasks of up to FOREST_ROWS rows: a task sends the histograms of all
+#: open nodes of its trees, so dealing out trees costs far less than dealing out rows.
+FOREST_PARTS = 8
+FOREST_ROWS = 250_000
+#: Histograms of one pass of a part in MB.
+FOREST_MEMORY_MB = 512
 #: A forest keeps each row's node instead of walking its trees anew in every pass; cut off after so many passes.
 NODE_IDS = dict(cacheNodeIds=True, checkpointInterval=10)
 CV_MODELS = ("random_forest", "gradient_boosting", "decision_tree")
 
 
-def fit_parts(train: DataFrame, n_train: int) -> DataFrame:
-    """``train`` in at most one partition per ``FIT_ROWS`` rows; larger tables keep their partitions."""
-    return train.coalesce(max(1, -(-n_train // FIT_ROWS)))
+def fit_parts(train: DataFrame, n_train: int, rows: int = FIT_ROWS) -> DataFrame:
+    """``train`` in at most one partition per ``rows`` rows; larger tables keep their partitions."""
+    return train.coalesce(max(1, -(-n_train // rows)))
 
 
 def side_by_side(spark: SparkSession, work: dict[str, Callable]) -> dict:
@@ -62,6 +66,39 @@ def side_by_side(spark: SparkSession, work: dict[str, Callable]) -> dict:
         return {k: r.result() for k, r in running.items()}
 
 
+def fit_forest(est, train: DataFrame):
+    """A random forest grown part by part, side by side, each with a seed of its own; one model of all trees."""
+    spark, n = train.sparkSession, est.getNumTrees()
+    parts = min(FOREST_PARTS, n)
+    sizes = [n // parts + (i < n % parts) for i in range(parts)]
+    grown = side_by_side(spark, {i: lambda i=i: est.copy({est.numTrees: sizes[i], est.seed: est.getSeed() + 7919 * i}).fit(train) for i in range(parts)})
+    kind = "classification" if isinstance(est, RandomForestClassifier) else "regression"
+    ml = getattr(spark._jvm.org.apache.spark.ml, kind)
+    tree = ml.DecisionTreeClassificationModel if kind == "classification" else ml.DecisionTreeRegressionModel
+    trees = spark.sparkContext._gateway.new_array(tree, n)
+    for k, t in enumerate(t for i in range(parts) for t in grown[i]._java_obj.trees()):
+        trees[k] = t
+    first = grown[0]
+    if kind == "classification":
+        whole = ml.RandomForestClassificationModel(first.uid, trees, first.numFeatures, first.numClasses)
+    else:
+        whole = ml.RandomForestRegressionModel(first.uid, trees, first.numFeatures)
+    count = spark._jvm.org.apache.spark.ml.param.ParamMap()
+    count.put(whole.numTrees(), n)  # predictions divide by it
+    whole = whole.copy(count)
+    return RandomForestClassificationModel(whole) if kind == "classification" else RandomForestRegressionModel(whole)
+
+
+def fit_pipeline(stages, est, train: DataFrame, n_train: int) -> PipelineModel:
+    """``est`` fitted behind the feature stages, which are transformers."""
+    ready = PipelineModel(stages)
+    if isinstance(est, (RandomForestClassifier, RandomForestRegressor)):
+        model = fit_forest(est, ready.transform(fit_parts(train, n_train, FOREST_ROWS)))
+    else:
+        model = est.fit(ready.transform(fit_parts(train, n_train)))
+    return PipelineModel([*stages, model])
+
+
 def scaler_stage(stats: dict, suffix: str = "_s") -> SQLTransformer:
     """J2 as a pipeline stage: (x - mean) / std with the train statistics as literals."""
     exprs = ", ".join(f"(CAST(`{c}` AS DOUBLE) - {m!r}) / {s!r} AS `{c}{suffix}`" for c, (m, s) in stats.items())
@@ -105,10 +142,10 @@ def importances(model, features) -> list[tuple[str, float]]:
     return sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
 
 
-def cv_f1(folds: DataFrame, label: str, stages, fold: int) -> float:
+def cv_f1(folds: DataFrame, label: str, stages, est, fold: int) -> float:
     """F1 of one fold of ``folds`` (column ``fold``) by a model fitted on the others."""
     part = folds.where(F.col("fold") != fold)
-    model = Pipeline(stages=stages).fit(fit_parts(part, part.count()))
+    model = fit_pipeline(stages, est, part, part.count())
     pred = model.transform(folds.where(F.col("fold") == fold))
     return M.binary_metrics(pred, label, "prediction").first()["f1_score"]
 
@@ -134,13 +171,12 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     n_train = train.count()
     stats = fit_scaler(train, list(features))
     stages = feature_stages(features, stats)
-    few = fit_parts(train, n_train)
     estimators = {name: est.setLabelCol(label) for name, est in classifiers(params, n_train).items() if only is None or name in only}
-    fits: dict[str, Callable] = {name: lambda est=est: Pipeline(stages=[*stages, est]).fit(few) for name, est in estimators.items()}
+    fits: dict[str, Callable] = {name: lambda est=est: fit_pipeline(stages, est, train, n_train) for name, est in estimators.items()}
     if only is None or "knn" in only:
         fits["knn"] = lambda: KnnModel.fit(train, features, label, stats, params["knn_k"])
     if with_svm:
-        fits["svm"] = lambda: fit_rff_svm(few, features, label, stats, params, key)
+        fits["svm"] = lambda: fit_rff_svm(fit_parts(train, n_train), features, label, stats, params, key)
 
     def fitted(fit: Callable):
         model = fit()
@@ -152,7 +188,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
         folds = cut_lineage(H.stratified_folds(train, label, key, params["cv_folds"], seed=seed + 3))
         for name in cv:
             for fold in range(params["cv_folds"]):
-                work[name, fold] = lambda est=estimators[name], fold=fold: cv_f1(folds, label, [*stages, est.copy()], fold)
+                work[name, fold] = lambda est=estimators[name], fold=fold: cv_f1(folds, label, stages, est.copy(), fold)
     done = side_by_side(spark, work)
     rows, models, imps = [], {}, {}
     for name in {**estimators, **fits}:
@@ -180,18 +216,19 @@ def train_regression(df: DataFrame, features, y: str, key, tag: str, params: dic
     data = cut_lineage(df.select(*dict.fromkeys(cols)).na.drop(subset=list(features) + [y]))
     split = cut_lineage(H.plain_split(data, key, seed=params["seed"]))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    train = fit_parts(train, train.count())
+    n_train = train.count()
     stages = feature_stages(features, fit_scaler(train, list(features)))
     regs = {
-        # the reference's forest regressor considers every feature at each split
+        # the reference's forest regressor considers every feature at each split; it splits no node of fewer
+        # than five rows, which two rows a side come nearest to
         "random_forest": RandomForestRegressor(numTrees=params["rf_trees"], maxDepth=params["rf_depth"], featureSubsetStrategy="all",
-                                               maxMemoryInMB=FOREST_MEMORY_MB, seed=params["seed"], **NODE_IDS),
+                                               minInstancesPerNode=params["leaf"], maxMemoryInMB=FOREST_MEMORY_MB, seed=params["seed"], **NODE_IDS),
         "gradient_boosting": GBTRegressor(maxIter=params["gbt_iter"], maxDepth=params["gbt_depth"],
                                           stepSize=params["gbt_rate"], seed=params["seed"]),
     }
 
     def fitted(est):
-        model = Pipeline(stages=[*stages, est.setLabelCol(y)]).fit(train)
+        model = fit_pipeline(stages, est.setLabelCol(y), train, n_train)
         return model, M.regression_metrics(model.transform(test), y, "prediction").first().asDict()
 
     done = side_by_side(spark, {name: lambda est=est: fitted(est) for name, est in regs.items() if only is None or name in only})
