@@ -4,9 +4,9 @@ Filters of several widths run over the UTF-8 bytes of fixed-length windows, each
 max-pooled over its window, and a softmax over the pooled values names the language. A
 document's probabilities are the mean over the windows that tile its whole text, by bytes.
 
-The model learns from a bounded sample of labelled documents (``TRAIN_DOCS`` a language,
-``TRAIN_WINDOWS`` windows each) whose crc32 of the doc_id as text leaves no remainder 1 mod 3
-(a null doc_id is never held out). Only the text is an input of a prediction.
+The model learns from a bounded sample of labelled documents (``TRAIN_DOCS`` different texts of each of the
+``MAX_LANGS`` most frequent languages, ``TRAIN_WINDOWS`` windows each) whose crc32 of the doc_id as text leaves no
+remainder 1 mod 3 (a null doc_id is never held out). Only the text is an input of a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when there is nothing to learn from; a single learned language gets score 1; repeated
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline.llm.common import table
@@ -32,7 +32,8 @@ WINDOW = 256
 #: Widths of the filters in bytes (even: two bytes are looked up at once), filters of each width.
 WIDTHS = (2, 4, 6)
 FILTERS = 12
-#: Bound of the training sample: documents a language (about) and windows of a document.
+#: Bound of the training sample: languages, different texts of a language and windows of a text.
+MAX_LANGS = 200
 TRAIN_DOCS = 400
 TRAIN_WINDOWS = 3
 EPOCHS = 12
@@ -160,20 +161,26 @@ class ByteNetwork:
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The bounded sample: windows, class numbers and languages, the same in every run.
 
-    Each language keeps the documents whose text hash is below its own share, so that about
-    ``TRAIN_DOCS`` remain of it, whatever the table's size.
+    Of each language the ``TRAIN_DOCS`` different texts with the least hashes are taken, whatever the table's size and
+    however often a text is repeated: copies are one text. Rows above a share that some more texts than needed
+    are expected to pass are left out before anything is moved.
     """
-    known = docs.select(F.col("text"), F.col("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
-    if not counts:
+    known = docs.select(F.col("text"), F.col("lang"), F.xxhash64("text", "lang").alias("h")).where(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    texts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts"))
+    most = texts.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not most:
         return np.empty((0, WINDOW), np.uint8), np.empty(0, int), []
-    unit = (F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003)
-    share = F.create_map(*[F.lit(z) for k, n in counts.items() for z in (k, min(1.0, TRAIN_DOCS / n))])
+    share = F.create_map(*[F.lit(z) for r in most for z in (r["lang"], min(1.0, 2.0 * TRAIN_DOCS / max(r["texts"], 1)))])
+    unit = F.pmod(F.xxhash64("h"), F.lit(1_000_003)) / 1_000_003
     data, size = F.col("text").cast("binary"), F.octet_length("text")
     start = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(size - WINDOW, F.lit(1))).cast("int") + 1
-    sample = (known.where(unit < share[F.col("lang")])
-              .select("lang", F.array(*[F.substring(data, start(k), F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]).alias("w")))
-    rows = sorted((r["lang"], [bytes(w) for w in r["w"]]) for r in sample.collect())
+    near = (known.where(unit < share[F.col("lang")])  # null, so left out, for any other language
+            .select("lang", "h", F.array(*[F.substring(data, start(k), F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]).alias("w")))
+    once = near.groupBy("lang", "h").agg(F.min("w").alias("w"))  # copies meet before the shuffle
+    order = Window.partitionBy("lang").orderBy("h")  # about 2 * TRAIN_DOCS texts
+    sample = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS)
+    rows = sorted((r["lang"], [bytes(w) for w in r["w"]]) for r in sample.select("lang", "w").collect())
     langs = sorted({lang for lang, _ in rows})
     cut = [(windows_of(w)[:1], langs.index(lang)) for lang, ws in rows for w in ws if w]
     if not cut:
