@@ -1,21 +1,18 @@
-"""Operator 3, approximate nearest neighbours: random-projection forest, shared queue, exact rerank.
-
-The forest is fitted on a bounded sample (about ``SAMPLE`` rows, the same in every run): every
-node splits at the median along the difference of two random sample rows. Every row is dropped
-into its leaf of each tree. A query searches all trees through one priority queue, ordered
-by how far it lies on the wrong side of the splits on the way, until the leaves it took hold
-``VISIT`` times as many rows as the table; their rows are then ranked by exact distance.
-Leaves are cut into chunks of about ``CHUNK`` rows and a chunk meets the queries that took its
-leaf in one piece of work, which returns the nearest of the chunk only.
-
-``VISIT`` is large on purpose: on vectors without structure (such as the test tables, where
-the 10th neighbour is hardly nearer than the 1,000th) a recall of 0.9 needs more than half of
-all rows whatever the index; see README for the recall measured.
-
-Defined results: vectors that are null, empty, all zero, hold a null or non-finite component or
-have another length than most, and rows without vec_id, take no part; repeated rows are rows
-of their own (a query never finds itself, but finds its copies); with fewer candidates than
-asked for all are returned; ties go to the smaller vec_id; an empty table gives an empty result.
+"""Operator 3, approximate nearest neighbours: a forest of random-projection trees, then exact reranking.
+
+The trees are grown on a sample of the rows (``SAMPLE``) by random hyperplanes between two rows; every row is put
+into its leaf of each tree. A query walks all trees with one priority queue (nearest hyperplane margin first) and
+takes leaves until they hold a share of all rows. That share is calibrated on the sample: ``CALIBRATE`` of its rows are
+asked for their nearest rows of the sample, and the share is what ``RECALL`` of these neighbours need. Neighbours in the
+whole table lie nearer than in the sample, so they need no larger share of the leaves.
+
+A leaf's rows are cut into chunks of ``CHUNK`` and the queries that took it into blocks of ``BLOCK``; a chunk and a block
+meet in one piece of work. A row that a query meets in several trees is ranked in the first of them only. Distances are
+exact, in double precision, on the original vectors.
+
+Defined results: vectors that are null, zero, hold null or non-finite components or are not of the most frequent
+length take no part, nor do null vec_ids; repeated rows are rows of their own (ties by vec_id); a table
+without queries or rows gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +33,9 @@ QUERY_EVERY = 100
 SAMPLE = 16_384
 TREES = 4
 LEAF = 256
-VISIT = 1.25
-CHUNK = 4096
+#: Rows of the sample that are asked, neighbours each, and the share of these that has to be met.
+CALIBRATE, CALIBRATE_NEAREST, RECALL = 256, 10, 0.95
+CHUNK, BLOCK = 4096, 512
 SEED = 3
 
 
@@ -104,6 +102,27 @@ def search(forest: list[Tree], counts: list[np.ndarray], query: np.ndarray, rows
     return found
 
 
+def calibrated(forest: list[Tree], x: np.ndarray) -> float:
+    """Share of the rows (summed over the trees) that the leaves must hold to meet ``RECALL`` of the sample's nearest neighbours."""
+    if len(x) <= CALIBRATE_NEAREST:
+        return float(TREES)
+    leaf = [t.leaf_of(x) for t in forest]
+    counts = [np.bincount(f, minlength=max(t.leaves, 1)) for t, f in zip(forest, leaf, strict=True)]
+    rng, need = np.random.default_rng(SEED + 1), []
+    norms = (x * x).sum(1)
+    for i in rng.choice(len(x), min(CALIBRATE, len(x)), replace=False):
+        d = norms - 2 * (x @ x[i])
+        d[i] = np.inf
+        near = np.argpartition(d, CALIBRATE_NEAREST - 1)[:CALIBRATE_NEAREST]
+        held, met = 0, np.full(len(near), np.inf)
+        for t, f in search(forest, counts, x[i], np.inf):
+            inside = leaf[t][near] == f
+            met[inside] = np.minimum(met[inside], held)  # the search goes on while it holds fewer
+            held += counts[t][f]
+        need += (met / len(x)).tolist()
+    return float(np.quantile(need, RECALL)) + LEAF / len(x)
+
+
 # --- the search -----------------------------------------------------------------------------------
 
 
@@ -117,35 +136,38 @@ def valid_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return d.where(F.size("v") == (most[0]["n"] if most else 0))
 
 
-def fit(rows: DataFrame, n: int) -> list[Tree]:
-    """The forest on rows whose id hash is below the sample's share."""
-    share = min(1.0, SAMPLE / max(n, 1))
-    unit = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
-    sample = rows.where(unit < share).select("vec_id", "v").collect()
-    x = np.array([r["v"] for r in sorted(sample)], np.float64)
+def fit(rows: DataFrame, n: int) -> tuple[list[Tree], float]:
+    """The forest on at most ``SAMPLE`` rows, those with the least hashes, and the share of rows that a query visits."""
+    share = min(1.0, 2.0 * SAMPLE / max(n, 1))
+    key = F.xxhash64("uid", F.lit(SEED))
+    near = rows.where(F.pmod(key, F.lit(1_000_003)) / 1_000_003 < share)  # some more than needed
+    x = np.array([r["v"] for r in near.orderBy(key, "uid").limit(SAMPLE).select("v").collect()], np.float64)
+    if not len(x):
+        return [], 0.0
     rng = np.random.default_rng(SEED)
-    return [Tree(x, rng) for _ in range(TREES)] if len(x) else []
+    forest = [Tree(x, rng) for _ in range(TREES)]
+    return forest, calibrated(forest, x)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _placed(forest: list[Tree]):
-    """Rows -> one row per tree with the row's leaf."""
+def _leaves(forest: list[Tree]):
+    """Rows (uid, vec_id, v) -> rows with ``leaves``, the row's leaf in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(2)) if b.num_rows else None
-            for t, tree in enumerate(forest if b.num_rows else ()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(tree.leaf_of(x)), *b.columns],
-                                                 ["tree", "leaf", *b.schema.names])
+            found = np.stack([t.leaf_of(x) for t in forest], 1) if b.num_rows else np.empty((0, len(forest)), np.int32)
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * len(forest)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], [*b.schema.names, "leaves"])
 
     return run
 
 
-def _visits(forest: list[Tree], counts: list[np.ndarray], n_chunks: dict[tuple[int, int], int], rows: float):
-    """Queries -> one row per chunk of every leaf they take."""
+def _visits(forest: list[Tree], counts: list[np.ndarray], rows: float):
+    """Queries -> one row per leaf that they take, with ``taken``: which leaves of the trees before it the query takes, a bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,21 +175,25 @@ def _visits(forest: list[Tree], counts: list[np.ndarray], n_chunks: dict[tuple[i
                 continue
             x = _matrix(b.column(2))
             for i in range(b.num_rows):
-                at = [(t, f, c) for t, f in search(forest, counts, x[i], rows) for c in range(n_chunks.get((t, f), 0))]
-                if at:
-                    t, f, c = zip(*at, strict=True)
-                    one = b.slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(f, pa.int32()), pa.array(c, pa.int32()), *one.columns],
-                                                     ["tree", "leaf", "chunk", *b.schema.names])
+                at = sorted(search(forest, counts, x[i], rows))
+                taken = [np.zeros(max(t.leaves, 1), bool) for t in forest]
+                for t, f in at:
+                    taken[t][f] = True
+                before = [b"".join(np.packbits(taken[u]).tobytes() for u in range(t)) for t in range(len(forest))]
+                one = b.slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in at], pa.int32()), pa.array([f for _, f in at], pa.int32()), *one.columns,
+                                                  pa.array([before[t] for t, _ in at], pa.binary())], ["tree", "leaf", *b.schema.names, "taken"])
 
     return run
 
 
-def _nearest(k: int):
-    """One chunk of a leaf with the queries that took it: each query's nearest rows of the chunk."""
+def _nearest(k: int, sizes: list[int]):
+    """One chunk of a leaf with a block of the queries that took it: each query's nearest rows of the chunk."""
+    widths = [-(-s // 8) for s in sizes]
 
     def work(tab: pa.Table) -> list[tuple]:
         asks = tab.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+        tree = tab.column("tree")[0].as_py()
         uid, vec = tab.column("uid").to_numpy(), tab.column("vec_id").to_numpy()
         x = _matrix(tab.column("v").combine_chunks())
         r, q = np.flatnonzero(~asks), np.flatnonzero(asks)
@@ -175,14 +201,21 @@ def _nearest(k: int):
             return []
         rows, out = x[r], []
         norms = (rows * rows).sum(1)
+        leaves = _matrix(tab.column("leaves").combine_chunks().take(pa.array(r)))
+        taken = tab.column("taken")
         for i in q:
+            bits, at = np.frombuffer(taken[int(i)].as_py(), np.uint8), 0
+            met = uid[r] == uid[i]
+            for t in range(tree):  # ranked in an earlier tree
+                met |= np.unpackbits(bits[at : at + widths[t]])[leaves[:, t]] > 0
+                at += widths[t]
             rough = norms - 2 * (rows @ x[i])
-            rough[uid[r] == uid[i]] = np.inf
+            rough[met] = np.inf
             m = min(k, len(r))
             limit = np.partition(rough, m - 1)[m - 1]
             near = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit))) if np.isfinite(limit) else np.flatnonzero(np.isfinite(rough))
             exact = np.sqrt(((rows[near] - x[i]) ** 2).sum(1))
-            for j in np.lexsort((vec[r[near]], exact))[:k]:
+            for j in np.lexsort((uid[r[near]], vec[r[near]], exact))[:k]:
                 out.append((int(uid[i]), int(vec[i]), int(uid[r[near[j]]]), int(vec[r[near[j]]]), float(exact[j])))
         return out
 
@@ -196,24 +229,30 @@ def nearest(rows: DataFrame, vector: str = "embedding", k: int = NEAREST, every:
     """``query_id, rank, vec_id, score`` for every row whose vec_id is divisible by ``every``."""
     d = valid_vectors(rows, vector).select("uid", "vec_id", "v")
     n = d.count()
-    forest = fit(d, n)
-    placed = cut_lineage(d.mapInArrow(_placed(forest), "tree int, leaf int, uid long, vec_id long, v array<double>"))
+    forest, visit = fit(d, n)
+    placed = cut_lineage(d.mapInArrow(_leaves(forest), "uid long, vec_id long, v array<double>, leaves array<int>")
+                         .select("*", F.posexplode("leaves").alias("tree", "leaf")))
     counts = [np.zeros(max(t.leaves, 1), np.int64) for t in forest]
     for r in placed.groupBy("tree", "leaf").count().collect():  # a row per leaf of the fitted forest
         counts[r["tree"]][r["leaf"]] = r["count"]
-    n_chunks = {(t, f): -(-int(c) // CHUNK) for t, per in enumerate(counts) for f, c in enumerate(per.tolist()) if c}
-    cuts = F.create_map(*[F.lit(z) for (t, f), c in n_chunks.items() if c > 1 for z in (t * 1_000_000 + f, c)]) if max(n_chunks.values(), default=1) > 1 else None
-    of_leaf = F.lit(1) if cuts is None else F.coalesce(F.try_element_at(cuts, F.col("tree") * 1_000_000 + F.col("leaf")), F.lit(1))
-    members = placed.withColumn("chunk", F.pmod(F.xxhash64("uid"), of_leaf).cast("int")).withColumn("ask", F.lit(False))
-    schema = "tree int, leaf int, chunk int, uid long, vec_id long, v array<double>"
-    asks = d.where(F.col("vec_id") % every == 0).mapInArrow(_visits(forest, counts, n_chunks, VISIT * n), schema).withColumn("ask", F.lit(True))
-    key = ["tree", "leaf", "chunk"]
+    visits = _visits(forest, counts, max(visit * n, 1.0))
+    asks = cut_lineage(d.where(F.col("vec_id") % every == 0).mapInArrow(visits, "tree int, leaf int, uid long, vec_id long, v array<double>, taken binary"))
+    leaf = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    leaf = leaf.join(asks.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), ["tree", "leaf"])
+    leaf = F.broadcast(cut_lineage(leaf))  # a row per leaf of the fitted forest
+    key = ["tree", "leaf", "chunk", "block"]
+    here = lambda by: F.pmod(F.xxhash64("uid"), F.col(by)).cast("int")
+    every_of = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    no_leaves, no_taken = F.lit(None).cast("array<int>"), F.lit(None).cast("binary")
+    members = (placed.join(leaf, ["tree", "leaf"]).withColumn("chunk", here("chunks")).withColumn("block", every_of("blocks"))
+               .select(*key, F.lit(False).alias("ask"), "uid", "vec_id", "v", "leaves", no_taken.alias("taken")))
+    asked = (asks.join(leaf, ["tree", "leaf"]).withColumn("block", here("blocks")).withColumn("chunk", every_of("chunks"))
+             .select(*key, F.lit(True).alias("ask"), "uid", "vec_id", "v", no_leaves.alias("leaves"), "taken"))
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = members.select(*key, "ask", "uid", "vec_id", "v").union(asks.select(*key, "ask", "uid", "vec_id", "v"))
-    met = met.repartition(parts, *key).sortWithinPartitions(*key)
-    found = met.mapInArrow(in_runs(key, _nearest(k), FOUND), "q long, query_id long, uid long, vec_id long, score double")
-    found = found.dropDuplicates(["q", "uid"])  # a row is met in several trees
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "uid"))
+    met = members.union(asked).repartition(parts, *key).sortWithinPartitions(*key)
+    work = _nearest(k, [max(t.leaves, 1) for t in forest])
+    found = met.mapInArrow(in_runs(key, work, FOUND), "q long, query_id long, uid long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "uid"))  # the first k of a task go on
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
