@@ -5,7 +5,8 @@ finds those snapshots: a conversation whose whole hash equals a proper prefix ha
 longer one goes (an anti-join on distinct prefix hashes), as do copies of the same turns
 (the least conv_id stays). The prefix hash is a sum of hashes of (place, role, text), twice with
 different seeds, so that whole hashes are plain sums and prefix sums can be taken chunk by
-chunk: no conversation, however long, is one task's group.
+chunk of ``CHUNK_TURNS`` turns. Turns are numbered over range partitions, so no conversation, however long and
+however many turns share a number, is one task's group.
 
 Defined results: rows repeated in all of (conv_id, turn, role, text) are one turn; turns with
 the same number follow by role, then text, nulls first; null conv_ids are one conversation, named null;
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wearline.llm.common import cut_lineage, table
+from wearline.llm.common import cut_lineage, numbered_within, table
 
-#: Turn numbers of a chunk; a task sums one chunk of a conversation at a time.
+#: Turns of a chunk; a task sums one chunk of a conversation at a time.
 CHUNK_TURNS = 256
 DEFAULT_ROLE = "user"
 PREFIX_SEEDS = (101, 202)
@@ -33,16 +34,11 @@ def _same(a: Column, b: Column) -> Column:
 def turns(chats: DataFrame) -> DataFrame:
     """Distinct turns with their place in the conversation (from 1) and both hash terms."""
     t = chats.select(F.col("conv_id").alias("_c"), F.col("turn").cast("long").alias("_t"), F.col("role").alias("_role"), F.col("text").alias("_text")).distinct()
-    t = cut_lineage(t.withColumn("_chunk", F.floor(F.coalesce("_t", F.lit(-1)) / CHUNK_TURNS)))
-    own = F.row_number().over(Window.partitionBy("_c", "_chunk").orderBy("_t", "_role", "_text"))
-    sizes = t.groupBy("_c", "_chunk").count()
-    before = F.sum("count").over(Window.partitionBy("_c").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("_c").alias("_sc"), F.col("_chunk").alias("_sk"), F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = t.withColumn("_own", own).join(sizes, _same(t["_c"], F.col("_sc")) & (F.col("_chunk") == F.col("_sk")))
+    t = t.withColumn("_k", F.when(F.col("_c").isNull(), F.lit("")).otherwise(F.concat(F.lit("c"), F.col("_c").cast("string"))))
+    placed = numbered_within(t, "_k", ["_t", "_role", "_text"], "_n").withColumn("_place", F.col("_n") + 1)
     term = [F.xxhash64(F.lit(s), "_place", F.coalesce("_role", F.lit("")), F.col("_role").isNull(), F.coalesce("_text", F.lit("")), F.col("_text").isNull())
             .cast("decimal(38,0)") for s in PREFIX_SEEDS]
-    return (placed.withColumn("_place", (F.col("_own") + F.col("_before")).cast("long"))
-            .select("_c", "_chunk", "_place", "_role", "_text", term[0].alias("_h1"), term[1].alias("_h2")))
+    return placed.select("_c", F.floor(F.col("_n") / CHUNK_TURNS).alias("_chunk"), "_place", "_role", "_text", term[0].alias("_h1"), term[1].alias("_h2"))
 
 
 def prefixes(placed: DataFrame) -> DataFrame:
@@ -59,14 +55,16 @@ def prefixes(placed: DataFrame) -> DataFrame:
 
 
 def maximal(placed: DataFrame) -> DataFrame:
-    """The conversations that stay: ``(_c, n_turns, n_copies)``."""
+    """The conversations that stay: ``(_c, n_turns, n_copies)``.
+
+    Every conversation is a prefix of itself, so a hash that is the prefix of more rows than whole conversations
+    have it is a proper prefix of some longer one.
+    """
     whole = placed.groupBy("_c").agg(F.max("_place").alias("n_turns"), *[F.sum(f"_h{i}").cast("decimal(38,0)").alias(f"_p{i}") for i in (1, 2)])
-    whole = cut_lineage(whole)
-    last = whole.select(F.col("_c").alias("_wc"), F.col("n_turns").alias("_last"))
-    longer = prefixes(placed).join(last, _same(F.col("_c"), F.col("_wc"))).where("_place < _last")
-    proper = longer.select(F.col("_place").alias("n_turns"), "_p1", "_p2").distinct()  # aggregated before the shuffle
     alone = whole.groupBy("n_turns", "_p1", "_p2").agg(F.min("_c").alias("_c"), F.count(F.lit(1)).alias("n_copies"))
-    return alone.join(proper, ["n_turns", "_p1", "_p2"], "left_anti").select("_c", "n_turns", "n_copies")
+    met = prefixes(placed).groupBy(F.col("_place").alias("n_turns"), "_p1", "_p2").agg(F.count(F.lit(1)).alias("_met"))  # aggregated before the shuffle
+    proper = met.join(alone.select("n_turns", "_p1", "_p2", "n_copies"), ["n_turns", "_p1", "_p2"]).where("_met > n_copies")
+    return alone.join(proper.select("n_turns", "_p1", "_p2"), ["n_turns", "_p1", "_p2"], "left_anti").select("_c", "n_turns", "n_copies")
 
 
 def _line() -> Column:
@@ -76,8 +74,10 @@ def _line() -> Column:
 def rendered_turns(chats: DataFrame) -> DataFrame:
     """Turns of the maximal conversations with their rendered text, ``(conv_id, place, rendered, n_turns, n_copies)``."""
     placed = cut_lineage(turns(chats))
-    kept = maximal(placed).withColumnRenamed("_c", "_kc")
-    return (placed.join(kept, _same(F.col("_c"), F.col("_kc")))
+    # a row per chunk of a conversation, so a long one is joined chunk by chunk
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / CHUNK_TURNS)))
+    kept = maximal(placed).select(F.col("_c").alias("_kc"), "n_turns", "n_copies", chunks.alias("_kk"))
+    return (placed.join(kept, _same(F.col("_c"), F.col("_kc")) & (F.col("_chunk") == F.col("_kk")))
             .select(F.col("_c").alias("conv_id"), F.col("_place").alias("place"), _line().alias("rendered"), "n_turns", "n_copies"))
 
 

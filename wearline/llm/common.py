@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir, table
 
-__all__ = ["WORD", "SPACES", "broadcast_if_small", "connected_components", "cut_lineage", "ranked", "row_keyed",
+__all__ = ["WORD", "SPACES", "broadcast_if_small", "connected_components", "cut_lineage", "numbered_within", "ranked", "row_keyed",
            "scratch_table", "table", "word_count"]
 
 #: A word: a run of characters that are no ASCII white space.
@@ -78,6 +80,45 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .select(*cols, (F.col("_local") + F.col("_shift")).cast("long").alias(name)))
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the row's number (from 0) in its group by ``order``; ``group`` is a text column without nulls.
+
+    Rows are range-partitioned by group and order and counted where they lie. What a group that began in
+    an earlier partition brings along is one number per partition, so a group with a third of all rows is no single task.
+    """
+    kept = [group, *[c for c in rows.columns if c != group]]
+    rows = cut_lineage(rows.select(*kept).withColumn("_uid", F.monotonically_increasing_id()))
+    by = [group, *order, "_uid"]  # the row's number splits copies of one key
+    placed = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_uid").withColumn("_pid", F.spark_partition_id()))
+    runs = placed.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("n"))
+    ends = runs.groupBy("_pid").agg(F.min(group).alias("first"), F.min_by("n", group).alias("n_first"),
+                                    F.max(group).alias("last"), F.max_by("n", group).alias("n_last")).collect()  # a row per partition
+    carried, open_group, n = {}, None, 0
+    for e in sorted(ends, key=lambda r: r["_pid"]):
+        carried[e["_pid"]] = n if e["first"] == open_group else 0
+        n = e["n_last"] + (carried[e["_pid"]] if e["first"] == e["last"] else 0)
+        open_group = e["last"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if here is None:
+                at = carried[batch.column(batch.num_columns - 1)[0].as_py()]
+            places = []
+            for g in batch.column(0).to_pylist():
+                if g != here:
+                    at = at if here is None else 0
+                    here = g
+                places.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(places, pa.int64())], [*batch.schema.names[:-1], name])
+
+    fields = ", ".join(f"{_quoted(c)} {placed.schema[c].dataType.simpleString()}" for c in kept)
+    return placed.select(*kept, "_pid").mapInArrow(number, f"{fields}, {_quoted(name)} long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` of longs -> ``(node, root)``.
 
@@ -94,7 +135,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             return cut_lineage(labels)
         name = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = edges.union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(name("b")).alias("m")).select("a", F.least("m", name("a")).alias("m"))
+        # written out, so that the join reads two plain shuffles and a hub's edges can be split
+        near = cut_lineage(both.groupBy("a").agg(F.min(name("b")).alias("m")).select("a", F.least("m", name("a")).alias("m")))
         far = both.join(near.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").groupBy("a").agg(F.min("mb").alias("mb"))
         step = cut_lineage(near.join(far, "a").select(F.col("a").alias("v"), F.least("m", "mb")["v"].alias("to")))
         labels = labels.join(step, labels["root"] == step["v"], "left").select("node", F.coalesce("to", "root").alias("root"))

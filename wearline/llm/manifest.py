@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm.common import cut_lineage, scratch_table, table
+from wearline.llm.common import cut_lineage, numbered_within, scratch_table, table
 from wearline.llm.runs import release_memory
 
 FAN = 16
@@ -59,45 +59,6 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def in_tree_order(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows(tree, ...)`` with ``place``, the row's number (from 0) in its tree by ``order``.
-
-    Rows are range-partitioned by tree and order and counted where they lie. What a tree that began in
-    an earlier partition brings along is one number per partition.
-    """
-    rows = cut_lineage(rows.withColumn("_uid", F.monotonically_increasing_id()))
-    by = ["tree", *order, "_uid"]  # the row's number splits copies of one key
-    placed = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_uid").withColumn("_pid", F.spark_partition_id()))
-    runs = placed.groupBy("_pid", "tree").agg(F.count(F.lit(1)).alias("n"))
-    ends = runs.groupBy("_pid").agg(F.min("tree").alias("first"), F.min_by("n", "tree").alias("n_first"),
-                                    F.max("tree").alias("last"), F.max_by("n", "tree").alias("n_last")).collect()  # a row per partition
-    carried, tree, n = {}, None, 0
-    for e in sorted(ends, key=lambda r: r["_pid"]):
-        carried[e["_pid"]] = n if e["first"] == tree else 0
-        n = e["n_last"] + (carried[e["_pid"]] if e["first"] == e["last"] else 0)
-        tree = e["last"]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, at = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if tree is None:
-                at = carried[batch.column(batch.num_columns - 1)[0].as_py()]
-            places = []
-            for t in batch.column(0).to_pylist():
-                if t != tree:
-                    at = at if tree is None else 0
-                    tree = t
-                places.append(at)
-                at += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(places, pa.int64())], [*batch.schema.names[:-1], "place"])
-
-    kept = [c for c in placed.columns if c != "_pid"]
-    fields = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in kept)
-    return placed.select(*kept, "_pid").mapInArrow(number, f"{fields}, place long")
-
-
 # --- the stored levels ----------------------------------------------------------------------------
 
 
@@ -204,12 +165,12 @@ def manifest(leaves: DataFrame, fan: int = FAN, every: int = EVERY) -> tuple[Dat
     """``leaves(source, doc_id, hash, ...)`` -> a row per leaf with ``path`` and ``subroot``, and the root as hex text (None for no leaves)."""
     keyed = leaves.withColumn("tree", source_key(F.col("source"))).drop("source")
     keyed = keyed.select("tree", *[c for c in keyed.columns if c != "tree"])
-    levels, roots = build(in_tree_order(keyed, ["doc_id", "hash"]), fan, every)
+    levels, roots = build(numbered_within(keyed, "tree", ["doc_id", "hash"], "place"), fan, every)
     every_root = roots[0]
     for r in roots[1:]:
         every_root = every_root.unionByName(r)
     sources = every_root.select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("hash"))
-    top_levels, top_roots = build(in_tree_order(sources, ["of"]), fan, every)
+    top_levels, top_roots = build(numbered_within(sources, "tree", ["of"], "place"), fan, every)
     above = cut_lineage(proofs(top_levels, top_roots, None, fan, every).select(F.col("of").alias("tree"), "path"))
     top = top_roots[-1].first()  # one row
     return proofs(levels, roots, above, fan, every), top["root"].hex() if top else None
