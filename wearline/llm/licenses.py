@@ -8,12 +8,16 @@ apart and longer than m by that less one, so that any run of m shingles lies in
 holds the template's whole shingle set. A window and a template meet when one of ``BANDS`` single-row
 MinHash bands agrees: at a Jaccard similarity of 0.65, which a containment of 0.8 means in a
 window longer by 1 / ``STEPS``, that is missed with probability 0.35 ** BANDS < 1e-7.
-What meets is verified: the share of the template's shingles in the window must be at
-least ``CONTAINMENT``. A window without any template shingle can agree in no band, so such windows
-make no signature; that loses nothing.
+What meets is verified in the window widened by ``WIDEN`` of the template's size on either side, so that words inserted
+into a copy (up to half as many as it has) do not push its end out: the share of the template's shingles there must be at
+least ``CONTAINMENT``. A window that holds only half of the template's shingles is still missed with less than 0.002.
+A window without any template shingle can agree in no band, so such windows make no signature; that loses nothing.
 
-Defined results: null or empty texts match nothing; a template without words is an error; overlapping
-windows of one match count once (the best, then the first window is reported); repeated rows are
+Windows that verify are grouped into places: the one with most shingles of its own stands for all that begin less than m
+from it, then the best of the others, and so on. A text with two copies of a license has two rows. Copies that begin less
+than m apart are one place.
+
+Defined results: null or empty texts match nothing; a template without words is an error; repeated rows are
 reported each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +35,8 @@ BANDS = 16
 CONTAINMENT = 0.8
 #: Windows of a long template start this share of its size apart.
 STEPS = 64
+#: A window is verified with this share of the template's size more on either side.
+WIDEN = 0.5
 #: Up to this many hits, texts are looked up by a broadcast of the hits (under 100 bytes each).
 BROADCAST_HITS = 1_000_000
 #: Complete license texts, in ``license_texts/``.
@@ -94,7 +100,7 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> list:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """One row per document and license found: ``doc_id, license, first_word, n_words, containment, n_windows``."""
+    """One row per document, license and place: ``doc_id, license, first_word, n_words, containment, n_windows``."""
     spark = docs.sparkSession
     fixed = template_table(spark, templates)
     if not fixed:
@@ -135,19 +141,32 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     # windows that hold a hit: starts up to m - 1 before it
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(
         F.floor(F.greatest(i - (F.col("m") - 1), F.lit(0)) / F.col("step")).cast("int"), F.floor(i / F.col("step")).cast("int")))))
-    windows = marked.select("*", F.explode(starts).alias("_start")).withColumn("at", (F.col("_start") * F.col("step")).cast("int"))
-    windows = windows.select("doc_id", *key, "n", "m", "at", F.array_distinct(F.slice("s", F.col("at") + 1, F.col("m") + F.col("step") - 1)).alias("v"))
-    signed = windows.withColumn("bands", _bands(F.col("v"))).select("*", F.posexplode("bands").alias("band", "value")).drop("bands")
-    bands = spark.createDataFrame([(r["license"], r["n"], r["m"], b, v) for r in fixed for b, v in enumerate(r["bands"])],
-                                  "license string, n int, m int, band int, value long")
-    sets = spark.createDataFrame([(r["license"], r["n"], r["m"], r["t"]) for r in fixed], "license string, n int, m int, t array<long>")
-    met = signed.join(F.broadcast(bands), ["n", "m", "band", "value"]).dropDuplicates([*key, "license", "n", "m", "at"])  # as many rows as the parameter has templates x BANDS
-    share = F.size(F.array_intersect("t", "v")) / F.size("t")
-    good = met.join(F.broadcast(sets), ["license", "n", "m"]).withColumn("share", share).where(F.col("share") >= containment)
-    best = F.max(F.struct("share", (-F.col("at")).alias("neg"), "m", "n")).alias("b")
-    return (good.groupBy(*key, "license").agg(F.first("doc_id").alias("doc_id"), best, F.count(F.lit(1)).alias("n_windows"))
-            .select("doc_id", "license", (-F.col("b.neg")).cast("long").alias("first_word"), (F.col("b.m") + F.col("b.n") - 1).cast("long").alias("n_words"),
-                    F.col("b.share").alias("containment"), "n_windows"))
+    fields = [(r["license"], r["n"], r["m"], r["bands"], r["t"]) for r in fixed]
+    known = spark.createDataFrame(fields, "license string, n int, m int, bands array<long>, t array<long>")
+    rows = marked.withColumn("starts", starts).join(F.broadcast(known), ["n", "m"])  # as many rows as the parameter has
+    more = F.ceil(F.col("m") * WIDEN).cast("int")
+    length = F.col("m") + F.col("step") - 1
+
+    def part(first: Column, n: Column) -> Column:
+        return F.array_distinct(F.slice("s", F.greatest(first, F.lit(0)) + 1, n))
+
+    def agrees(at: Column) -> Column:
+        same = lambda v: F.exists(F.zip_with(_bands(v), "bands", lambda x, y: x == y), lambda e: e)
+        return F.exists(F.array(part(at, length)), same)
+
+    def held(v: Column) -> Column:
+        return F.size(F.array_intersect("t", v)) / F.size("t")
+
+    places = F.filter(F.transform("starts", lambda i: (i * F.col("step")).cast("int")), agrees)
+    found = F.transform(places, lambda at: F.struct((-held(part(at, length))).alias("own"), at.alias("at"), held(part(at - more, length + 2 * more)).alias("share")))
+    rows = rows.select("doc_id", "license", "n", "m", F.sort_array(F.filter(found, lambda c: c["share"] >= containment)).alias("good"))
+    none = F.array().cast(rows.schema["good"].dataType)
+    apart = F.aggregate("good", none, lambda kept, c: F.when(F.exists(kept, lambda k: F.abs(k["at"] - c["at"]) < F.col("m")), kept)
+                        .otherwise(F.concat(kept, F.array(c))))
+    rows = rows.select("doc_id", "license", "n", "m", "good", F.explode(apart).alias("p"))
+    around = F.size(F.filter("good", lambda c: F.abs(c["at"] - F.col("p.at")) < F.col("m"))).cast("long")
+    return rows.select("doc_id", "license", F.col("p.at").cast("long").alias("first_word"), (F.col("m") + F.col("n") - 1).cast("long").alias("n_words"),
+                       F.col("p.share").alias("containment"), around.alias("n_windows"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
