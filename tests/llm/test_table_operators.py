@@ -113,6 +113,52 @@ def test_chat_collapse_against_brute_force(spark):
     assert {r["conv_id"] for r in chat.collapse(d).collect()} == set(kept.values())
 
 
+def test_chat_collapse_with_a_null_conversation_of_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", 16)
+    rng = random.Random(10)
+    rows = [(None, rng.choice([None, 0, 1]), "user", f"n{k}") for k in range(1500)]  # hundreds of rows a turn number
+    rows += [(c, t, "user", f"c{c % 50}-{t}") for c in range(300) for t in range(rng.randint(1, 20))]
+    placed = chat.turns(chats(spark, rows))
+    sizes = placed.groupBy("_c", "_chunk").count().agg(F.max("count").alias("m")).first()["m"]
+    assert sizes <= 16  # no chunk is larger, whatever the turn numbers
+    at = [(r["_place"], r["_text"]) for r in placed.where("_c is null").orderBy("_place").collect()]
+    order = sorted({(t is not None, t or 0, x) for c, t, _, x in rows if c is None})
+    assert at == [(k + 1, x) for k, (_, _, x) in enumerate(order)]
+    convs = {}
+    for c, t, _, x in sorted((r for r in rows if r[0] is not None), key=lambda r: r[:2]):
+        convs.setdefault(c, []).append(x)
+    kept = {}
+    for c, ts in sorted(convs.items()):
+        if not any(len(o) > len(ts) and o[: len(ts)] == ts for o in convs.values()):
+            kept.setdefault(tuple(ts), c)
+    assert {r["conv_id"] for r in chat.collapse(chats(spark, rows)).collect()} == {None, *kept.values()}
+
+
+def test_neighbours_beyond_the_sample_in_small_blocks(spark, monkeypatch):
+    """Recall on a table much larger than the sample, hot leaves cut into chunks and blocks; clusters need few visits."""
+    for k, v in {"SAMPLE": 800, "LEAF": 32, "CHUNK": 64, "BLOCK": 8}.items():
+        monkeypatch.setattr(neighbours, k, v)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4, (60, 12))
+    x = (centres[rng.integers(0, 60, 9000)] + rng.normal(0, 0.5, (9000, 12))).astype(np.float32)
+    x[3000:4500] = x[3000]  # a hot vector
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    d = spark.createDataFrame([(i, v, 0, 1, "c") for i, v in rows], VECTORS)
+    _, visit = neighbours.fit(neighbours.valid_vectors(d, "embedding").select("uid", "vec_id", "v"), 9000)
+    assert visit < 0.6
+    got = {}
+    for r in neighbours.nearest(d).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want, hits, total = brute(rows, 10), 0, 0
+    for q, best in want.items():
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11)) and len({j for _, j, _ in got[q]}) == 10
+        if not 3000 <= q < 4500:
+            hits += len({j for _, j, _ in got[q]} & {j for _, j, _ in best})
+            total += 10
+    assert hits >= 0.9 * total
+    assert [j for _, j, _ in sorted(got[3000])] == list(range(3001, 3011))
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 400)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5001), (5001, 5000), (6, 6)]

@@ -198,6 +198,32 @@ def test_mixed_documents(spark, edge):
     assert mixing.mixed_documents(edge.limit(0)).count() == 0
 
 
+# --- 6 ---------------------------------------------------------------------------------------------
+
+
+def test_host_verdicts_by_hand(spark):
+    """The beta prior by moments, the shrunk rates and the verdicts, computed in plain Python."""
+    hosts = {"good": (40, 2), "bad": (60, 55), "mixed": (30, 17), "tiny": (1, 1), None: (5, 0)}
+    good = " ".join(f"word{k}" for k in range(80))
+    rows, k = [], 0
+    for h, (n, fails) in hosts.items():
+        for i in range(n):
+            rows.append((k, "short text" if i < fails else good, "en", h))
+            k += 1
+    got = {}
+    for r in quality.quality(make(spark, rows)).join(make(spark, rows).select("doc_id", "source"), "doc_id").collect():
+        got.setdefault(r["source"], []).append((r["host_rate"], r["base_failed"], r["kept"]))
+    n, f = sum(x for x, _ in hosts.values()), sum(x for _, x in hosts.values())
+    rates = [b / a for a, b in hosts.values()]
+    m = f / n
+    v = sum((r - sum(rates) / 5) ** 2 for r in rates) / 5 - m * (1 - m) * sum(1 / a for a, _ in hosts.values()) / 5
+    strength = max(m * (1 - m) / v - 1, 1.0)
+    for h, (a, b) in hosts.items():
+        rate = (b + m * strength) / (a + strength)
+        assert all(abs(r - rate) < 1e-9 and kept == (not failed and rate <= 0.5) for r, failed, kept in got[h])
+    assert any(x[2] for x in got["good"]) and not any(x[2] for x in got["bad"])
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
@@ -265,6 +291,30 @@ def test_language(spark, edge):
     assert kept.columns == edge.columns and not und & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_tables_equal_the_convolution():
+    rng = np.random.default_rng(4)
+    model = language.ByteNetwork(["a", "b", "c"])
+    x = rng.integers(0, 256, (37, language.WINDOW), dtype=np.uint8)
+    pooled, _ = model._pooled(x)
+    logits = np.maximum(pooled + model.bias, 0) @ model.out + model.out_bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    assert np.abs(model.window_probabilities(x, model.tables()) - p / p.sum(1, keepdims=True)).max() < 1e-5
+
+
+def test_language_sample_is_bounded_with_hot_texts_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_DOCS", 20)
+    monkeypatch.setattr(language, "MAX_LANGS", 5)
+    rows = [(k, "the same words again and again " * 3, "en", "a") for k in range(3000)]  # copies are one text
+    rows += [(10_000 + k, f"text number {k} of many other ones", "en", "a") for k in range(300)]
+    rows += [(20_000 + k, f"texte numéro {k}", f"l{k % 40:02}", "a") for k in range(2000)]
+    x, y, langs = language.training_windows(make(spark, rows))
+    known = Counter(lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert langs == sorted(sorted(known, key=lambda lang: (-known[lang], lang))[:5]) and len(x) == len(y)
+    assert np.bincount(y).tolist() == [20 * language.TRAIN_WINDOWS] * 5
+    again = language.training_windows(make(spark, rows[::-1]))
+    assert (x == again[0]).all() and (y == again[1]).all()
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
@@ -329,6 +379,42 @@ def test_ngram_join_finds_lone_pairs_at_the_threshold_asked_for(spark):
     assert {r["n_links"] for r in out} == {1} and len({r["class_id"] for r in out}) == 60
 
 
+def test_prefixes_are_shortened_where_the_node_stays_small(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(120):  # a crowd of near copies and many texts of their own
+        w = list(base)
+        for _ in range(rng.randint(1, 30)):
+            w[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), "en", "a"))
+    rows += [(1000 + k, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60)), "en", "b") for k in range(80)]
+    monkeypatch.setattr(ngram_join, "CROWD", 10)
+    docs = make(spark, rows)
+    reps = ngram_join.signatures(docs.select("doc_id", "text"), ["doc_id"])
+    full = ngram_join.prefix_depth()
+    labels = {r["uid"]: np.frombuffer(r["labels"], np.uint32).reshape(ngram_join.TREES, ngram_join.DEPTH) for r in reps.collect()}
+    got = defaultdict(set)
+    for r in ngram_join.matched_prefixes(reps).collect():
+        got[r["tree"], r["node"]].add(r["uid"])
+    want = set()
+    for t in range(ngram_join.TREES):  # the same descent, node by node
+        todo = [(full - ngram_join.SHORTEN, list(labels))]
+        while todo:
+            d, uids = todo.pop()
+            nodes = defaultdict(list)
+            for u in uids:
+                nodes[labels[u][t, :d].tobytes()].append(u)
+            for members in nodes.values():
+                if len(members) > 10 and d < full:
+                    todo.append((d + 1, members))
+                elif len(members) > 1:
+                    want.add((t, frozenset(members)))
+    assert {(t, frozenset(u)) for (t, _), u in got.items()} == want and any(len(u) > 10 for u in got.values())
+    out = {r["doc_id"]: r["n_links"] for r in ngram_join.join(docs).collect()}
+    assert out == dict(zip([i for i, *_ in rows], brute_links([(i, t) for i, t, _, _ in rows]), strict=True))
+
+
 def test_word_hashes_follow_the_words(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("ab \n\té") for _ in range(5000)).encode()
@@ -390,6 +476,38 @@ def test_license_scan(spark, edge):
     assert licenses.scan(edge.limit(0)).count() == 0
 
 
+def best_containment(text, template, widen):
+    """Brute force: for every place of a text the share of the template's shingles in the widened stretch there."""
+    clean = lambda t: [re.sub(r"^[^\w]+|[^\w]+$", "", w) or w for w in t.lower().split()]
+    sh = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    have, want = sh(clean(text)), set(sh(clean(template)))
+    m = len(want)
+    more = -(-m * widen // 1)
+    return max((len(want & set(have[max(0, int(i - more)) : int(i + m + more)])) / m for i in range(len(have))), default=0)
+
+
+def test_license_scan_with_inserted_words_and_two_places(spark):
+    mit = dict(licenses.TEMPLATES)["MIT-text"]
+    rng = random.Random(12)
+    filler = lambda n: " ".join(f"f{rng.randrange(9999)}" for _ in range(n))
+    w = mit.split()
+    inserted = lambda n: " ".join([*w[: len(w) // 2], filler(n), *w[len(w) // 2 :]])
+    texts = {0: inserted(40), 1: filler(70) + " " + inserted(20) + " " + filler(30), 2: mit + " " + filler(500) + " " + mit, 3: mit + "\n" + mit,
+             4: " ".join(x if k % 12 else "changed" for k, x in enumerate(w)), 5: " ".join(w[: len(w) // 2]), 6: inserted(400)}
+    texts |= {10 + k: " ".join(x for x in w if rng.random() > k / 400) for k in range(12)}
+    rows = licenses.scan(make(spark, [(i, t, "en", "a") for i, t in texts.items()]), (("MIT-text", mit),)).collect()
+    found = {r["doc_id"]: r["containment"] for r in sorted(rows, key=lambda r: r["containment"])}
+    for i, t in texts.items():
+        share = best_containment(t, mit, licenses.WIDEN)
+        assert (i in found) == (share >= 0.8), (i, share)
+        assert i not in found or abs(found[i] - share) < 0.03
+    assert {0, 1, 2, 3} <= set(found) and not {5, 6} & set(found)
+    at = lambda i: sorted(r["first_word"] for r in rows if r["doc_id"] == i)
+    n = len(w)
+    assert len(at(2)) == 2 and at(2)[0] == 0 and abs(at(2)[1] - (n + 500)) <= 3
+    assert len(at(3)) == 2 and abs(at(3)[1] - n) <= 8 and len(at(0)) == len(at(1)) == 1
+
+
 def test_license_scan_finds_short_notices_and_whole_texts(spark):
     text = dict(licenses.TEMPLATES)
     rng = random.Random(9)

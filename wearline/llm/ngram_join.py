@@ -3,12 +3,14 @@
 1. Each document gets a MinHash signature of its 5-word shingles (one of its whole word
    sequence if shorter), cut into ``TREES`` labels of ``DEPTH`` values.
    Documents of the same word sequence are one class; only its first row goes on.
-2. A tree is the prefix trie of its labels. Rows that share a prefix of depth d in some tree
-   are compared by signature; d is the greatest depth at which a pair of similarity s is missed
-   with a probability ``(1 - s^d)^TREES`` of at most ``MISSED`` (at 0.8 the whole label, 5e-8).
-   Rows that meet deeper meet at d as well, so d is looked up at once; a row that stopped deeper
-   because of other matches would lose the links to its remaining neighbours. Crowded nodes are
-   cut into blocks and every pair of blocks is a piece of work of bounded size.
+2. A tree is the prefix trie of its labels. Rows are compared by signature with those that share a prefix with them in
+   some tree. The longest prefix that may be asked for is the greatest depth at which a pair of the similarity asked for is
+   missed by all trees with a probability ``(1 - s^d)^TREES`` of at most ``MISSED`` (at 0.8 six values, 6e-5). From there a
+   prefix is shortened value by value, up to ``SHORTEN`` times, as long as the node that it leads to holds at most ``CROWD`` rows:
+   where a shorter prefix costs little, recall rises (at two values less, 5e-8), and frequent prefixes
+   stay long. Nodes are counted from the short end: those with more rows than ``CROWD`` give them to their children.
+   Nodes that are crowded at full length are cut into blocks and every pair of blocks is a piece of work of bounded size.
+   Rows that are connected already are not compared again.
 3. Signature matches connect the candidates; each connected set is compared exactly,
    all members with all, on their shingle sets, again in pairs of blocks of bounded size.
    Pairs are counted where they are compared; only counts and a spanning forest leave a task.
@@ -35,13 +37,16 @@ from wearline.llm.runs import in_runs
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES, DEPTH = 32, 4
+TREES, DEPTH = 32, 6
 #: Greatest probability with which the trees may miss a pair at the similarity asked for.
 MISSED = 1e-4
-#: A pair is a candidate if its signatures agree up to this many standard errors below the similarity (0.65 at 0.8).
+#: Values by which a matched prefix may be shortened, and rows of a node that it may then lead to.
+SHORTEN = 2
+CROWD = 256
+#: A pair is a candidate if its signatures agree up to this many standard errors below the similarity (0.68 at 0.8).
 ERRORS = 4.25
 #: Rows of a block when signatures, and when shingle sets are compared; shingles of a block.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 1_000_000
 #: Up to this many texts are looked up by a broadcast of their keys (16 bytes each).
 BROADCAST_KEYS = 2_000_000
@@ -158,7 +163,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_depth(similarity: float = SIMILARITY, missed: float = MISSED) -> int:
-    """Shorten the matched prefix from the full depth on until pairs of this similarity are hardly missed."""
+    """The longest prefix with which pairs of this similarity are hardly missed, whatever the nodes hold."""
     for depth in range(DEPTH, 0, -1):
         if (1 - similarity**depth) ** TREES <= missed:
             return depth
@@ -208,15 +213,19 @@ def _alike(similarity: float):
         side = tab.column("side").to_numpy()
         cross = _across(tab)
 
-        def pairs() -> Iterator[tuple[int, int]]:
-            for i in range(len(uid) - 1):
-                ok = (sketch[i + 1 :] == sketch[i]).sum(1) >= least
-                if cross:
-                    ok &= side[i + 1 :] != side[i]
-                for j in np.flatnonzero(ok):
-                    yield i, i + 1 + int(j)
-
-        return [(int(uid[a]), int(uid[b])) for a, b in forest(pairs(), len(uid))]
+        part = np.arange(len(uid))  # least row of each row's connected set so far
+        for i in range(len(uid) - 1):
+            others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1  # only what is not connected yet
+            if cross:
+                others = others[side[others] != side[i]]
+            if not len(others):
+                continue
+            alike = others[(sketch[others] == sketch[i]).sum(1) >= least]
+            joined = np.unique(part[alike])
+            if len(joined):
+                least_row = min(int(joined[0]), int(part[i]))
+                part[np.isin(part, np.append(joined, part[i]))] = least_row
+        return [(int(uid[r]), int(uid[k])) for k, r in enumerate(part.tolist()) if r != k]
 
     return work
 
@@ -308,15 +317,33 @@ def signatures(keyed: DataFrame, key: list[str]) -> DataFrame:
     return cut_lineage(d.mapInArrow(_sign, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
+def _nodes(rows: DataFrame, depth: int) -> DataFrame:
+    """``rows(uid, tree, labels)`` with the number of rows ``n`` that share their prefix, of those that share it at all."""
+    prefix = F.substring(F.col("labels"), F.col("tree") * (DEPTH * 4) + 1, F.lit(depth * 4))
+    nodes = rows.select("uid", "tree", F.xxhash64("tree", F.lit(depth), prefix).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut_lineage(nodes.join(shared, "node"))
+
+
+def matched_prefixes(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, uid, tree, n)``: the node in which each row is compared in each tree, where it has company."""
+    full = prefix_depth(similarity)
+    depth = max(1, full - SHORTEN)
+    met = _nodes(reps.select("uid", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), depth)
+    found = None
+    while True:
+        here = met if depth == full else met.where(F.col("n") <= CROWD)
+        found = here if found is None else found.unionByName(here)
+        crowded = met.where(F.col("n") > CROWD)
+        if depth == full or crowded.isEmpty():
+            return found
+        depth += 1
+        met = _nodes(crowded.select("uid", "tree").join(reps.select("uid", "labels"), "uid"), depth)
+
+
 def candidates(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges between rows whose signatures agree, found through the trees' shared prefixes."""
-    depth = prefix_depth(similarity)
-    prefix = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
-                         lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * DEPTH * 4 + 1, F.lit(depth * 4))))
-    nodes = reps.select("uid", F.explode(prefix).alias("node"))
-    crowded = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut_lineage(nodes.join(crowded, "node"))
-    rows = met.join(reps.select("uid", "sketch"), "uid")
+    rows = matched_prefixes(reps, similarity).join(reps.select("uid", "sketch"), "uid")
     dealt = _dealt(_in_blocks(rows, "node", F.ceil(F.col("n") / BLOCK_ROWS)), "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     return dealt.select("node", "b1", "b2", "side", "uid", "sketch").mapInArrow(in_runs(["node", "b1", "b2"], _alike(similarity), schema), "a long, b long")
