@@ -193,6 +193,40 @@ def test_ranked_and_row_key(spark):
     assert len(first) == 50 and first == {(r["__file"], r["__place"]) for r in k.collect()}
 
 
+def test_pipeline_with_nulls_copies_clashing_names_and_a_long_text(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = ["the", "of", "and", "river", "mountain", "winter", "letter", "garden", "question", "answer", "quiet", "street"]
+    text = lambda n: " ".join(rng.choice(words) + ("." if k % 9 == 8 else "") for k in range(n))
+    copy = text(90)
+    rows = [(k, text(rng.randint(60, 140)), rng.choice(["en", "en", "de", None]), rng.choice(["a", "b", None]), 5) for k in range(150)]
+    rows += [(200, copy, "en", "a", 1), (200, copy, "en", "a", 1), (None, copy, None, None, None), (201, None, "en", "a", 0), (202, "", None, "b", 0),
+             (203, text(60_000), "en", "b", 9), (204, "12 34 !!", "en", "a", 2)]
+    names = ("__file", "_metadata", "_row", "_text", "size")
+    d = spark.createDataFrame([(*r, f"f{r[0]}", {"file_path": "x"}, 1, "t", -1) for r in rows],
+                              "doc_id long, text string, lang string, source string, n_chars long, __file string, _metadata map<string,string>, _row int, _text string, size int")
+    docs, seen = d, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.scratch_table(stage(spark, docs, str(tmp_path)))
+        assert out.columns == d.columns
+        got = Counter(r["doc_id"] for r in out.collect())
+        if name == "quality_rules":
+            assert not {201, 202, 204} & set(got) and got[203] == 1 and got[200] == 2
+        if name == "near_duplicates":  # one of the three copies, the least id
+            assert got[200] == 1 and got[None] == 0
+        if name == "mix_sources":
+            assert set(got) <= seen
+        assert all(r["__file"] == f"f{r['doc_id']}" and r["size"] == -1 for r in out.select("doc_id", *names).collect())
+        docs, seen = out, set(got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == seen and max(r["piece"] for r in packed) > 3
+    loads = Counter()
+    for r in packed:
+        loads[r["sequence_id"]] += r["length"]
+    assert max(loads.values()) <= 4096
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -44,6 +44,8 @@ CROSSOVERS = 4
 #: Bins filled less than this give their pieces to the next round.
 GOOD_FILL = 0.985
 MAX_ROUNDS = 12
+#: Bits of a bin's number in its cell, which has fewer bins than pieces; those of the cell are the next ones up to 56.
+BIN_BITS = 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -302,7 +304,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if last:
             break
         todo = put.where(~good).select("uid", "length")
-    seq = done.select("uid", F.xxhash64("round", "cell", "bin").alias("sequence_id"))
+    # exact numbers, no hashes: a full piece by its own number, below 0; a bin by round, cell and its number in the cell
+    number = F.shiftleft(F.col("round").cast("long"), 56) + F.shiftleft(F.col("cell").cast("long"), BIN_BITS) + F.col("bin")
+    seq = done.select("uid", F.when(F.col("round") < 0, -1 - F.col("uid")).otherwise(number).alias("sequence_id"))
     w = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` rows
     return (rows.join(seq, "uid").withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long")).drop("uid"))
 
