@@ -340,21 +340,24 @@ def score_rul(model, df: DataFrame, digits: int = 2) -> DataFrame:
                       rul_risk("_rul").alias("risk_level"), rul_advice("_rul").alias("recommendation"))
 
 
-def explain(model, df: DataFrame, features, top: int = 3) -> DataFrame:
-    """Global importances signed by the prediction, top 3 by |contribution| (F4),
-    with raw values (rounded 3), contributions (rounded 4) and direction (I7); risk level
-    and advice from the probability itself (I1)."""
-    from ..functions.scalar import direction, proba_advice, proba_risk
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    scored = model.transform(df).withColumn("p1", p1())
+def top_contributions(importances_of: dict[str, float], top: int = 3) -> "F.Column":
+    """the ``top`` features by |contribution| (importance, signed by ``prediction``), ties in the features' order, with raw
+    values (rounded 3), contributions (rounded 4) and direction (I7)."""
+    from ..functions.scalar import direction
     sign = F.when(F.col("prediction") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col(f).cast("double"), 3).alias("value"),
-                               (F.lit(float(i)) * sign).alias("c")) for f, i in zip(features, imp)])
+                               (F.lit(float(i)) * sign).alias("c")) for f, i in importances_of.items()])
     ranked = F.slice(F.array_sort(items, lambda a, b: F.when(F.abs(a["c"]) > F.abs(b["c"]), -1)
                                   .when(F.abs(a["c"]) < F.abs(b["c"]), 1).otherwise(0)), 1, top)
-    top_f = F.transform(ranked, lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"),
-                                                   F.round(x["c"], 4).alias("contribution"),
-                                                   direction(x["c"]).alias("direction")))
+    return F.transform(ranked, lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"),
+                                                  F.round(x["c"], 4).alias("contribution"), direction(x["c"]).alias("direction")))
+
+
+def explain(model, df: DataFrame, features, top: int = 3) -> DataFrame:
+    """Global importances signed by the prediction (F4); risk level and advice from the probability itself."""
+    from ..functions.scalar import proba_advice, proba_risk
+    imp = dict(zip(features, model.stages[-1].featureImportances.toArray().tolist()))
+    scored = model.transform(df).withColumn("p1", p1())
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"),
                          F.round("p1", 4).alias("probability"), proba_risk("p1").alias("risk_level"),
-                         proba_advice("p1").alias("recommendation"), top_f.alias("top_features"))
+                         proba_advice("p1").alias("recommendation"), top_contributions(imp, top).alias("top_features"))
