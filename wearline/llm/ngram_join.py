@@ -47,6 +47,7 @@ CROWD = 256
 ERRORS = 4.25
 #: Rows of a block when signatures, and when shingle sets are compared; shingles of a block.
 BLOCK_ROWS = 2048
+BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1_000_000
 #: Up to this many texts are looked up by a broadcast of their keys (16 bytes each).
 BROADCAST_KEYS = 2_000_000
@@ -178,21 +179,22 @@ def candidate_cut(similarity: float = SIMILARITY) -> float:
 # --- comparing sorted runs in blocks --------------------------------------------------------------
 
 
-def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Stars with the connected sets of the pairs over 0 .. n-1: (least, member)."""
-    up = list(range(n))
+def least_members(n: int, linked) -> np.ndarray:
+    """For rows 0 .. n-1 the least row of their connected set; ``linked(i, part)`` gives the rows that row i is linked to,
+    of which those of its own set (``part``) may be left out."""
+    part = np.arange(n)
+    for i in range(n):
+        met = np.unique(part[linked(i, part)])
+        met = met[met != part[i]]
+        if len(met):
+            whole = np.append(met, part[i])
+            part[np.isin(part, whole)] = whole.min()
+    return part
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            up[max(ra, rb)] = min(ra, rb)
-    return [(root(x), x) for x in range(n) if root(x) != x]
+def _stars(uid: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest: (least member, member)."""
+    return [(int(uid[r]), int(uid[k])) for k, r in enumerate(part.tolist()) if r != k]
 
 
 def _across(tab: pa.Table) -> bool:
@@ -213,19 +215,13 @@ def _alike(similarity: float):
         side = tab.column("side").to_numpy()
         cross = _across(tab)
 
-        part = np.arange(len(uid))  # least row of each row's connected set so far
-        for i in range(len(uid) - 1):
+        def alike(i: int, part: np.ndarray) -> np.ndarray:
             others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1  # only what is not connected yet
             if cross:
                 others = others[side[others] != side[i]]
-            if not len(others):
-                continue
-            alike = others[(sketch[others] == sketch[i]).sum(1) >= least]
-            joined = np.unique(part[alike])
-            if len(joined):
-                least_row = min(int(joined[0]), int(part[i]))
-                part[np.isin(part, np.append(joined, part[i]))] = least_row
-        return [(int(uid[r]), int(uid[k])) for k, r in enumerate(part.tolist()) if r != k]
+            return others[(sketch[others] == sketch[i]).sum(1) >= least]
+
+        return _stars(uid, least_members(len(uid), alike))
 
     return work
 
@@ -282,9 +278,8 @@ def _verify(similarity: float):
         if _across(tab):
             linked &= side[:, None] != side[None, :]
         out = [(int(uid[i]), None, int(linked[i].sum()), int(copies[linked[i]].sum())) for i in np.flatnonzero(linked.any(1))]
-        a, b = np.nonzero(np.triu(linked))
-        tree = forest(zip(a.tolist(), b.tolist(), strict=True), len(uid))
-        return out + [(int(uid[i]), int(uid[j]), 0, 0) for i, j in tree]
+        tree = _stars(uid, least_members(len(uid), lambda i, _: np.flatnonzero(linked[i])))
+        return out + [(a, b, 0, 0) for a, b in tree]
 
     return work
 
@@ -317,28 +312,34 @@ def signatures(keyed: DataFrame, key: list[str]) -> DataFrame:
     return cut_lineage(d.mapInArrow(_sign, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
-def _nodes(rows: DataFrame, depth: int) -> DataFrame:
-    """``rows(uid, tree, labels)`` with the number of rows ``n`` that share their prefix, of those that share it at all."""
-    prefix = F.substring(F.col("labels"), F.col("tree") * (DEPTH * 4) + 1, F.lit(depth * 4))
-    nodes = rows.select("uid", "tree", F.xxhash64("tree", F.lit(depth), prefix).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut_lineage(nodes.join(shared, "node"))
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``rows(uid, node, rest)`` that share their node, with the number ``n`` of those that do."""
+    # written out, so that the join reads two plain shuffles and the rows of a hot node can be split
+    shared = cut_lineage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut_lineage(rows.join(shared, "node"))
 
 
 def matched_prefixes(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, uid, tree, n)``: the node in which each row is compared in each tree, where it has company."""
+    """``(node, uid, n)``: the node in which each row is compared in each tree, where it has company.
+
+    A row carries the values of its label that its node leaves out, so a child's name follows from its parent's.
+    """
     full = prefix_depth(similarity)
     depth = max(1, full - SHORTEN)
-    met = _nodes(reps.select("uid", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), depth)
+    label = lambda t, first, n: F.substring(F.col("labels"), t * (DEPTH * 4) + (first * 4 + 1), F.lit(n * 4))
+    every = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
+                        lambda t: F.struct(F.xxhash64(t, label(t, 0, depth)).alias("node"), label(t, depth, full - depth).alias("rest")))
+    met = _nodes(reps.select("uid", F.explode(every).alias("x")).select("uid", "x.node", "x.rest"))
     found = None
     while True:
-        here = met if depth == full else met.where(F.col("n") <= CROWD)
+        here = (met if depth == full else met.where(F.col("n") <= CROWD)).select("node", "uid", "n")
         found = here if found is None else found.unionByName(here)
         crowded = met.where(F.col("n") > CROWD)
         if depth == full or crowded.isEmpty():
             return found
         depth += 1
-        met = _nodes(crowded.select("uid", "tree").join(reps.select("uid", "labels"), "uid"), depth)
+        child = F.xxhash64("node", F.substring(F.col("rest"), F.lit(1), F.lit(4)))
+        met = _nodes(crowded.select("uid", child.alias("node"), F.substring(F.col("rest"), F.lit(5), F.lit(DEPTH * 4)).alias("rest")))
 
 
 def candidates(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -353,7 +354,7 @@ def links(keyed: DataFrame, key: list[str], reps: DataFrame, similarity: float)
     """Exact links between different word sequences: ``(uid, other, texts, docs)`` rows, see ``_verify``."""
     sets = connected_components(candidates(reps, similarity))  # node, root
     members = cut_lineage(reps.join(sets, reps["uid"] == sets["node"]).select(*key, "th", "uid", "n_sh", "copies", F.col("root").alias("comp")))
-    size = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).alias("nb"))
+    size = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).alias("nb"))
     work = members.join(size, "comp")
     texts = keyed.select(*[F.col(k).alias("_" + k) for k in key], F.xxhash64("text").alias("_th"), "text")
     if members.count() <= BROADCAST_KEYS:
