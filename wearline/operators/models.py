@@ -29,7 +29,7 @@ from pyspark.util import inheritable_thread_target
 
 from . import metrics as M
 from . import sampling as H
-from ..session import current_session, cut_lineage
+from ..session import current_session, cut_lineage, path_exists
 from .knn import KnnModel
 from .scaling import fit_scaler
 
@@ -323,6 +323,13 @@ def fit_rff_svm(train: DataFrame, features, label: str, stats: dict, params: dic
 # Scoring (J16-J18, J20, J21)
 # ---------------------------------------------------------------------------
 
+def load_model(path: str) -> PipelineModel:
+    """A10: load a saved pipeline by its folder (the store's models by name); a missing one is a clear error."""
+    if not path_exists(current_session(), path):
+        raise FileNotFoundError(f"model not found: {path}")
+    return PipelineModel.load(path)
+
+
 def score_classifier(model, df: DataFrame, proba_digits: int = 4) -> DataFrame:
     """Prediction, probability of class 1 (rounded), risk level and advice."""
     from ..functions.scalar import proba_advice, proba_risk
