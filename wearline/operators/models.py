@@ -186,7 +186,7 @@ def train_classification(df: DataFrame, features, label: str, key, tag: str, par
     cv = [name for name in CV_MODELS if name in estimators] if with_cv else []
     if cv:
         folds = cut_lineage(H.stratified_folds(train, label, key, params["cv_folds"], seed=seed + 3))
-        for name in cv:
+        for name in sorted(cv, key=lambda n: n != "gradient_boosting"):  # hundreds of dependent rounds: first of all
             for fold in range(params["cv_folds"]):
                 work[name, fold] = lambda est=estimators[name], fold=fold: cv_f1(folds, label, stages, est.copy(), fold)
     done = side_by_side(spark, work)

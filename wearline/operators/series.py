@@ -130,7 +130,8 @@ def with_chunk(df: DataFrame, spec: ReadingSpec, name: str = CHUNK) -> DataFrame
         us = epoch_micros(spec.ts, df.schema[spec.ts].dataType)
         return df.withColumn(name, F.floor(us / F.lit(spec.chunk_seconds * 1_000_000)).cast("long"))
     out = df if attached else attach_chunk_widths(df, spec)
-    out = out.withColumn(name, F.coalesce(F.col(START_COL), F.lit(0)))
+    hot = out.schema[START_COL].metadata.get("hot", True)
+    out = out.withColumn(name, F.coalesce(F.col(START_COL), F.lit(0)).alias(name, metadata={"hot": hot}))
     return out if attached else out.drop(START_COL)
 
 
@@ -139,7 +140,9 @@ def chunked(df: DataFrame, spec: ReadingSpec) -> DataFrame:
     A frame that already carries its chunk (``keep_chunk`` upstream) is reused as is."""
     if CHUNK in df.columns:
         return df
-    return with_chunk(df, spec).repartition(spec.machine, CHUNK)
+    out = with_chunk(df, spec)
+    # without a hot machine the chunk is a constant, which windows leave out of their keys: so does the shuffle
+    return out.repartition(spec.machine, CHUNK) if out.schema[CHUNK].metadata.get("hot", True) else out.repartition(spec.machine)
 
 
 def _w_chunk(spec: ReadingSpec, desc: bool = False):
