@@ -200,9 +200,10 @@ def test_pipeline_with_nulls_copies_clashing_names_and_a_long_text(spark, tmp_pa
     words = ["the", "of", "and", "river", "mountain", "winter", "letter", "garden", "question", "answer", "quiet", "street"]
     text = lambda n: " ".join(rng.choice(words) + ("." if k % 9 == 8 else "") for k in range(n))
     copy = text(90)
+    long = " ".join("".join(rng.choice(words) for _ in range(3)) for _ in range(40_000))
     rows = [(k, text(rng.randint(60, 140)), rng.choice(["en", "en", "de", None]), rng.choice(["a", "b", None]), 5) for k in range(150)]
     rows += [(200, copy, "en", "a", 1), (200, copy, "en", "a", 1), (None, copy, None, None, None), (201, None, "en", "a", 0), (202, "", None, "b", 0),
-             (203, text(60_000), "en", "b", 9), (204, "12 34 !!", "en", "a", 2)]
+             (203, long, "en", "b", 9), (204, "12 34 !!", "en", "a", 2)]
     names = ("__file", "_metadata", "_row", "_text", "size")
     d = spark.createDataFrame([(*r, f"f{r[0]}", {"file_path": "x"}, 1, "t", -1) for r in rows],
                               "doc_id long, text string, lang string, source string, n_chars long, __file string, _metadata map<string,string>, _row int, _text string, size int")
