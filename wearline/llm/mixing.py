@@ -8,7 +8,7 @@ walked until it lands inside). Blocks are joined by number, and a document gets
 blocks were drawn.
 
 A shard holds what it has drawn: its slots, at places that a hash of the slot gives, are the order of the mix
-(``shards``). A document stands where its first slot of a pass does (``mixed_documents``), and the
+(``shards``). A document stands where the slot of its first words in a pass does (``mixed_documents``), and the
 digest names the first shard that takes words of it (``first_shard``).
 
 The draws alone would leave each total with binomial noise. So a source's slots are counted
@@ -253,7 +253,7 @@ def shards(docs: DataFrame, source: str = "source") -> DataFrame:
 
 def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     """The mix as documents with the columns of ``docs``, in its order: a row per document and pass that took
-    of it, where the first of its slots stands.
+    of it, where the slot of its first words stands (the first of all its slots would crowd long documents into the first shards).
 
     A document that a pass took whole keeps its text; of others the row holds the words of
     the drawn blocks, in order and one blank apart. ``n_chars``, if there, follows the text.
@@ -268,7 +268,7 @@ def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     n_shards = (counts.agg(F.max("shard").alias("n")).first()["n"] or 0) + 1  # one row
     spans = (_drawn_overlaps(laid, per, counts, key, True).groupBy(*key, "_pass")
              .agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_spans"),  # a document's own blocks
-                  F.min(F.struct("shard", "_at_shard")).alias("_stands")))
+                  F.min_by(F.struct("shard", "_at_shard"), F.struct("_lo", "shard")).alias("_stands")))
     got = spans.select(F.col("__file").alias("_gf"), F.col("__place").alias("_gr"), "_pass", "_spans", "_stands").hint("merge")  # grows with the corpus: no broadcast
     rows = keyed.select(*key, F.col("_row")["text"].alias("_t"), F.col("_row").alias("_all"))
     rows = rows.join(got, (rows["__file"] == got["_gf"]) & (rows["__place"] == got["_gr"]))

@@ -47,7 +47,7 @@ CROWD = 256
 ERRORS = 4.25
 #: Rows of a block when signatures, and when shingle sets are compared; shingles of a block.
 BLOCK_ROWS = 2048
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 1_000_000
 #: Up to this many texts are looked up by a broadcast of their keys (16 bytes each).
 BROADCAST_KEYS = 2_000_000
