@@ -1,7 +1,7 @@
 """Registered queries do their whole job on tables that are larger than the smoke tables."""
 from pyspark.sql import functions as F
 
-from wearline.plans import q_asof
+from wearline.plans import q_asof, q_misc
 
 
 def events(spark, folder, n, users):
@@ -18,3 +18,7 @@ def events(spark, folder, n, users):
 def test_recent_readings_are_the_500_latest(spark, tmp_path):
     got = q_asof.q_recent_readings(spark, events(spark, tmp_path, 1300, 2)).groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).collect()
     assert {(r["user_id"], r["n"], r["first"]) for r in got} == {(0, 500, 300), (1, 500, 301)}
+
+
+def test_capped_sample_is_of_10000_rows(spark, tmp_path):
+    assert q_misc.q_capped_sample(spark, events(spark, tmp_path, 10_050, 3)).distinct().count() == 10_000
