@@ -22,3 +22,29 @@ def test_recent_readings_are_the_500_latest(spark, tmp_path):
 
 def test_capped_sample_is_of_10000_rows(spark, tmp_path):
     assert q_misc.q_capped_sample(spark, events(spark, tmp_path, 10_050, 3)).distinct().count() == 10_000
+
+
+def test_forest_scores_do_not_ship_the_models_nodes(spark, tmp_path):
+    """What scores is a compact table, equal to Spark's own model and no bigger by the number of tasks."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wearline.operators import models as ML
+    from wearline.operators.forest import ForestModel
+    from wearline.operators.store import ModelStore
+
+    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_007)) / 10_007.0
+    d = spark.range(900).select("id", unit(1).alias("a"), unit(2).alias("b"))
+    d = d.withColumn("y", (F.col("a") + 0.3 * unit(3) > 0.7).cast("int")).withColumn("t", 50 * F.col("a") + unit(4))
+    store, only = ModelStore(spark, str(tmp_path / "models")), ("random_forest",)
+    p = dict(ML.QUICK, rf_trees=9, rf_depth=6)
+    _, classes, imps = ML.train_classification(d, ["a", "b"], "y", "id", "t", p, store, False, False, only)
+    _, values = ML.train_regression(d, ["a", "b"], "t", "id", "t", p, store, only)
+    clf, reg = store.load("random_forest_classifier_t"), store.load("random_forest_regressor_t")
+    assert isinstance(clf, ForestModel) and isinstance(reg, ForestModel)
+    assert dict(zip(["a", "b"], clf.importance)) == dict(imps["random_forest"])
+    rows = lambda m, *c: m.transform(d).select("id", *c).orderBy("id").collect()
+    proba = vector_to_array("probability").alias("p")
+    assert rows(clf, "prediction", proba) == rows(classes["random_forest"], "prediction", proba)
+    assert rows(reg, "prediction") == rows(values["random_forest"], "prediction")
+    plan = clf.transform(d)._jdf.queryExecution().toString()
+    assert "predictRaw" not in plan and "ArrowEvalPython" in plan
