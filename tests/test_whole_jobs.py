@@ -48,3 +48,27 @@ def test_forest_scores_do_not_ship_the_models_nodes(spark, tmp_path):
     assert rows(reg, "prediction") == rows(values["random_forest"], "prediction")
     plan = clf.transform(d)._jdf.queryExecution().toString()
     assert "predictRaw" not in plan and "ArrowEvalPython" in plan
+
+
+def test_isolation_paths_of_a_batch_cost_no_call_per_row(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from wearline.operators import iforest as IF
+
+    rng = np.random.default_rng(3)
+    grown = [IF._grow(t, rng.normal(size=(64, 3)), 6, 7) for t in range(5)]
+    nodes = pd.DataFrame([n for t in grown for n in t], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "leaf"])
+    x = rng.normal(size=(300, 3))
+    x[4, 1] = np.nan  # goes right
+
+    def path(tree, row):
+        node, depth = tree[0], 0
+        while not node[7]:
+            node, depth = tree[node[4] if row[node[2]] < node[3] else node[5]], depth + 1
+        return depth + IF.c_factor(float(node[6]))
+
+    want = [sum(path(t, r) for t in grown) / 5 for r in x]
+    trees = IF.trees_of(nodes)
+    monkeypatch.setattr(IF, "c_factor", None)
+    assert np.allclose(IF._path_lengths(trees, x), want, rtol=1e-12, atol=0)
