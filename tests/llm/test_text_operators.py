@@ -262,6 +262,21 @@ def test_token_ids_equal_the_tokenizer():
         assert ids(t) == np.asarray(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_parts_of_a_block_are_encoded_once(monkeypatch):
+    """A word with other punctuation behind it is not encoded anew, in its own text or in later blocks."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 60)
+    ids, seen = packing.TokenIds(packing.vocabulary_path()), []
+    real = ids.tokenizer
+    counted = SimpleNamespace(tokenize=lambda part: seen.append(part) or real.model.tokenize(part))
+    ids.tokenizer = SimpleNamespace(model=counted, encode=real.encode)
+    texts = ["Zqxab zqxab, zqxab.", "", "  zqxab%%%\tdon't 'tis zqxab's x1y2", "日本 zqxab", "zqxab" * 20, "zqxab, ÉTÉ!"] * 3
+    want = [np.asarray(real.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(ids.many(texts)) == want
+    assert "zqxab" in seen and all(n == 1 for p, n in Counter(seen).items() if len(p) <= 64) and list(ids.many([])) == []
+
+
 def test_crossover_keeps_every_piece():
     rng = random.Random(3)
     sizes = [rng.randint(1, 4095) for _ in range(300)]

@@ -19,12 +19,13 @@ import random
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,14 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with any other character go to the tokenizer whole. These characters are composed already,
 #: are lower-cased one by one, and are white space or not for every engine.
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u0131\u0134-\u024f]")
-#: Bytes of known words that a Python worker keeps while it works on a partition; a full cache is emptied.
+#: Bytes of known parts that a Python worker keeps while it works on a partition; a full cache is emptied.
 CACHE_BYTES = 64 << 20
-#: Bytes of a known word beside its characters and ids: two objects and a place in the table.
+#: Bytes of a known part beside its characters and ids: two objects and a place in the table.
 WORD_BYTES = 150
+#: Characters of the texts whose words are looked up together (a longer text is a block of its own).
+BLOCK_CHARS = 4 << 20
+#: ASCII punctuation that ends a word as one part of it (an apostrophe may begin one of the rule's own endings).
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_characters() -> dict[int, int]:
@@ -75,7 +80,8 @@ class TokenIds:
     """Text -> little-endian unsigned 32-bit token ids.
 
     White space never is inside a token, so a text's ids are those of its words, one after
-    the other, and each word is encoded once while it stays in the bounded cache.
+    the other. Every distinct word of a block of texts is looked up once, and its parts (runs of letters,
+    of punctuation) are encoded once while they stay in the bounded cache.
     """
 
     def __init__(self, vocabulary: str):
@@ -91,38 +97,60 @@ class TokenIds:
         self.room = CACHE_BYTES
 
     def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        ids = self.cache.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            if len(part) <= 64:
+                self.room -= WORD_BYTES + len(part) + len(ids)
+                if self.room < 0:
+                    self.cache.clear()
+                    self.room = CACHE_BYTES
+                self.cache[part] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        known = self.cache
         if word.isalpha():
-            ids = self._part(word)
-        else:
-            ids = b"".join([known.get(p) or self._part(p) for p in self.find(word)])
-        if len(word) <= 64:
-            self.room -= WORD_BYTES + len(word) + len(ids)
-            if self.room < 0:
-                known.clear()
-                self.room = CACHE_BYTES
-            known[word] = ids
-        return ids
+            return self._part(word)
+        start = word.rstrip(TAIL)
+        if start.isalpha():
+            return self._part(start) + self._part(word[len(start):])
+        return b"".join(map(self._part, self.find(word)))
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        whole = {k: np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                 for k, t in enumerate(texts) if "<|" in t or UNUSUAL.search(t)}
+        lists = pc.ascii_split_whitespace(pa.array(["" if k in whole else t.lower() for k, t in enumerate(texts)], pa.large_string()))
+        words = lists.flatten().dictionary_encode()  # no word: none or an empty one, which has no ids
+        known = list(map(self._word, words.dictionary.to_pylist()))
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, pool, at = np.cumsum(n) - n, np.frombuffer(b"".join(known), "<u4"), words.indices.to_numpy()
+        n = n[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist()
+        for k in range(len(texts)):
+            yield whole[k] if k in whole else ids[cuts[k] : cuts[k + 1]].tobytes()
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each of ``texts``, in their order."""
+        block, room = [], BLOCK_CHARS
+        for t in texts:
+            if block and len(t) > room:
+                yield from self._block(block)
+                block, room = [], BLOCK_CHARS
+            block.append(t)
+            room -= len(t)
+        if block:
+            yield from self._block(block)
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or UNUSUAL.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.lower().split()
-        out = list(map(self.cache.get, words))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    out[k] = self._word(words[k])
-        return b"".join(out)
+        return next(self._block([text]))
 
 
 @lru_cache(maxsize=1)
 def token_ids(vocabulary: str) -> TokenIds:
-    """One per Python worker; its known words go when a partition ends."""
+    """One per Python worker; its known parts go when a partition ends."""
     return TokenIds(vocabulary)
 
 
@@ -140,8 +168,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         ids_of = token_ids(vocabulary)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + end
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.many(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
