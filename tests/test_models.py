@@ -72,6 +72,14 @@ def test_few_rows_are_fitted_in_few_tasks(spark):
     assert ML.fit_parts(d, 1000).rdd.getNumPartitions() == 1 and ML.fit_parts(d, 10**9).rdd.getNumPartitions() == 16
 
 
+def test_many_rows_are_fitted_in_a_task_per_core(spark):
+    """Tasks of a fit grow with the cores, then with MOST_FIT_ROWS; a forest's parts share the cores."""
+    cores, d = spark.sparkContext.defaultParallelism, spark.range(0, 1000, 1, 100)
+    parts = lambda n, *rows: ML.fit_parts(d, n, *rows).rdd.getNumPartitions()
+    assert parts(3 * ML.FIT_ROWS) == 3 and parts(2_000_000) == cores and parts(60 * ML.MOST_FIT_ROWS) == 60
+    assert parts(2_000_000, ML.FOREST_ROWS) == 2
+
+
 def test_forest_of_parts_is_one_forest(spark, tmp_path):
     """Every tree counts once, saved and loaded as well; parts have trees of their own."""
     from pyspark.ml import PipelineModel
