@@ -187,6 +187,16 @@ def test_stages_carry_columns_of_any_name(spark, names, tmp_path):
         assert mixed.columns == docs.columns and all(r[names[0]] == f"f{r['doc_id']}" for r in mixed.collect())
 
 
+def test_slots_of_the_mix_are_not_broadcast(spark):
+    """The slots that shards draw are as many as the corpus has blocks; the planner takes them for the few counts they come from."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("word "), 400).alias("text"))
+    for mixed in (mixing.mix(docs), mixing.mixed_documents(docs)):
+        mixed.collect()
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line and "_block" in line]
+        assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_mixed_documents(spark, edge):
     out = mixing.mixed_documents(edge)
     assert out.columns == edge.columns

@@ -215,6 +215,8 @@ def _drawn_overlaps(laid: DataFrame, per: DataFrame, counts: DataFrame, key: lis
     sized = per.select(F.col("_src").alias("_s"), F.col("cut.size").alias("_bs"))
     laid = laid.join(sized, laid["_src"].eqNullSafe(sized["_s"])).drop("_s")
     parts = overlaps(laid, key).withColumn("_sh", F.xxhash64(F.coalesce("_src", F.lit("")), F.col("_src").isNull()))
+    # slots grow with the corpus, but the planner sizes them by the few counts they are unrolled from: no broadcast
+    cells = cells.hint("merge")
     # of a block that is taken in part, only its first words
     return (parts.join(cells, ["_sh", "_block"]).withColumn("_hi", F.least("_hi", F.col("_at") + F.col("_words"))).where("_hi > _lo"))
 
